@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_files, trie_bpe
+from . import compression_quality, packing, ppm_langid, token_files, trie_bpe
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -28,6 +28,14 @@ def op6_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_bpe.digests(_documents(spark, sf_dir), TOKENIZER)
 
 
+def op9_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression_quality.classified(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op10_ppm_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm_langid.identified(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
