@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compression_quality, packing, ppm_langid, token_files, trie_bpe
+from . import collision_ann, compression_quality, packing, ppm_langid, threshold_topk, token_files, trie_bpe
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -24,10 +24,18 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(_documents(spark, sf_dir), TOKENIZER)
 
 
+def op4_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threshold_topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_bpe.digests(_documents(spark, sf_dir), TOKENIZER)
 
 
+def op8_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision_ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op9_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_quality.classified(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
