@@ -9,6 +9,7 @@ import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,3 +118,52 @@ def small_batches(batches: Iterable[pa.RecordBatch], rows: int = 2000) -> Iterat
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def raw_bytes(column: pa.Array) -> list[bytes]:
+    """The texts as UTF-8; null is empty."""
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+class Bitmap:
+    """A set of 64-bit keys that may hold more than was put in, of fixed size: it only keeps rows out of a shuffle."""
+
+    def __init__(self, bits: int, words: np.ndarray):
+        self.bits, self.words = bits, words
+
+    @staticmethod
+    def of(keys: DataFrame, bits: int = 26) -> Bitmap:
+        """Of the one long column of `keys`. At most 2^bits / 64 words reach the driver, whatever the number of keys."""
+        name = keys.columns[0]
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = Bitmap.places(batch[name].to_numpy(zero_copy_only=False), bits)
+                word, inverse = np.unique(at >> np.uint64(6), return_inverse=True)
+                mask = np.zeros(len(word), np.uint64)
+                np.bitwise_or.at(mask, inverse, np.uint64(1) << (at & np.uint64(63)))
+                yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(mask.view(np.int64))], names=["word", "mask"])
+
+        frame = keys.mapInArrow(place, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+        words = np.zeros(1 << (bits - 6), np.uint64)
+        words[frame["word"].to_numpy()] = frame["mask"].to_numpy().view(np.uint64)
+        return Bitmap(bits, words)
+
+    @staticmethod
+    def places(keys: np.ndarray, bits: int) -> np.ndarray:
+        return mix64(keys.astype(np.int64).view(np.uint64)) >> np.uint64(64 - bits)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        at = Bitmap.places(keys, self.bits)
+        return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+def may_have(spark: SparkSession, bitmap: Bitmap, key: str) -> Column:
+    """A condition on a long column; only that column goes to Python."""
+
+    shared = spark.sparkContext.broadcast(bitmap)
+
+    def run(keys: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.has(keys.to_numpy()))
+
+    return F.pandas_udf(run, "boolean")(F.col(key))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collision_ann, compression_quality, packing, ppm_langid, threshold_topk, token_files, trie_bpe
+from . import collision_ann, compression_quality, packing, ppm_langid, suffix_dedup, threshold_topk, token_files, trie_bpe
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -20,6 +20,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_documents(spark, sf_dir), TOKENIZER)
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(_documents(spark, sf_dir))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(_documents(spark, sf_dir), TOKENIZER)
 
