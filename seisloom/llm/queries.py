@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collision_ann, compression_quality, packing, ppm_langid, suffix_dedup, threshold_topk, token_files, trie_bpe
+from . import collision_ann, compression_quality, hyperminhash, packing, ppm_langid, suffix_dedup, threshold_topk, token_files, trie_bpe
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -36,6 +36,10 @@ def op6_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_bpe.digests(_documents(spark, sf_dir), TOKENIZER)
 
 
+def op7_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.components(_documents(spark, sf_dir), words=4)
+
+
 def op8_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collision_ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
