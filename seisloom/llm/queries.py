@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collision_ann, compression_quality, hyperminhash, packing, ppm_langid, suffix_dedup, threshold_topk, token_files, trie_bpe
+from . import collision_ann, compression_quality, hmm_lm, hyperminhash, packing, ppm_langid, suffix_dedup, threshold_topk, token_files, trie_bpe
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -32,6 +32,10 @@ def op4_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threshold_topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op5_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.scored(_documents(spark, sf_dir))
+
+
 def op6_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_bpe.digests(_documents(spark, sf_dir), TOKENIZER)
 
