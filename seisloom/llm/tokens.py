@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import os
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
 from .trie_bpe import ChunkedEncoder
 
 
@@ -23,7 +22,7 @@ def library(path: str) -> ChunkedEncoder:
     def encode(chunks: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for at in range(0, len(chunks), 5000):
-            out += [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(chunks[at : at + 5000], add_special_tokens=False)]
+            out += [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(chunks[at : at + 5000], add_special_tokens=False)]
         return out
 
     return ChunkedEncoder(encode)

@@ -29,7 +29,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p
 MEMORY = 1_200_000
 #: Chunks of more characters are not remembered.
 LONG = 64
-_ADJACENT = regex.compile(r"[ ]\s|\s[ ]|\x1c|\x1d|\x1e|\x1f")
+#: White space other than space and line feed; the first nine are ASCII.
+_RARE = [*"\t\x0b\x0c\r\x1c\x1d\x1e\x1f\0", "\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000"]
 
 
 def byte_letters() -> dict[str, int]:
@@ -135,32 +136,46 @@ class TrieBpe:
 class ChunkedEncoder:
     """Encodes texts by their chunks between single spaces, which no pre-token crosses, remembering the ids of chunks.
 
-    A text with white space next to a space is encoded as a whole, since chunks could differ there.
+    The ids of a word and a mark after it are those of both, so that a word is encoded once, whatever follows it. A
+    text with white space next to a space, or with rare white space, is encoded as a whole, since chunks could differ.
     """
 
+    MARKS = ".,;:!?"
+
     def __init__(self, encode: Callable[[list[str]], list[bytes]]):
         self.encode_chunks = encode
         self.memory: dict[str, bytes] = {}  # of a space and the key
+        self.marks = dict(zip(self.MARKS, encode([*self.MARKS]), strict=True))
+
+    @staticmethod
+    def odd(text: str) -> bool:
+        return "  " in text or " \n" in text or "\n " in text or any(c in text for c in (_RARE[:9] if text.isascii() else _RARE))
+
+    def learn(self, missing: set[str]) -> dict[str, bytes]:
+        """Ids of chunks with a space before; the shorter ones are remembered."""
+        memory, marks = self.memory, self.marks
+        marked = [c for c in missing if c[-1:] in marks and c[:-1].isalpha()]
+        asked = list(missing.difference(marked).union({c[:-1] for c in marked if c[:-1] not in memory}))
+        known = dict(zip(asked, self.encode_chunks([f" {c}" for c in asked]), strict=True))
+        known.update([(c, (known.get(c[:-1]) or memory[c[:-1]]) + marks[c[-1]]) for c in marked])
+        memory.update(known if max(map(len, known), default=0) <= LONG else {c: ids for c, ids in known.items() if len(c) <= LONG})
+        return known
 
     def encode(self, texts: list[str]) -> list[bytes]:
         memory = self.memory
         if len(memory) > MEMORY:
             memory.clear()
-        whole = [k for k, x in enumerate(texts) if _ADJACENT.search(x)]
-        parts = [x.split(" ") for x in texts]
-        for k in whole:
-            parts[k] = parts[k][:0]
-        missing = list({c for p in parts for c in p[1:] if c not in memory})
-        fresh = dict(zip(missing, self.encode_chunks([f" {c}" for c in missing]), strict=True))
-        memory.update((c, ids) for c, ids in fresh.items() if len(c) <= LONG)
-        first = self.encode_chunks([p[0] if p else texts[k] for k, p in enumerate(parts)])
-        get = lambda c: memory[c] if c in memory else fresh[c]
+        parts = [[x] if self.odd(x) else x.split(" ") for x in texts]
+        known = memory.keys()
+        fresh = self.learn({c for p in parts for c in p[1:] if c not in known})
+        heads = list({p[0] for p in parts})
+        first = dict(zip(heads, self.encode_chunks(heads), strict=True))
         out = []
-        for head, p in zip(first, parts, strict=True):
+        for p in parts:
             try:
-                out.append(head + b"".join([memory[c] for c in p[1:]]))
+                out.append(first[p[0]] + b"".join([memory[c] for c in p[1:]]))
             except KeyError:  # a long chunk
-                out.append(head + b"".join([get(c) for c in p[1:]]))
+                out.append(first[p[0]] + b"".join([memory[c] if c in memory else fresh[c] for c in p[1:]]))
         return out
 
 
