@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import signal_queries
+from . import event_queries, signal_queries
 
-_PARTS = (signal_queries,)
+_PARTS = (signal_queries, event_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
