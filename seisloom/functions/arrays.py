@@ -41,7 +41,9 @@ def mean_of(a: Column) -> Column:
 def time_of_day(micros: Column, single: bool = False) -> Column:
     """(sin, cos) at 1, 2, 4 and 8 turns a day, then a, hour, of whole seconds. `single` rounds seconds to 32-bit floats first."""
     seconds = F.floor(micros / 1_000_000)
-    of_day = F.pmod(seconds.cast("float").cast("double"), F.lit(86400.0)) if single else F.pmod(seconds, F.lit(86400)).cast("double")
+    # the sum keeps the optimizer from folding both casts into one, which would skip the rounding
+    narrow = (seconds.cast("float") + F.lit(0.0).cast("float")).cast("double")
+    of_day = F.pmod(narrow, F.lit(86400.0)) if single else F.pmod(seconds, F.lit(86400)).cast("double")
     turns = [2.0 * math.pi * m / period for period in (86400.0, 3600.0) for m in (1, 2, 4, 8)]
     return F.array(*[f(of_day * w) for w in turns for f in (F.sin, F.cos)])
 

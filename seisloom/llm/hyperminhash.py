@@ -6,13 +6,18 @@ the bits that follow. An empty bucket takes the register of another, tried in an
 agree as often as the sets' similarity, however small the sets.
 
 Equal sets are one class, whatever their number, and one row from then on. Classes that agree in all `ROWS` registers
-of a band are candidates. Linking each to the least class of the band it shares most often, and confirming that on the
-full sets, joins nearly all that belong together without pairs. A second pass takes, from bands that still hold
-several components, every pair of classes of different components, estimates its similarity from the registers
-(corrected for registers that agree by chance), and confirms what could reach the threshold. A pair at the threshold
-shares no band with probability (1 - s^ROWS)^(BUCKETS / ROWS), 3e-6 at s = 0.8; pairs that share one are all decided.
+of a band are candidates; a pair at the threshold shares no band with probability (1 - s^ROWS)^(BUCKETS / ROWS), 3e-6 at
+s = 0.8. Only components are asked for, so pairs are never listed:
 
-Components come from repeated minimum labels with pointer jumping, over linked classes only, as tables.
+- In some rounds, each class is tried against one class of the band that it shares most often: first the least, then
+  one at random from another component. The registers' similarity, corrected for registers that agree by chance, can
+  rule a pair out; the full sets confirm the others. Near copies end up in one component.
+- Bands that still hold several components are then decided whole: in blocks of `BLOCK` members, every class outside
+  the band's main component is counted against all others through the shingles they share. What comes out is at most
+  one link for each component, not pairs.
+
+Components come from repeated minimum labels with pointer jumping, over linked classes only, as tables; up to `SMALL`
+links are joined by one task instead.
 
 Cases: a null text or one without words has an empty set and is linked with nothing; with fewer words than `words` the
 whole sequence is the one shingle; rows that repeat an id are nodes of their own; a null id never names a component
@@ -35,8 +40,11 @@ from .common import checkpointed, mix64, slices, small_batches, word_hashes
 BUCKETS = 96
 ROWS = 4
 MANTISSA = 10
-#: Pairs of the second pass whose estimate is this many standard deviations below the threshold are no candidates.
+#: A pair whose estimate is this many standard deviations below the threshold is not compared in full.
 SIGMAS = 6
+ROUNDS = 3
+BLOCK = 1000
+SMALL = 100_000
 _WEIGHTS = mix64(np.arange(101, 165, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -132,9 +140,12 @@ def _bands(classes: DataFrame) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, sources: DataFrame, words: int, percent: int) -> DataFrame:
     """Of pairs (a, b), those with 100 * intersection >= percent * union of the full sets."""
+    least = percent / 100 - SIGMAS * np.sqrt(percent / 100 * (1 - percent / 100) / BUCKETS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 500):
+            a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint16).reshape(-1, BUCKETS) for c in ("registers_a", "registers_b"))
+            batch = batch.filter(pa.array(estimate(a, b) >= least))
             left, right = C.raw_bytes(batch["text_a"]), C.raw_bytes(batch["text_b"])
             distinct = list({*left, *right})
             sets = dict(zip(distinct, shingle_sets([t.lower() for t in distinct], words), strict=True))
@@ -146,31 +157,92 @@ def _confirmed(pairs: DataFrame, sources: DataFrame, words: int, percent: int) -
                     keep[k] = 100 * both >= percent * (len(p) + len(q) - both)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    joined = pairs.join(sources.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    joined = joined.join(sources.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    joined = pairs
+    for side in "ab":
+        joined = joined.join(sources.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}"), F.col("registers").alias(f"registers_{side}")), side)
+    return joined.select("a", "b", "text_a", "text_b", "registers_a", "registers_b").mapInArrow(run, "a long, b long")
+
+
+def block_links(sets: list[np.ndarray], roots: np.ndarray, outside: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Positions of linked sets of different components, one link for each two components that it joins. Each set that is outside is counted against all."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    begin = np.cumsum(sizes) - sizes
+    roots, found = roots.copy(), []
+    mine = np.zeros(int(ids.max()) + 1, bool)
+    for x in np.flatnonzero(outside):
+        if (roots == roots[x]).all():
+            break
+        own = ids[begin[x] : begin[x] + sizes[x]]
+        mine[own] = True
+        both = np.bincount(owner[mine[ids]], minlength=len(sets))
+        mine[own] = False
+        for y in np.flatnonzero((100 * both >= percent * (sizes[x] + sizes - both)) & (roots != roots[x])):
+            if roots[y] != roots[x]:
+                found.append((x, y))
+                roots[roots == roots[y]] = roots[x]
+    return found
+
+
+def _block_links(rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b) from rows (band, i, j, node, root, outside, text) of whole groups, in the order of the groups."""
+
+    def decide(held: list[tuple]) -> pa.RecordBatch:
+        texts = {r[3]: r[6] for r in held}
+        sets = dict(zip(texts, shingle_sets([(t or "").encode().lower() for t in texts.values()], words), strict=True))
+        out: list[tuple[int, int]] = []
+        at = 0
+        while at < len(held):
+            to = at
+            while to < len(held) and held[to][:3] == held[at][:3]:
+                to += 1
+            group = held[at:to]
+            found = block_links([sets[r[3]] for r in group], np.array([r[4] for r in group]), np.array([r[5] for r in group]), percent)
+            out += [(group[x][3], group[y][3]) for x, y in found]
+            at = to
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(2)], names=["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in small_batches(batches, 500):
+            for row in zip(*(batch[c].to_pylist() for c in ("band", "i", "j", "node", "root", "outside", "text")), strict=True):
+                if len(held) >= 1000 and held[-1][:3] != row[:3]:
+                    yield decide(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield decide(held)
 
-def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b), those whose registers do not rule the threshold out."""
-    least = percent / 100 - SIGMAS * np.sqrt(percent / 100 * (1 - percent / 100) / BUCKETS)
+    keys = ["band", "i", "j"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "node", "root", "outside", "text").mapInArrow(run, "a long, b long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 5000):
-            a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint16).reshape(-1, BUCKETS) for c in ("of_a", "of_b"))
-            yield batch.select(["a", "b"]).filter(pa.array(estimate(a, b) >= least))
 
-    joined = pairs.join(classes.select(F.col("node").alias("a"), F.col("registers").alias("of_a")), "a")
-    joined = joined.join(classes.select(F.col("node").alias("b"), F.col("registers").alias("of_b")), "b")
-    return joined.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True):
+            p, q = top(a), top(b)
+            up[max(p, q)] = min(p, q)
+    nodes = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], names=["node", "root"])
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of edges (a, b): the least node that it reaches.
+    """(node, root) for every node of edges (a, b), cut off from their lineage: the least node that it reaches.
 
     Each round gives a node the least label among itself and its neighbours, then that label's own label; the number of
     rounds grows with the logarithm of the longest path.
     """
+    if edges.count() <= SMALL:
+        return checkpointed(edges.select("a", "b").coalesce(1).mapInArrow(_union, "node long, root long"))
     both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")))
     while True:
@@ -183,6 +255,14 @@ def connected(edges: DataFrame) -> DataFrame:
         labels = moved.select("node", "root")
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (node, root) after more links: components of components."""
+    a, b = (labels.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+    between = links.join(a, "a").join(b, "b").where("root_a != root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()
+    moved = connected(checkpointed(between)).select(F.col("node").alias("root"), F.col("root").alias("new"))
+    return checkpointed(labels.join(moved, "root", "left").select("node", F.coalesce("new", "root").alias("root")))
+
+
 def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     signed = checkpointed(signatures(docs, words))
@@ -191,10 +271,8 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     bands = checkpointed(_bands(classes))
     shared = bands.groupBy("band").agg(F.min("node").alias("centre"), F.max("node").alias("other")).where("centre != other").drop("other")
     shared = checkpointed(bands.join(shared, "band"))  # bands of at least two classes
-    often = shared.where("node != centre").groupBy("node", "centre").agg(F.count("*").alias("n"))
-    stars = often.groupBy("node").agg(F.max(F.struct("n", -F.col("centre"))).alias("best")).select(F.col("node").alias("a"), (-F.col("best")["col2"]).alias("b"))
     nodes = shared.select("node").distinct()
-    wanted = checkpointed(classes.select("digest", "doc_id", "node").join(nodes, "node"))
+    wanted = checkpointed(classes.join(nodes, "node"))
     spark = docs.sparkSession
     maybe = C.may_have(spark, C.Bitmap.of(wanted.select(F.xxhash64("doc_id").alias("k"))), "_k")
     texts = docs.select("doc_id", "text").withColumn("_k", F.xxhash64("doc_id")).where(maybe).drop("_k")
@@ -208,22 +286,31 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     named = texts.mapInArrow(digested, f"doc_id {kind}, text string, digest binary")
     same = (F.col("w.digest") == F.col("t.digest")) & F.col("w.doc_id").eqNullSafe(F.col("t.doc_id"))
-    sources = named.alias("t").join(wanted.alias("w"), same).select("w.node", "t.text")
+    sources = named.alias("t").join(wanted.alias("w"), same).select("w.node", "t.text", "w.registers")
     repeated = wanted.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").isEmpty() and docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
-    sources = checkpointed(sources if repeated else sources.groupBy("node").agg(F.min("text").alias("text")))
-    links = checkpointed(_confirmed(stars, sources, words, percent))
-    first = connected(links)
-    placed = shared.join(first, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band")
-    left = checkpointed(placed.join(mixed, "band"))
-    x, y = left.alias("x"), left.alias("y")
-    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.root") < F.col("y.root"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(tried, ["a", "b"], "left_anti")
-    more = checkpointed(_confirmed(_plausible(pairs, classes, percent), sources, words, percent))
-    roots = first
-    if not more.isEmpty():
-        roots = connected(links.union(more))
+    sources = checkpointed(sources if repeated else sources.groupBy("node").agg(F.min("text").alias("text"), F.first("registers").alias("registers")))
+    labels = nodes.select("node", F.col("node").alias("root"))
+    for turn in range(ROUNDS + 1):
+        placed = checkpointed(shared.select("band", "node").join(labels, "node"))
+        tried = F.struct(F.lit(0) if turn == 0 else F.xxhash64("node", F.lit(turn)), "node")
+        bands = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("node", "root"), tried).alias("centre"), F.count("*").alias("n"))
+        bands = bands.where("low != high").select("band", "centre", "n")
+        if turn == ROUNDS:
+            break
+        apart = placed.join(bands, "band").where("root != centre.root").groupBy("node", F.col("centre.node").alias("b")).agg(F.count("*").alias("shared"))
+        stars = apart.groupBy(F.col("node").alias("a")).agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
+        labels = _joined(labels, checkpointed(_confirmed(stars, sources, words, percent)))
+    if not bands.isEmpty():
+        counts = placed.groupBy("band", "root").agg(F.count("*").alias("k")).groupBy("band").agg(F.max_by("root", F.struct("k", "root")).alias("main"))
+        parts = F.ceil(F.col("n") / BLOCK)
+        cell = F.pmod(F.xxhash64("node"), F.col("parts"))
+        members = placed.join(bands.select("band", parts.alias("parts")), "band").join(counts, "band").withColumn("own", cell)
+        members = members.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        members = members.select("band", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "node", "root", (F.col("root") != F.col("main")).alias("outside"))
+        some = members.groupBy("band", "i", "j").agg(F.bool_or("outside").alias("any")).where("any").drop("any")
+        rows = members.join(some, ["band", "i", "j"]).join(sources.select("node", "text"), "node")
+        labels = _joined(labels, checkpointed(_block_links(rows, words, percent)))
+    roots = labels
     member = classes.select("digest", "doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = member.join(least, "root").select("digest", "component_id")
