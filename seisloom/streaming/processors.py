@@ -56,13 +56,13 @@ class FrameProcessor(StatefulProcessor):
         self.ring = handle.getValueState("ring", "k long, samples array<int>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        k, held = self.ring.get() if self.ring.exists() else (0, [])
-        held = [*held, *pd.concat(list(rows)).sort_values("i")["v"].tolist()]
+        k, held = self.ring.get() if self.ring.exists() else (0, [0])
+        held = [*held[1:], *pd.concat(list(rows)).sort_values("i")["v"].tolist()]
         out = []
         while len(held) >= self.size:
             out.append((key[0], k, held[: self.size]))
             k, held = k + 1, held[self.step :]
-        self.ring.update((int(k), [int(x) for x in held]))
+        self.ring.update((int(k), [0, *map(int, held)]))  # never an empty array, whose type state cannot tell
         yield pd.DataFrame(out, columns=["ch", "k", "samples"])
 
     def close(self) -> None:
@@ -89,21 +89,20 @@ class ClaimProcessor(StatefulProcessor):
         out = []
         for row in batch.itertuples(index=False):
             if row.kind == "claim" and not self.claim.exists():
-                self.claim.update((int(row.station), int(row.us), []))
+                self.claim.update((int(row.station), int(row.us), [int(row.station)]))  # its own station counts as the first
                 self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.timeout_ms)
             elif row.kind == "vote":
                 if not self.claim.exists():
                     out.append((key[0], "UnknownClaim", 0))
                     continue
                 station, us, votes = self.claim.get()
-                if row.station != station:
-                    votes = sorted({*votes, int(row.station)})
-                if len(votes) >= self.least:
-                    out.append((key[0], "Reached", len(votes) + 1))
+                votes = sorted({*map(int, votes), int(row.station)})
+                if len(votes) > self.least:
+                    out.append((key[0], "Reached", len(votes)))
                     self.claim.clear()
                 else:
-                    self.claim.update((station, us, votes))
-                    out.append((key[0], "Pending", len(votes)))
+                    self.claim.update((int(station), int(us), votes))
+                    out.append((key[0], "Pending", len(votes) - 1))
         yield pd.DataFrame(out, columns=["claim_id", "status", "stations"])
 
     def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
