@@ -164,11 +164,11 @@ def lora_delta_micro(spark, sf_dir):
     return D.low_rank_delta(last, s, "user_id", 4, 0.01).withColumn("a", r6("a"))
 
 
-@query(f"WITH {EV}, {_FEAT}, l AS (SELECT user_id, unnest(range(4)) AS i, unnest([avg(probability) - 0.5, avg(magnitude) - 3, avg(value) / 10 - 5, avg(probability) - 0.5]) AS g FROM ev GROUP BY user_id) SELECT user_id, CAST(i AS INTEGER) AS i, CAST(r AS INTEGER) AS r, round(g * 0.001::DOUBLE * m, 6) AS a FROM l JOIN f USING (user_id)")
+@query(f"WITH {EV}, {_FEAT}, l AS (SELECT user_id, unnest(range(4)) AS i, unnest([avg(probability - 0.5), avg(magnitude - 3), avg(value / 10 - 5), avg(probability - 0.5)]) AS g FROM ev GROUP BY user_id) SELECT user_id, CAST(i AS INTEGER) AS i, CAST(r AS INTEGER) AS r, round(g * 0.001::DOUBLE * m, 9) AS a FROM l JOIN f USING (user_id)")
 def lora_delta_base(spark, sf_dir):
     s = _signals(spark, sf_dir)
     means = s.groupBy("user_id").agg(F.array(*[F.avg(F.col("gradient")[k]) for k in range(4)]).alias("gradient"))
-    return D.low_rank_delta(means, s, "user_id", 16, 0.001).withColumn("a", r6("a"))
+    return D.low_rank_delta(means, s, "user_id", 16, 0.001).withColumn("a", F.round("a", 9))
 
 
 @query("WITH a AS (SELECT i, r, (i * 2 + r + 1) / 10.0::DOUBLE AS a FROM range(3) x(i), range(2) y(r)), b AS (SELECT r, j, (r + j) / 4.0::DOUBLE AS b FROM range(2) x(r), range(4) y(j)) SELECT i, j, round(1 + sum(a * b), 6) AS w FROM a JOIN b USING (r) GROUP BY i, j")

@@ -105,7 +105,7 @@ class ClaimProcessor(StatefulProcessor):
                     out.append((key[0], "Pending", len(votes) - 1))
         yield pd.DataFrame(out, columns=["claim_id", "status", "stations"])
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.claim.exists():
             self.claim.clear()
             yield pd.DataFrame([(key[0], "Expired", 0)], columns=["claim_id", "status", "stations"])
