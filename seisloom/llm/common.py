@@ -31,6 +31,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def lean_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Smaller Arrow batches for the session, from here on: rows hold whole texts, often two."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share."""
     if not (folder := spark.conf.get("spark.checkpoint.dir", None)):

@@ -43,7 +43,7 @@ MANTISSA = 10
 #: A pair whose estimate is this many standard deviations below the threshold is not compared in full.
 SIGMAS = 6
 ROUNDS = 3
-BLOCK = 1000
+BLOCK = 500
 SMALL = 100_000
 _WEIGHTS = mix64(np.arange(101, 165, dtype=np.uint64)) | np.uint64(1)
 
@@ -207,7 +207,7 @@ def _block_links(rows: DataFrame, words: int, percent: int) -> DataFrame:
         held: list[tuple] = []
         for batch in small_batches(batches, 500):
             for row in zip(*(batch[c].to_pylist() for c in ("band", "i", "j", "node", "root", "outside", "text")), strict=True):
-                if len(held) >= 1000 and held[-1][:3] != row[:3]:
+                if len(held) >= 300 and held[-1][:3] != row[:3]:
                     yield decide(held)
                     held = []
                 held.append(row)
@@ -265,6 +265,7 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
+    C.lean_batches(docs.sparkSession)
     signed = checkpointed(signatures(docs, words))
     classes = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("registers").alias("registers"))
     classes = checkpointed(classes.withColumn("node", F.monotonically_increasing_id()))
@@ -274,11 +275,12 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     nodes = shared.select("node").distinct()
     wanted = checkpointed(classes.join(nodes, "node"))
     spark = docs.sparkSession
-    maybe = C.may_have(spark, C.Bitmap.of(wanted.select(F.xxhash64("doc_id").alias("k"))), "_k")
-    texts = docs.select("doc_id", "text").withColumn("_k", F.xxhash64("doc_id")).where(maybe).drop("_k")
+    maybe = spark.sparkContext.broadcast(C.Bitmap.of(wanted.select(F.xxhash64("doc_id").alias("k"))))
+    texts = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("k"))
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
+            batch = batch.filter(pa.array(maybe.value.has(batch["k"].to_numpy())))  # before any work, in the same worker
             sets = shingle_sets([t.lower() for t in C.raw_bytes(batch["text"])], words)
             digest = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text"], pa.array(digest, pa.binary())], names=["doc_id", "text", "digest"])

@@ -284,6 +284,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 def with_spans(docs: DataFrame, length: int = LENGTH, group_segments: int = GROUP_SEGMENTS) -> DataFrame:
     """`docs` (keyed) with `_spans`: the removed runs of the text's bytes as pairs of little-endian 64-bit integers, in order; null if none."""
     spark = docs.sparkSession
+    C.lean_batches(spark)
     texts = docs.select("_key", "text")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
