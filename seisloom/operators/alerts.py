@@ -98,3 +98,19 @@ def pins(alerts: DataFrame) -> DataFrame:
     """(id, pin): the pins that a level raises; Low raises none."""
     wired = F.when(F.col("level") == "Medium", F.array(F.lit(17))).when(F.col("level") == "High", F.array(F.lit(27))).when(F.col("level") == "Critical", F.array(F.lit(27), F.lit(22))).otherwise(F.array().cast("array<int>"))
     return alerts.select("id", F.explode(wired).alias("pin"))
+
+
+def signed(alerts: DataFrame, seed: bytes) -> DataFrame:
+    """Alerts with a signature over the JSON of all their columns."""
+    from ..functions.signing import signatures
+
+    message = F.to_json(F.struct(*sorted(alerts.columns)))
+    return alerts.withColumn("signature", signatures(seed)(F.encode(message, "UTF-8")))
+
+
+def genuine(alerts: DataFrame, key: bytes) -> DataFrame:
+    """Those whose signature holds."""
+    from ..functions.signing import verified
+
+    message = F.to_json(F.struct(*sorted(c for c in alerts.columns if c != "signature")))
+    return alerts.where(verified(F.lit(key), F.encode(message, "UTF-8"), F.col("signature")))

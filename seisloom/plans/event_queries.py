@@ -384,3 +384,23 @@ def simulated_event(spark, sf_dir):
     from ..sources import sensors
 
     return sensors.simulated(spark, 5.0, 20.0, 0.01, 100)
+
+
+@query()
+def full_tick(spark, sf_dir):
+    """Frames to decisions: embed, find earlier neighbours, link, predict, decide. A frame's id follows time, then channel."""
+    from ..operators import embedding as E
+    from ..operators import framing as P
+    from .signal_queries import framed
+
+    frames = E.embedded(P.metadata(framed(spark, sf_dir))).withColumn("vec_id", F.col("k") * 1_000_000 + F.col("ch"))
+    vectors = frames.select("vec_id", F.col("vector").alias("embedding"))
+    near = V.nearest(vectors, vectors, 16, earlier=True).select(F.col("query_id").alias("centre"), F.col("vec_id").alias("id"), F.col("rank").alias("order"))
+    nodes = G.neighbourhood(vectors.select(F.col("vec_id").alias("centre")), near, near.limit(0))
+    nodes = nodes.join(vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), "id")
+    # a neighbour is linked with the centre if it came no more than a minute earlier
+    edges = nodes.where((F.col("id") != F.col("centre")) & (F.floor(F.col("centre") / 1_000_000) - F.floor(F.col("id") / 1_000_000) <= 46))
+    edges = edges.select("centre", F.col("place").alias("src_place"), F.lit(0).alias("dst_place"))
+    predicted = G.predictions(nodes.select("centre", "place", "vector"), edges)
+    p = predicted.select((F.col("centre") % 1_000_000).alias("station"), ((F.floor(F.col("centre") / 1_000_000) + 1) * 1_280_000).alias("us"), F.col("centre").alias("id"), F.col("event_probability").alias("probability"), F.col("estimated_magnitude").alias("magnitude"))
+    return L.decisions(p, L.Cooldown()).select("id", "level", "kind")

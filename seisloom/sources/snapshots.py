@@ -71,3 +71,12 @@ def recover(spark: SparkSession, folder: str, manifest: Manifest, log: DataFrame
     if digest_of(rows) != slot["digest"]:
         raise ValueError("the snapshot was changed")
     return rows, slot, 0 if log is None else log.where(F.col("seq") >= slot["sequence"]).count()
+
+
+def boot(spark: SparkSession, folder: str, manifest: Manifest, log: DataFrame | None = None) -> tuple[str, DataFrame | None, int]:
+    """(Warm, rows, entries since) from the best slot; Cold without one, or if it was changed: older slots are not tried."""
+    try:
+        found = recover(spark, folder, manifest, log)
+    except ValueError:
+        found = None
+    return ("Cold", None, 0) if found is None else ("Warm", found[0], found[2])

@@ -234,3 +234,37 @@ def test_sinks(spark, tmp_path):
     assert (one["sensors"], one["active"], one["mesh_available"], one["alerts"]) == (2, 1, False, 6)
     lines = spark.createDataFrame([(["MemTotal:  100 kB", "MemAvailable: 15 kB"],)], "l array<string>")
     assert lines.select(runtime.degradation(sinks.memory_used(F.col("l")))).first()[0] == "Warning"
+
+
+def test_sensor_source(spark, tmp_path):
+    from seisloom.sources import datasource
+
+    datasource.register(spark)
+    rows = spark.read.format("sensor").option("sensors", 2).option("samples", 300).load()
+    own = {r["i"]: r["v"] for r in rows.where("ch = 1").collect()}
+    assert rows.count() == 600 and own == {r["i"]: r["v"] for r in sensors.mock(spark, 300).collect()}
+    stream = spark.readStream.format("sensor").option("samples", 100).load()
+    query = stream.writeStream.format("memory").queryName("sensed").option("checkpointLocation", f"{tmp_path}/c").start()
+    try:
+        query.processAllAvailable()
+        assert spark.table("sensed").count() == 100
+    finally:
+        query.stop()
+
+
+def test_boot_and_signed_alerts(spark, tmp_path):
+    m = snapshots.Manifest()
+    assert snapshots.boot(spark, str(tmp_path), m) == ("Cold", None, 0)
+    snapshots.write(spark.range(3), str(tmp_path), m, 1)
+    assert snapshots.boot(spark, str(tmp_path), m)[0] == "Warm"
+    spark.range(4).write.mode("overwrite").parquet(f"{tmp_path}/slot-0")
+    assert snapshots.boot(spark, str(tmp_path), m)[0] == "Cold"
+    seed = bytes(range(32))
+    made = alerts.signed(spark.createDataFrame([(1, "High"), (2, "Low")], "id long, level string"), seed)
+    changed = made.withColumn("level", F.when(F.col("id") == 1, "Low").otherwise(F.col("level")))
+    assert [r["id"] for r in alerts.genuine(changed, signing.public_key(seed)).collect()] == [2]
+
+
+def test_feed_forward():
+    out = graph.feed_forward(np.random.default_rng(1).normal(size=(5, 256)))
+    assert out.shape == (5, 4) and (out >= 0).all() and (out[:, [0, 3]] <= 1).all()
