@@ -6,6 +6,7 @@ Everything here works on whole texts; nothing caps, samples or truncates rows.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,6 +32,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """`df` as Parquet below the shared folder, and where. Unlike a checkpoint, its size is known from its files, so that a loop's estimates do not multiply."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete what written() has written."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def lean_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Smaller Arrow batches for the session, from here on: rows hold whole texts, often two."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:

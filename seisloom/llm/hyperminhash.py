@@ -242,14 +242,16 @@ def connected(edges: DataFrame) -> DataFrame:
     rounds grows with the logarithm of the longest path.
     """
     if edges.count() <= SMALL:
-        return checkpointed(edges.select("a", "b").coalesce(1).mapInArrow(_union, "node long, root long"))
-    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")))
+        return C.written(edges.select("a", "b").coalesce(1).mapInArrow(_union, "node long, root long"))[0]
+    both, _ = C.written(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels, path = C.written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")))
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("near"))
         step = labels.join(near, labels["node"] == near["a"]).select("node", F.col("root").alias("was"), F.least("root", "near").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("root").alias("far"))
-        moved = checkpointed(step.join(jump, "next").select("node", F.least("next", "far").alias("root"), "was"))
+        moved, new = C.written(step.join(jump, "next").select("node", F.least("next", "far").alias("root"), "was"))
+        C.dropped(edges.sparkSession, path)
+        path = new
         if moved.where("root != was").isEmpty():
             return moved.select("node", "root")
         labels = moved.select("node", "root")
@@ -260,7 +262,7 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     a, b = (labels.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
     between = links.join(a, "a").join(b, "b").where("root_a != root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()
     moved = connected(checkpointed(between)).select(F.col("node").alias("root"), F.col("root").alias("new"))
-    return checkpointed(labels.join(moved, "root", "left").select("node", F.coalesce("new", "root").alias("root")))
+    return C.written(labels.join(moved, "root", "left").select("node", F.coalesce("new", "root").alias("root")))[0]
 
 
 def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
