@@ -98,11 +98,8 @@ def attention_softmax(spark, sf_dir):
 def gat_predict(spark, sf_dir):
     e, nodes = _neighbourhood(spark, sf_dir)
     nodes = nodes.join(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), "id")
-    a, b = nodes.alias("a"), nodes.alias("b")
     # observation times are the ids here; an edge runs from the earlier to the later within 60
-    timed = (F.col("a.centre") == F.col("b.centre")) & (F.col("a.id") != F.col("b.id")) & F.col("b.id").between(F.col("a.id"), F.col("a.id") + 60)
-    edges = a.join(b, timed).select(F.col("a.centre").alias("centre"), F.col("a.place").alias("src_place"), F.col("b.place").alias("dst_place"))
-    return G.predictions(nodes.select("centre", "place", "vector"), edges)
+    return G.predictions(nodes.withColumn("us", F.col("id")), 60)
 
 
 @query(f"WITH {EV} SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS recent_mean FROM ev")
@@ -388,7 +385,7 @@ def simulated_event(spark, sf_dir):
 
 @query()
 def full_tick(spark, sf_dir):
-    """Frames to decisions: embed, find earlier neighbours, link, predict, decide. A frame's id follows time, then channel."""
+    """Frames to decisions: embed, find earlier neighbours, join the last 100 frames, link all within a minute, predict, decide. A frame's id follows time, then channel; a frame is among its own neighbours and last frames, as in the reference."""
     from ..operators import embedding as E
     from ..operators import framing as P
     from .signal_queries import framed
@@ -396,11 +393,9 @@ def full_tick(spark, sf_dir):
     frames = E.embedded(P.metadata(framed(spark, sf_dir))).withColumn("vec_id", F.col("k") * 1_000_000 + F.col("ch"))
     vectors = frames.select("vec_id", F.col("vector").alias("embedding"))
     near = V.nearest(vectors, vectors, 16, earlier=True).select(F.col("query_id").alias("centre"), F.col("vec_id").alias("id"), F.col("rank").alias("order"))
-    nodes = G.neighbourhood(vectors.select(F.col("vec_id").alias("centre")), near, near.limit(0))
-    nodes = nodes.join(vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), "id")
-    # a neighbour is linked with the centre if it came no more than a minute earlier
-    edges = nodes.where((F.col("id") != F.col("centre")) & (F.floor(F.col("centre") / 1_000_000) - F.floor(F.col("id") / 1_000_000) <= 46))
-    edges = edges.select("centre", F.col("place").alias("src_place"), F.lit(0).alias("dst_place"))
-    predicted = G.predictions(nodes.select("centre", "place", "vector"), edges)
+    past = G.recent(frames.select(F.col("vec_id").alias("id")), 100)
+    nodes = G.neighbourhood(vectors.select(F.col("vec_id").alias("centre")), near, past)
+    nodes = nodes.join(frames.select(F.col("vec_id").alias("id"), F.col("timestamp_us").alias("us"), "vector"), "id")
+    predicted = G.predictions(nodes, 60_000_000)
     p = predicted.select((F.col("centre") % 1_000_000).alias("station"), ((F.floor(F.col("centre") / 1_000_000) + 1) * 1_280_000).alias("us"), F.col("centre").alias("id"), F.col("event_probability").alias("probability"), F.col("estimated_magnitude").alias("magnitude"))
     return L.decisions(p, L.Cooldown()).select("id", "level", "kind")
