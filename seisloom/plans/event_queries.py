@@ -68,20 +68,16 @@ def transition_matrix(spark, sf_dir):
     return G.transition_matrix(f).withColumn("p", r6("p"))
 
 
-def _neighbourhood(spark, sf_dir):
+@query("""WITH d AS (SELECT a.vec_id AS centre, b.vec_id AS id, row_number() OVER (PARTITION BY a.vec_id ORDER BY 1 - list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) AS o FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0),
+u AS (SELECT vec_id AS centre, vec_id AS id, 0 AS kind, 0 AS o FROM embeddings WHERE vec_id % 100 = 0 UNION ALL SELECT centre, id, 1, o FROM d WHERE o <= 16 UNION ALL SELECT a.vec_id, b.vec_id, 2, a.vec_id - b.vec_id FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND b.vec_id BETWEEN a.vec_id - 10 AND a.vec_id - 1),
+f AS (SELECT centre, id, min(kind * 1000 + o) AS o FROM u GROUP BY centre, id) SELECT centre, id, CAST(row_number() OVER (PARTITION BY centre ORDER BY o, id) - 1 AS INTEGER) AS place FROM f""")
+def subgraph_nodes(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings")
     centres = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("centre"))
     near = V.nearest(e.where("vec_id % 100 = 0"), e, 16).select(F.col("query_id").alias("centre"), F.col("vec_id").alias("id"), F.col("rank").alias("order"))
     past = centres.select("centre", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("order")).withColumn("id", F.col("centre") - F.col("order"))
     past = past.join(e.select(F.col("vec_id").alias("id")), "id").select("centre", "id", "order")
-    return e, G.neighbourhood(centres, near, past)
-
-
-@query("""WITH d AS (SELECT a.vec_id AS centre, b.vec_id AS id, row_number() OVER (PARTITION BY a.vec_id ORDER BY 1 - list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) AS o FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0),
-u AS (SELECT vec_id AS centre, vec_id AS id, 0 AS kind, 0 AS o FROM embeddings WHERE vec_id % 100 = 0 UNION ALL SELECT centre, id, 1, o FROM d WHERE o <= 16 UNION ALL SELECT a.vec_id, b.vec_id, 2, a.vec_id - b.vec_id FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND b.vec_id BETWEEN a.vec_id - 10 AND a.vec_id - 1),
-f AS (SELECT centre, id, min(kind * 1000 + o) AS o FROM u GROUP BY centre, id) SELECT centre, id, CAST(row_number() OVER (PARTITION BY centre ORDER BY o, id) - 1 AS INTEGER) AS place FROM f""")
-def subgraph_nodes(spark, sf_dir):
-    return _neighbourhood(spark, sf_dir)[1].withColumn("place", F.col("place").cast("int"))
+    return G.neighbourhood(centres, near, past).withColumn("place", F.col("place").cast("int"))
 
 
 @query("""WITH d AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_avg(a.embedding::DOUBLE[]) + list_avg(b.embedding::DOUBLE[]) AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY 1 - list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) AS o FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id != b.vec_id),
@@ -96,7 +92,10 @@ def attention_softmax(spark, sf_dir):
 
 @query()
 def gat_predict(spark, sf_dir):
-    e, nodes = _neighbourhood(spark, sf_dir)
+    """Every row is a centre, with its 16 nearest and the last 100 rows up to it in the order of ids."""
+    e = read(spark, sf_dir, "embeddings")
+    near = V.nearest(e, e, 16).select(F.col("query_id").alias("centre"), F.col("vec_id").alias("id"), F.col("rank").alias("order"))
+    nodes = G.neighbourhood(e.select(F.col("vec_id").alias("centre")), near, G.recent(e.select(F.col("vec_id").alias("id")), 100))
     nodes = nodes.join(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), "id")
     # observation times are the ids here; an edge runs from the earlier to the later within 60
     return G.predictions(nodes.withColumn("us", F.col("id")), 60)
