@@ -322,6 +322,11 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` that are kept: of each component the least id. Rows that repeat that id stay with it."""
-    gone = components(docs, words, percent).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of `docs` that are kept: of each component one row, that of the least id. Where ids repeat or are null, each row is decided on its own; null ids come last."""
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").isEmpty():
+        gone = components(docs, words, percent).where("NOT kept").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = checkpointed(docs.withColumn("_key", F.monotonically_increasing_id()))
+    named = rows.select(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_key").alias("doc_id"), "text")
+    gone = components(named, words, percent).where("NOT kept").select(F.col("doc_id._key").alias("_key"))
+    return rows.join(gone, "_key", "left_anti").select(*docs.columns)

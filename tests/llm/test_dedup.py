@@ -116,6 +116,16 @@ def test_components(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, x in brute_components(rows, 5).items() if x[2]}
 
 
+def test_one_of_each_with_repeated_and_null_ids(spark):
+    text = lambda name: " ".join(f"{name}{k}" for k in range(60))
+    near = [text("a") + f" end{k}" for k in range(6)]
+    rows = [(9, near[0]), (None, near[1]), (None, near[2]), (7, near[3]), (3, near[4]), (7, text("only")), (3, near[4])]
+    rows += [(None, text("b")), (None, text("b")), (20, text("c")), (20, text("c")), (21, None), (21, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["text"]) for r in hyperminhash.one_of_each(docs).collect()]
+    assert sorted(got, key=repr) == sorted([(3, near[4]), (7, text("only")), (None, text("b")), (20, text("c")), (21, None), (21, None), (None, None)], key=repr)
+
+
 def test_links_and_components_of_all_sizes(spark):
     random.seed(3)
     edges = [(random.randint(0, 300), random.randint(0, 300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1060)]
