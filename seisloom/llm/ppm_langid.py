@@ -9,7 +9,7 @@ language with the shortest wins; the score is its posterior under equal priors.
 Texts are lower-cased, and ASCII other than letters counts as one space, for training and prediction alike.
 
 Training reads the texts of about `PER_LANGUAGE` labelled documents of each language, chosen by a hash of the id: a
-bounded sample. Grams beyond the `GRAMS` most frequent are left out of the model, which bounds what is broadcast.
+bounded sample. All its grams are in the model, so what is broadcast is bounded by languages times sampled documents.
 
 Cases: a null text, or one without a letter, is `und` with score 0, and so is every text if nothing can be learned;
 null languages are never learned; repeated rows are predicted each; whole texts count, however long; an empty table
@@ -31,7 +31,6 @@ from .common import remainder, slices, small_batches
 
 ORDER = 4
 PER_LANGUAGE = 1500
-GRAMS = 400_000
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 _PLAIN = bytes(b if b > 127 or 97 <= b <= 122 else 32 for b in range(256))
@@ -134,7 +133,7 @@ class ContextTree:
         return sums[end] - sums[begin]
 
 
-def train(docs: DataFrame, order: int = ORDER, per_language: int = PER_LANGUAGE, most: int = GRAMS) -> ContextTree | None:
+def train(docs: DataFrame, order: int = ORDER, per_language: int = PER_LANGUAGE) -> ContextTree | None:
     """From (doc_id, text, lang); rows whose crc32(doc_id) modulo 3 is 1 are left out. None if there is nothing to learn."""
     known = docs.where(F.col("lang").isNotNull() & (remainder(F.col("doc_id"), 3) != 1)).select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
@@ -154,7 +153,7 @@ def train(docs: DataFrame, order: int = ORDER, per_language: int = PER_LANGUAGE,
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
     counted = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    frame = counted.orderBy(F.desc("n"), "lang", "gram").limit(most).toPandas()  # the model: at most `most` rows
+    frame = counted.toPandas()  # the model: the grams of a bounded sample
     rows = list(zip(frame["lang"], frame["gram"], frame["n"], strict=True))
     return ContextTree.build(rows, order) if rows else None
 

@@ -113,3 +113,13 @@ def test_approximate_neighbours(spark):
     got = collision_ann.nearest(odd)
     assert not {400, 450, 500, 550, 600} & {r["vec_id"] for r in got.collect()}
     assert collision_ann.nearest(odd.limit(0)).count() == 0
+
+
+def test_rare_language_keeps_its_grams(spark):
+    random = np.random.default_rng(5)
+    letters = lambda n, of: "".join(random.choice(list(of), n))
+    often = [(k, letters(20_000, "abcdefghijklmnopqrstuvwxyz") * 2, "often") for k in range(40)]
+    rare = [(100 + k, letters(150, "aeiou"), "rare") for k in range(3)]
+    tree = ppm_langid.train(spark.createDataFrame(often + rare, "doc_id long, text string, lang string"))
+    assert tree.languages == ["often", "rare"]
+    assert tree.lengths([letters(200, "aeiou"), letters(200, "bcdfgxyz")]).argmin(1).tolist() == [1, 0]
