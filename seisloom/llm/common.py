@@ -5,9 +5,12 @@ Everything here works on whole texts; nothing caps, samples or truncates rows.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -22,6 +25,7 @@ SLICE_BYTES = 1 << 20
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _pow: dict[str, np.ndarray] = {}
+_held: dict[str, Any] = {}
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -51,6 +55,25 @@ def lean_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
+def held(key: str, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task: one thing at most, so that a worker that stages share does not pile up all of theirs."""
+    if key not in _held:
+        release()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Let go of what this worker keeps; tasks that keep nothing begin with it."""
+    if _held:
+        _held.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)  # memory that is free goes back to the system
+        except (OSError, AttributeError):  # another C library
+            pass
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share."""
     if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
@@ -84,7 +107,7 @@ def _byte_codes() -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd base modulo 2^64 and their inverses."""
     if "up" not in _pow or len(_pow["up"]) < n:
-        size = max(n, 2 * SLICE_BYTES)
+        size = max(n, SLICE_BYTES * 5 // 4)
         for key, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             seq = np.full(size, base, np.uint64)
             seq[0] = 1

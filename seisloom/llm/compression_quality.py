@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, remainder, small_batches
+from .common import checkpointed, release, remainder, small_batches
 
 BLOCK = 2048
 DICTIONARY = 112_640
@@ -140,6 +140,7 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     """(doc_id, score) of every document; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in small_batches(batches):
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(model.score(batch["text"].to_pylist()))], names=["doc_id", "score"])
 
@@ -158,6 +159,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFra
     column = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in small_batches(batches):
             yield batch.filter(pa.array(model.score(batch.column(column).to_pylist()) >= least))
 

@@ -114,6 +114,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n_shingles, digest binary, registers binary); both null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.release()
         for batch in small_batches(batches):
             sets = shingle_sets([t.lower() for t in C.raw_bytes(batch["text"])], words)
             digest = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]

@@ -2,9 +2,10 @@
 
 A tree of byte contexts of up to `ORDER` bytes holds, for each language, how often each byte followed each context. Its
 statistics are frozen after training. A byte that a context has seen c times of n, with d different bytes, has the
-probability c / (n + d); otherwise the context escapes with d / (n + d) to the context shorter by a byte, where bytes
-that were already excluded do not count. The code length of a text under a language is the sum over its bytes. The
-language with the shortest wins; the score is its posterior under equal priors.
+probability c / (n + d); otherwise the context escapes with d / (n + d) to the distribution of the context shorter by a
+byte, scaled to 1 without the bytes that the longer one has seen. Below the empty context all 256 bytes are alike. So
+the probabilities after a context sum to 1, and the code length of a text under a language, the sum over its bytes, is
+exact. The language with the shortest wins; the score is its posterior under equal priors.
 
 Texts are lower-cased, and ASCII other than letters counts as one space, for training and prediction alike.
 
@@ -18,19 +19,22 @@ gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, slices, small_batches
+from .common import release, remainder, slices, small_batches
 
 ORDER = 4
 PER_LANGUAGE = 1500
+#: Bytes whose code lengths are held at once, however long a text is.
+WINDOW = 1 << 20
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 _PLAIN = bytes(b if b > 127 or 97 <= b <= 122 else 32 for b in range(256))
@@ -49,88 +53,122 @@ def symbols(texts: list[str | None], order: int = ORDER) -> tuple[np.ndarray, np
     return data[keep], place[begin], place[begin + sizes]
 
 
-def grams(texts: list[str | None], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct runs of `order` context bytes and the byte that follows, as integers, and their counts."""
-    data, begin, end = symbols(texts, order)
+def codes(data: np.ndarray, order: int = ORDER) -> np.ndarray:
+    """For each byte, `order` bytes before it and itself as one integer; what lies before the first is zero."""
     wide = data.astype(np.int64)
     code = np.zeros(len(wide), np.int64)
     for back in range(order, -1, -1):
-        code = (code << 8) | (wide if not back else np.concatenate([np.zeros(back, np.int64), wide[:-back]]))
-    inside = np.zeros(len(wide) + 1, np.int64)
+        code <<= 8
+        code[back:] |= wide[: len(wide) - back]
+    return code
+
+
+def grams(texts: list[str | None], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct runs of `order` context bytes and the byte that follows, as integers, and their counts."""
+    data, begin, end = symbols(texts, order)
+    inside = np.zeros(len(data) + 1, np.int64)
     np.add.at(inside, begin, 1)
     np.add.at(inside, end, -1)
-    return np.unique(code[np.cumsum(inside[:-1]) > 0], return_counts=True)
+    return np.unique(codes(data, order)[np.cumsum(inside[:-1]) > 0], return_counts=True)
+
+
+@dataclass
+class Contexts:
+    """Contexts of one length. Only what was seen is stored; all arrays are sorted by their keys."""
+
+    keys: np.ndarray  # a context's bytes and the byte that follows, as one integer
+    bits: np.ndarray  # its code length under each language
+    contexts: np.ndarray  # keys without the byte that follows
+    escape: np.ndarray  # what a byte that is not among the context's keys costs before the context shorter by one is asked
+
+    @staticmethod
+    def of(code: np.ndarray, which: np.ndarray, count: np.ndarray, kinds: int, lower: Callable[[np.ndarray], np.ndarray]) -> tuple[Contexts, np.ndarray]:
+        """And the probabilities of the keys. `lower` gives those that the next shorter contexts have for keys."""
+        keys, inverse = np.unique(code, return_inverse=True)
+        counts = np.bincount(inverse * kinds + which, weights=count, minlength=len(keys) * kinds).reshape(-1, kinds)
+        contexts, first, owner = np.unique(keys >> 8, return_index=True, return_inverse=True)
+        seen, below = counts > 0, lower(keys)
+        total = np.add.reduceat(counts, first)
+        different = np.add.reduceat(seen.astype(np.float64), first)
+        rest = 1 - np.add.reduceat(np.where(seen, below, 0), first)  # of the shorter context, without the bytes excluded
+        mass = np.where(different < 256, different, 0)  # nothing is left to escape to where all bytes were seen
+        out = np.maximum(total + mass, 1)
+        leave = np.where(total > 0, mass / out / np.maximum(rest, 1e-12), 1)
+        chance = np.where(seen, counts / out[owner], leave[owner] * below)
+        as_bits = lambda p: -np.log2(np.maximum(p, 1e-30)).astype(np.float32)
+        return Contexts(keys, as_bits(chance), contexts, as_bits(leave)), chance
+
+
+def found(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where sorted `table` holds each key, and whether it does."""
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
 
 
 @dataclass
 class ContextTree:
-    """child[node, symbol]: the context one byte longer, or the last node, which has none; bits[node, symbol]: code lengths by language."""
+    """levels[k]: the contexts of k bytes. Memory: for each key and each context, 8 bytes and 4 for each language."""
 
     languages: list[str]
-    symbol: np.ndarray
-    child: np.ndarray
-    bits: np.ndarray
-    order: int
+    levels: list[Contexts]
 
     @staticmethod
-    def build(rows: list[tuple[str, int, int]], order: int) -> ContextTree:
-        """From (language, gram, count)."""
-        languages = sorted({r[0] for r in rows})
-        code = np.array([r[1] for r in rows], np.int64)
-        which = np.array([languages.index(r[0]) for r in rows], np.int64)
-        count = np.array([r[2] for r in rows], np.float64)
-        seen = np.unique(np.concatenate([(code >> (8 * k)) & 255 for k in range(order + 1)]))
-        symbol = np.full(256, len(seen), np.int32)  # unseen bytes share the last symbol
-        symbol[seen] = np.arange(len(seen))
-        width, kinds = len(seen) + 1, len(languages)
-        now = symbol[code & 255]
-        node = np.zeros(len(code), np.int64)
-        nodes, parents, made = 1, [np.zeros(1, np.int64)], []
-        paths = [node]
-        for back in range(1, order + 1):
-            key = node * width + symbol[(code >> (8 * back)) & 255]
-            new, node = np.unique(key, return_inverse=True)
-            made.append((new, nodes))
-            node = node + nodes
-            parents.append(new // width)
-            nodes += len(new)
-            paths.append(node)
-        child = np.full((nodes + 1, width), nodes, np.int32)
-        for new, first in made:
-            child[new // width, new % width] = np.arange(first, first + len(new))
-        cell = nodes * width * kinds
-        counts = np.zeros(cell)
-        for path in paths:
-            counts += np.bincount((path * width + now) * kinds + which, weights=count, minlength=cell)
-        counts = counts.reshape(nodes, width, kinds)
-        chance = np.empty_like(counts)
-        level, lower = 0, np.full((1, width, kinds), 1 / 256)
-        for parent in parents:
-            own = counts[level : level + len(parent)]
-            below = lower if level == 0 else chance[parent]
-            total, kinds_seen = own.sum(1, keepdims=True), (own > 0).sum(1, keepdims=True)
-            rest = np.where(own > 0, 0, below).sum(1, keepdims=True)
-            if level == 0:  # at the root, each of the 256 bytes may be new, not just each symbol
-                rest = np.maximum(1 - (own > 0).sum(1, keepdims=True) / 256, 1 / 256)
-            out = np.maximum(total + kinds_seen, 1)
-            chance[level : level + len(parent)] = np.where(own > 0, own / out, np.where(total > 0, kinds_seen / out, 1) * below / np.where(total > 0, np.maximum(rest, 1e-12), 1))
-            level += len(parent)
-        bits = -np.log2(np.maximum(chance, 1e-12))
-        return ContextTree(languages, symbol, child, np.concatenate([bits, bits[:1]]).astype(np.float32).reshape(-1, kinds), order)
+    def build(languages: list[str], which: np.ndarray, code: np.ndarray, count: np.ndarray, order: int) -> ContextTree:
+        """From grams (language's position, gram, count); not from none."""
+        levels: list[Contexts] = []
+        chance = np.zeros(0)
+        for k in range(order + 1):
+            mask = (1 << (8 * k)) - 1  # of the key with the context shorter by one
+
+            def lower(keys: np.ndarray) -> np.ndarray:
+                return chance[np.searchsorted(levels[-1].keys, keys & mask)] if levels else np.full((len(keys), len(languages)), 1 / 256)
+
+            level, chance = Contexts.of(code & ((mask << 8) | 255), which, count, len(languages), lower)
+            levels.append(level)
+        return ContextTree(languages, levels)
+
+    @property
+    def order(self) -> int:
+        return len(self.levels) - 1
+
+    def bits(self, code: np.ndarray) -> np.ndarray:
+        """Code length of each gram's last byte after the others, under each language."""
+        out = np.zeros((len(code), len(self.languages)), np.float32)
+        left = np.arange(len(code))
+        for k in range(self.order, -1, -1):
+            level = self.levels[k]
+            key = code[left] & ((1 << (8 * (k + 1))) - 1)
+            at, hit = found(level.keys, key)
+            out[left[hit]] += level.bits[at[hit]]
+            left, key = left[~hit], key[~hit]
+            if not len(left):
+                return out
+            at, hit = found(level.contexts, key >> 8)
+            out[left[hit]] += level.escape[at[hit]]
+        out[left] += 8
+        return out
 
     def lengths(self, texts: list[str | None]) -> np.ndarray:
-        """Code lengths in bits of each text (row) under each language (column)."""
+        """Code lengths in bits of each text (row) under each language (column), in windows of `WINDOW` bytes."""
         data, begin, end = symbols(texts, self.order)
-        code, none, width = self.symbol[data], len(self.child) - 1, self.child.shape[1]
-        node = np.zeros(len(code), np.int32)
-        deep = node.copy()
-        for back in range(1, self.order + 1):
-            node[back:] = self.child[node[back:], code[:-back]]
-            node[:back] = none
-            np.copyto(deep, node, where=node != none)
-        sums = np.zeros((len(code) + 1, len(self.languages)))
-        np.cumsum(self.bits[deep.astype(np.int64) * width + code], axis=0, dtype=np.float64, out=sums[1:])
-        return sums[end] - sums[begin]
+        out = np.zeros((len(texts), len(self.languages)))
+        for at in range(self.order, len(data), WINDOW):
+            to = min(len(data), at + WINDOW)
+            code = codes(data[at - self.order : to], self.order)[self.order :]
+            sums = np.zeros((len(code) + 1, len(self.languages)))
+            np.cumsum(self.bits(code), axis=0, dtype=np.float64, out=sums[1:])
+            out += sums[end.clip(at, to) - at] - sums[begin.clip(at, to) - at]
+        return out
+
+    def posteriors(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The language with the shortest code for each text, and its posterior under equal priors: -1 and 0 of texts without letters."""
+        best, chance = np.full(len(texts), -1), np.zeros(len(texts))
+        for at, to in slices([(t or "").encode("utf-8", "surrogatepass") for t in texts]):
+            bits = self.lengths(texts[at:to])
+            lettered = np.fromiter((bool(t and _LETTER.search(t)) for t in texts[at:to]), bool, to - at)
+            best[at:to] = np.where(lettered, bits.argmin(1), -1)
+            chance[at:to] = np.where(lettered, 1 / np.exp2(np.minimum(bits.min(1, keepdims=True) - bits, 0)).sum(1), 0)
+        return best, chance
 
 
 def train(docs: DataFrame, order: int = ORDER, per_language: int = PER_LANGUAGE) -> ContextTree | None:
@@ -153,9 +191,12 @@ def train(docs: DataFrame, order: int = ORDER, per_language: int = PER_LANGUAGE)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
     counted = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    frame = counted.toPandas()  # the model: the grams of a bounded sample
-    rows = list(zip(frame["lang"], frame["gram"], frame["n"], strict=True))
-    return ContextTree.build(rows, order) if rows else None
+    frame = counted.toArrow()  # the model: the grams of a bounded sample
+    if not frame.num_rows:
+        return None
+    languages = sorted(frame["lang"].unique().to_pylist())
+    which = pc.index_in(frame["lang"], pa.array(languages)).to_numpy().astype(np.int64)
+    return ContextTree.build(languages, which, frame["gram"].to_numpy(), frame["n"].to_numpy().astype(np.float64), order)
 
 
 def predict(docs: DataFrame, tree: ContextTree | None) -> DataFrame:
@@ -163,18 +204,13 @@ def predict(docs: DataFrame, tree: ContextTree | None) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(tree)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         tree = model.value
         for batch in small_batches(batches):
             texts = batch["text"].to_pylist()
-            names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            for at, to in slices([(t or "").encode("utf-8", "surrogatepass") for t in texts]) if tree else ():
-                bits = tree.lengths(texts[at:to])
-                best = bits.argmin(1)
-                chance = 1 / np.exp2(np.minimum(bits.min(1, keepdims=True) - bits, 0)).sum(1)
-                for k in range(to - at):
-                    if texts[at + k] and _LETTER.search(texts[at + k]):
-                        names[at + k], scores[at + k] = tree.languages[best[k]], chance[k]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(names), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
+            best, scores = tree.posteriors(texts) if tree else (np.full(len(texts), -1), np.zeros(len(texts)))
+            names = [tree.languages[k] if k >= 0 else UNKNOWN for k in best.tolist()]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(names, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
@@ -192,14 +228,10 @@ def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     column = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         tree = model.value
         for batch in small_batches(batches):
-            texts = batch.column(column).to_pylist()
-            keep = np.zeros(len(texts), bool)
-            for at, to in slices([(t or "").encode("utf-8", "surrogatepass") for t in texts]) if tree else ():
-                bits = tree.lengths(texts[at:to])
-                keep[at:to] = 1 / np.exp2(np.minimum(bits.min(1, keepdims=True) - bits, 0)).sum(1) >= least
-            keep &= np.fromiter((bool(t and _LETTER.search(t)) for t in texts), bool, len(texts))
-            yield batch.filter(pa.array(keep))
+            best, chance = tree.posteriors(batch.column(column).to_pylist()) if tree else (np.full(batch.num_rows, -1), 0)
+            yield batch.filter(pa.array((best >= 0) & (chance >= least)))
 
     return docs.mapInArrow(run, schema)

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import os
 from array import array
-from functools import lru_cache
 
+from .common import held
 from .trie_bpe import ChunkedEncoder
 
 
-@lru_cache(2)
 def library(path: str) -> ChunkedEncoder:
     """The library's encoder, called once for each distinct chunk between spaces; one for each Python worker."""
+    return held(f"library {path}", lambda: _library(path))
+
+
+def _library(path: str) -> ChunkedEncoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
     from tokenizers import Tokenizer
 

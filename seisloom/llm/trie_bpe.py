@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import small_batches, texts_of
+from .common import held, small_batches, texts_of
 
 #: The pre-tokenisation pattern that byte-level vocabularies of this family are made for.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -179,11 +179,14 @@ class ChunkedEncoder:
         return out
 
 
-@lru_cache(2)
 def coder(path: str) -> tuple[TrieBpe, ChunkedEncoder]:
     """One for each Python worker."""
-    bpe = TrieBpe(path)
-    return bpe, ChunkedEncoder(bpe.encode_chunks)
+
+    def make() -> tuple[TrieBpe, ChunkedEncoder]:
+        bpe = TrieBpe(path)
+        return bpe, ChunkedEncoder(bpe.encode_chunks)
+
+    return held(f"coder {path}", make)
 
 
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:

@@ -54,14 +54,63 @@ def test_language_id(spark):
     assert ppm_langid.identified(odd.limit(0)).count() == 0
 
 
+def brute_chance(seen: dict[bytes, Counter], context: bytes) -> list[float]:
+    """The probabilities of all 256 bytes after a context, straight from the definition; `seen` holds one language's counts."""
+    lower = brute_chance(seen, context[1:]) if context else [1 / 256] * 256
+    own = seen.get(context)
+    if not own:
+        return lower
+    n, d = sum(own.values()), len(own)
+    rest = sum(p for b, p in enumerate(lower) if b not in own)
+    return [own[b] / (n + d) if b in own else d / (n + d) * lower[b] / rest for b in range(256)]
+
+
+def trained(texts: dict[str, list[str]], order: int) -> ppm_langid.ContextTree:
+    languages = sorted(texts)
+    found = [ppm_langid.grams(texts[x], order) for x in languages]
+    which = np.concatenate([np.full(len(code), k) for k, (code, _) in enumerate(found)])
+    return ppm_langid.ContextTree.build(languages, which, np.concatenate([c for c, _ in found]), np.concatenate([n for _, n in found]).astype(float), order)
+
+
+TEXTS = {"x": ["Abracadabra, banana"] * 3 + ["abba"], "y": ["na \u00fcber na"], "z": ["q"]}
+
+
 def test_code_lengths_are_a_distribution():
-    code, n = ppm_langid.grams(["abracadabra banana"] * 3 + ["abba"], 2)
-    tree = ppm_langid.ContextTree.build([("x", int(c), int(k)) for c, k in zip(code, n, strict=True)], 2)
-    for node in range(len(tree.child) - 1):
-        width = tree.child.shape[1]
-        p = 2.0 ** -tree.bits[node * width : (node + 1) * width, 0].astype(float)
-        unseen = 256 - (width - 1)  # bytes that share the last symbol
-        assert abs(p[:-1].sum() + p[-1] * unseen - 1) < 0.35
+    tree = trained(TEXTS, 3)
+    for k, level in enumerate(tree.levels):
+        upto = ppm_langid.ContextTree(tree.languages, tree.levels[: k + 1])
+        for context in level.contexts.tolist():
+            mass = (2.0 ** -upto.bits((context << 8) | np.arange(256)).astype(float)).sum(0)
+            assert np.abs(mass - 1).max() < 1e-6
+
+
+def test_code_lengths_equal_brute_force():
+    order, plain = 2, lambda t: re.sub(rb"[\x00-\x60\x7b-\x7f]+", b" ", t.lower().encode())
+    tree = trained(TEXTS, order)
+    asked = ["abracadabra", "Bananas & \u00fcber", "", "q", "zebra  9\tbra"]
+    window, ppm_langid.WINDOW = ppm_langid.WINDOW, 5  # windows end within texts
+    try:
+        got = tree.lengths(asked)
+    finally:
+        ppm_langid.WINDOW = window
+    for column, language in enumerate(tree.languages):
+        seen: dict[bytes, Counter] = {}
+        for text in TEXTS[language]:
+            data = bytes(order) + plain(text)
+            for at in range(order, len(data)):
+                for k in range(order + 1):
+                    seen.setdefault(data[at - k : at], Counter())[data[at]] += 1
+        for row, text in enumerate(asked):
+            data = bytes(order) + plain(text)
+            bits = -sum(math.log2(brute_chance(seen, data[at - order : at])[data[at]]) for at in range(order, len(data)))
+            assert math.isclose(got[row, column], bits, rel_tol=1e-5, abs_tol=1e-5)
+
+
+def test_language_of_a_very_long_text(spark):
+    rows = [(1, "the cat sat on the mat " * 200_000, "en"), (2, "der hund und die katze " * 50, "de"), (3, "the dog and the cat " * 50, "en"), (3, None, None), *[(i, "die maus und der hund " * 20, "de") for i in range(7, 12)]]
+    docs = spark.createDataFrame([(i, t, x, 0.0) for i, t, x in rows], "doc_id long, text string, lang string, score double")
+    got = {(r["doc_id"], r["lang_pred"]) for r in ppm_langid.predict(docs, ppm_langid.train(docs)).collect()}
+    assert got == {(1, "en"), (2, "de"), (3, "en"), (3, "und"), *[(i, "de") for i in range(7, 12)]}
 
 
 def test_quality(spark):
