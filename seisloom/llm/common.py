@@ -13,7 +13,6 @@ from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +21,8 @@ from pyspark.sql import functions as F
 SPACES = b" \t\n\x0b\x0c\r"
 #: Text is hashed in slices of about so many bytes, to stay in the CPU's cache.
 SLICE_BYTES = 1 << 20
-_MASK = (1 << 64) - 1
+#: A key with more than one in SHARES of a table's rows, and more than SHARE_ROWS of them, is joined on its own.
+SHARES, SHARE_ROWS = 512, 200
 _BASE = 0x9E3779B97F4A7C15 | 1
 _pow: dict[str, np.ndarray] = {}
 _held: dict[str, Any] = {}
@@ -87,6 +87,11 @@ def remainder(doc_id: Column, divisor: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % divisor, F.lit(0))
 
 
+def column(name: str) -> Column:
+    """A top-level column by its name, whatever signs that holds."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
 def texts_of(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with null texts empty; other columns, whatever their names, go."""
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -201,12 +206,28 @@ class Bitmap:
         return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
-def may_have(spark: SparkSession, bitmap: Bitmap, key: str) -> Column:
-    """A condition on a long column; only that column goes to Python."""
+def joined(left: DataFrame, right: DataFrame, keys: list[str], counts: DataFrame) -> DataFrame:
+    """The inner join of `left` with `right`, whose rows differ in `keys`, where a few keys may hold most of `left`.
+
+    `counts` (keys, n) tells how many rows of `left` have a key. Keys with more than one in `SHARES` of all rows are at
+    most `SHARES`; their rows of `right` are broadcast. All other keys are at most a small share of a sort-merge join.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    most = max(SHARE_ROWS, total // SHARES)
+    heavy = counts.where(F.col("n") > most).select(*keys)
+    found = heavy.collect()  # fewer than SHARES rows
+    if not found:
+        return left.join(right, keys)
+    hot = F.broadcast(left.sparkSession.createDataFrame(found, heavy.schema))
+    return left.join(F.broadcast(right.join(hot, keys)), keys).unionByName(left.join(hot, keys, "left_anti").join(right, keys))
+
 
-    shared = spark.sparkContext.broadcast(bitmap)
+def passing(df: DataFrame, bitmap: Bitmap, key: str) -> DataFrame:
+    """The rows of `df` whose long `key` may be in the bitmap, in one Python step."""
+    shared = df.sparkSession.sparkContext.broadcast(bitmap)
 
-    def run(keys: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.has(keys.to_numpy()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value.has(batch[key].to_numpy())))
 
-    return F.pandas_udf(run, "boolean")(F.col(key))
+    return df.mapInArrow(run, df.schema)

@@ -139,29 +139,43 @@ def _bands(classes: DataFrame) -> DataFrame:
     return classes.select("node", "registers").mapInArrow(run, "band long, node long")
 
 
-def _confirmed(pairs: DataFrame, sources: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of pairs (a, b), those with 100 * intersection >= percent * union of the full sets."""
+def _confirmed(stars: DataFrame, sources: DataFrame, words: int, percent: int) -> DataFrame:
+    """Of stars (a, b), each a once, those with 100 * intersection >= percent * union of the full sets.
+
+    A centre's text meets its members' in cells of about `BLOCK` members; it goes once to each cell, a member's once.
+    """
     least = percent / 100 - SIGMAS * np.sqrt(percent / 100 * (1 - percent / 100) / BUCKETS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b, own = None, None  # the centre at hand and its set
         for batch in small_batches(batches, 500):
-            a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint16).reshape(-1, BUCKETS) for c in ("registers_a", "registers_b"))
-            batch = batch.filter(pa.array(estimate(a, b) >= least))
-            left, right = C.raw_bytes(batch["text_a"]), C.raw_bytes(batch["text_b"])
-            distinct = list({*left, *right})
-            sets = dict(zip(distinct, shingle_sets([t.lower() for t in distinct], words), strict=True))
-            keep = np.zeros(batch.num_rows, bool)
-            for k, (x, y) in enumerate(zip(left, right, strict=True)):
-                p, q = sets[x], sets[y]
-                if 100 * min(len(p), len(q)) >= percent * max(len(p), len(q)):
-                    both = len(np.intersect1d(p, q, assume_unique=True))
-                    keep[k] = 100 * both >= percent * (len(p) + len(q) - both)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    joined = pairs
-    for side in "ab":
-        joined = joined.join(sources.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}"), F.col("registers").alias(f"registers_{side}")), side)
-    return joined.select("a", "b", "text_a", "text_b", "registers_a", "registers_b").mapInArrow(run, "a long, b long")
+            signs = np.frombuffer(b"".join(batch["registers"].to_pylist()), np.uint16).reshape(-1, BUCKETS)
+            member, nodes = batch["member"].to_numpy(zero_copy_only=False), batch["node"].to_numpy()
+            centres = np.flatnonzero(~member)
+            of = np.searchsorted(centres, np.arange(len(member)), "right") - 1  # -1: the centre came with an earlier batch
+            if len(centres):
+                before = np.concatenate([signs[centres], signs[:1] if b is None else last[None, :]])[of]
+            else:
+                before = np.broadcast_to(last, signs.shape)
+            wanted = ~member | (estimate(signs, before) >= least)
+            texts = C.raw_bytes(batch["text"].filter(pa.array(wanted)))
+            sets = iter(shingle_sets([t.lower() for t in texts], words))
+            out: list[tuple[int, int]] = []
+            for k in np.flatnonzero(wanted).tolist():
+                p = next(sets)
+                if not member[k]:
+                    b, own, last = int(nodes[k]), p, signs[k].copy()
+                elif 100 * min(len(p), len(own)) >= percent * max(len(p), len(own)):
+                    both = len(np.intersect1d(p, own, assume_unique=True))
+                    if 100 * both >= percent * (len(p) + len(own) - both):
+                        out.append((int(nodes[k]), b))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(2)], names=["a", "b"])
+
+    sizes = stars.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    members = stars.join(sizes, "b").select(F.col("a").alias("node"), "b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("cell"), F.lit(True).alias("member"))
+    cells = members.select("b", "cell").distinct().select(F.col("b").alias("node"), "b", "cell", F.lit(False).alias("member"))
+    rows = sources.join(members.unionByName(cells), "node").repartition("b", "cell").sortWithinPartitions("b", "cell", "member")
+    return rows.select("node", "member", "text", "registers").mapInArrow(run, "a long, b long")
 
 
 def block_links(sets: list[np.ndarray], roots: np.ndarray, outside: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -244,7 +258,7 @@ def connected(edges: DataFrame) -> DataFrame:
     """
     if edges.count() <= SMALL:
         return C.written(edges.select("a", "b").coalesce(1).mapInArrow(_union, "node long, root long"))[0]
-    both, _ = C.written(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    both, links = C.written(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels, path = C.written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")))
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("near"))
@@ -254,6 +268,7 @@ def connected(edges: DataFrame) -> DataFrame:
         C.dropped(edges.sparkSession, path)
         path = new
         if moved.where("root != was").isEmpty():
+            C.dropped(edges.sparkSession, links)
             return moved.select("node", "root")
         labels = moved.select("node", "root")
 
@@ -270,7 +285,7 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     C.lean_batches(docs.sparkSession)
     signed = checkpointed(signatures(docs, words))
-    classes = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("registers").alias("registers"))
+    classes = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("registers").alias("registers"), F.count("*").alias("copies"))
     classes = checkpointed(classes.withColumn("node", F.monotonically_increasing_id()))
     bands = checkpointed(_bands(classes))
     shared = bands.groupBy("band").agg(F.min("node").alias("centre"), F.max("node").alias("other")).where("centre != other").drop("other")
@@ -292,8 +307,9 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     named = texts.mapInArrow(digested, f"doc_id {kind}, text string, digest binary")
     same = (F.col("w.digest") == F.col("t.digest")) & F.col("w.doc_id").eqNullSafe(F.col("t.doc_id"))
     sources = named.alias("t").join(wanted.alias("w"), same).select("w.node", "t.text", "w.registers")
-    repeated = wanted.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").isEmpty() and docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
-    sources = checkpointed(sources if repeated else sources.groupBy("node").agg(F.min("text").alias("text"), F.first("registers").alias("registers")))
+    # where ids repeat, a class may have several of its texts here
+    unique = wanted.where("doc_id IS NULL").isEmpty() and docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    sources = checkpointed(sources if unique else sources.groupBy("node").agg(F.min("text").alias("text"), F.first("registers").alias("registers")))
     labels = nodes.select("node", F.col("node").alias("root"))
     for turn in range(ROUNDS + 1):
         placed = checkpointed(shared.select("band", "node").join(labels, "node"))
@@ -315,11 +331,14 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         some = members.groupBy("band", "i", "j").agg(F.bool_or("outside").alias("any")).where("any").drop("any")
         rows = members.join(some, ["band", "i", "j"]).join(sources.select("node", "text"), "node")
         labels = _joined(labels, checkpointed(_block_links(rows, words, percent)))
-    roots = labels
-    member = classes.select("digest", "doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = member.join(least, "root").select("digest", "component_id")
-    return signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("component_id") == F.col("doc_id"), F.col("component_id").isNull()).alias("kept"))
+    ids = classes.select("digest", "doc_id", "node", "copies")
+    least = labels.join(ids, "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    linked = C.joined(labels, least, ["root"], labels.groupBy("root").agg(F.count("*").alias("n")))
+    named = ids.join(linked.select("node", "component_id"), "node", "left").select("digest", F.coalesce("component_id", "doc_id").alias("component_id"))
+    whole = signed.where("digest IS NOT NULL").select("doc_id", "n_shingles", "digest")
+    found = C.joined(whole, named, ["digest"], ids.select("digest", F.col("copies").alias("n"))).select("doc_id", "n_shingles", "component_id")
+    empty = signed.where("digest IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return found.unionByName(empty).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.col("component_id").isNull()))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -327,7 +346,7 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").isEmpty():
         gone = components(docs, words, percent).where("NOT kept").select("doc_id")
         return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    rows = checkpointed(docs.withColumn("_key", F.monotonically_increasing_id()))
-    named = rows.select(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_key").alias("doc_id"), "text")
-    gone = components(named, words, percent).where("NOT kept").select(F.col("doc_id._key").alias("_key"))
-    return rows.join(gone, "_key", "left_anti").select(*docs.columns)
+    rows = checkpointed(docs.select(F.monotonically_increasing_id().alias("key"), F.struct(*docs.columns).alias("row")))  # no name can clash
+    named = rows.select(F.struct(F.col("row.doc_id").isNull().alias("unnamed"), F.col("row.doc_id"), "key").alias("doc_id"), F.col("row.text"))
+    gone = components(named, words, percent).where("NOT kept").select(F.col("doc_id.key").alias("key"))
+    return rows.join(gone, "key", "left_anti").select("row.*")
