@@ -1,24 +1,24 @@
 """Operator 2: removal of repeated byte strings by suffix arrays.
 
-A byte goes if some string of `LENGTH` bytes that covers it starts anywhere else as well, in any document. Four steps:
+A byte goes if some string of `LENGTH` bytes that covers it starts anywhere else as well, in any document. Five steps:
 
 1. Anchors. Of the runs of `GRAM` bytes inside a window of `LENGTH` bytes, the one with the least hash (the last of
    equals) is the window's anchor. It depends on the window's bytes alone, so equal windows have equal anchors. The
    windows that share an anchor are consecutive; with the bytes they cover they form a segment, one for some 85 bytes.
-2. Anchors that occur once cannot belong to repeated windows. Of the others, segments with equal bytes are counted
-   with a partial aggregation: thousands of copies become one row, and one occurrence stands for them.
-3. Only where an anchor has segments of different bytes do suffix arrays decide which windows are shared. Anchors are
-   dealt over shards. A shard's suffixes are sorted by Larsson and Sadakane's refinement: ranks by the first bytes,
-   then by ranks at a doubled distance, for the groups still tied. Kasai's algorithm gives the common prefixes of
-   neighbours. Anchors with more text than one suffix array takes are split over several; windows unique in theirs are
-   looked up in the others by binary search. Anchors with so many different segments that no task should hold them
-   are decided by counting the hashes of their windows, an exact way for the rest.
-4. The shared windows' spans go to the occurrences, are merged by document and cut from its bytes.
-
-Two bounded bitmaps, of repeated anchors and of documents that have some, keep other rows out of the shuffles. They
-only let too much pass, never too little, and do not grow with the data.
-
-Hashes that stand for bytes have 64 bits and are compared within one anchor only.
+   Anchors that occur once cannot belong to repeated windows; a bounded bitmap keeps most of them out.
+2. Segments with equal digests of their bytes are one kind; thousands of copies become one row. The bytes of its first
+   and its last occurrence meet in a shard, and if they are equal, the kind repeats whole.
+3. Anchors are dealt over shards. Where an anchor has several kinds, the shard's suffix array decides which windows are
+   shared: suffixes are sorted by Larsson and Sadakane's refinement, ranks by the first bytes, then by ranks at a
+   doubled distance, for the groups still tied; Kasai's algorithm gives the common prefixes of neighbours. Text beyond
+   one array is split over several, whose sorted windows are looked up in each other by binary search.
+4. An anchor with more than `GROUP_SEGMENTS` kinds is split over several shards, tasks of their own. Their windows meet
+   across shards: those that another shard may hold too, by a bitmap of digests that errs on the side of too much, are
+   dealt by ranges of their bytes, each found by binary search among the ranges' bounds, and equal neighbours are shared.
+5. The shared windows' spans go to the occurrences, are merged by document and cut from its bytes.
+
+Bitmaps only let too much pass, never too little, and do not grow with the data. Digests have 64 bits and are compared
+within one anchor only.
 
 Cases: null and empty texts, and those shorter than `LENGTH` bytes, lose nothing; matches never cross documents;
 repeated rows lose every byte that they share; ids may repeat or be null (rows are then told apart by a number of their
@@ -28,7 +28,7 @@ own); an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .common import checkpointed, mix64, powers, small_batches
+from .common import checkpointed, column, mix64, powers, small_batches
 
 LENGTH = 200
 GRAM = 32
@@ -44,8 +44,8 @@ GRAM = 32
 SLICE = 1 << 20
 #: Bytes of one suffix array.
 ARRAY_BYTES = 1 << 20
-#: Segments of one anchor that one task takes.
-GROUP_SEGMENTS = 20_000
+#: Kinds of segments of one anchor that one shard takes.
+GROUP_SEGMENTS = 1000
 BITMAP_BITS = 26
 
 
@@ -227,48 +227,89 @@ def shared_windows(parts: list[bytes], counts: list[int], length: int = LENGTH,
     return [m for s in shards for m in s.masks()]
 
 
-def _group_masks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows (h, d, n, part, windows) in the order of h to (h, d, mask). Whole anchors go into one call; segments that occur twice need no mask."""
-    held: list[tuple] = []
+def _shard_masks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Rows (h, shard, d, kinds, part, windows) in the order of (h, shard, d) to (h, d, mask); a null mask means all windows. Whole shards go into one call."""
+    held: list[list] = []  # h, shard, d, whether alone, whether whole, part, windows
     size = 0
 
     def decide() -> pa.RecordBatch:
-        masks = shared_windows([r[3] for r in held], [r[4] for r in held], length)
-        rows = [(r[0], r[1], m) for r, m in zip(held, masks, strict=True) if r[2] < 2 and any(m)]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["h", "d", "mask"])
+        asked = [r for r in held if not r[3]]
+        masks = iter(shared_windows([r[5] for r in asked], [r[6] for r in asked], length))
+        out: list[tuple] = []
+        for h, _, d, alone, whole, _, _ in held:
+            mask = b"" if alone else next(masks)
+            if whole or any(mask):
+                out.append((h, d, None if whole else mask))
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.binary())], names=["h", "d", "mask"])
 
     for batch in batches:
-        for row in zip(*(batch[c].to_pylist() for c in ("h", "d", "n", "part", "windows")), strict=True):
-            if size >= ARRAY_BYTES * 0.9 and held[-1][0] != row[0]:
+        for h, shard, d, kinds, part, windows in zip(*(batch[c].to_pylist() for c in ("h", "shard", "d", "kinds", "part", "windows")), strict=True):
+            if held and held[-1][0] == h and held[-1][2] == d and held[-1][5] == part:
+                held[-1][4] = True  # the kind's other occurrence
+                continue
+            if (size >= ARRAY_BYTES * 0.9 or len(held) >= 20_000) and held[-1][:2] != [h, shard]:
                 yield decide()
                 held, size = [], 0
-            held.append(row)
-            size += len(row[3])
+            held.append([h, shard, d, kinds == 1, False, part, windows])
+            size += 0 if kinds == 1 else len(part)
     if held:
         yield decide()
 
 
-def _counted_masks(rows: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with too many segments for a task: windows are counted by their hashes."""
+def window_digests(h: int, part: bytes, windows: int, length: int) -> np.ndarray:
+    """64-bit hashes of an anchor's segment's windows."""
+    data = np.frombuffer(part, np.uint8)
+    up, down = powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(C._CODES[data] * up[: len(data)], out=total[1:])
+        return (mix64((total[length : length + windows] - total[:windows]) * down[:windows]) + np.uint64(h % 2**64)).view(np.int64)
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def equal_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, d, k) of rows (h, d, k, window), sorted by (h, window), that have a neighbour with the same window."""
+    last, told = (), True  # the row before, and whether it went out
+    for batch in batches:
+        out: list[tuple] = []
+        for row in zip(*(batch[c].to_pylist() for c in ("h", "window", "d", "k")), strict=True):
+            same = last[:2] == row[:2]
+            out += [r for r in ([last] * (not told) + [row] if same else [])]
+            last, told = row, same
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in ((0, pa.int64()), (2, pa.int64()), (3, pa.int32()))], names=["h", "d", "k"])
+
+
+def _merged_masks(split: DataFrame, length: int) -> DataFrame:
+    """(h, d, mask) of the windows that different shards (h, shard, d, part, windows) of one anchor have in common. `split` is read twice."""
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            out: list[tuple[int, int, int, int, int]] = []
-            for h, d, n, part, count in zip(*(batch[c].to_pylist() for c in ("h", "d", "n", "part", "windows")), strict=True):
-                for k in range(count):
-                    out.append((h, d, n, k, int.from_bytes(hashlib.blake2b(part[k : k + length], digest_size=8).digest(), "little", signed=True)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(5)], names=["h", "d", "n", "k", "w"])
+            found: dict[int, list[np.ndarray]] = {}
+            for h, shard, part, windows in zip(*(batch[c].to_pylist() for c in ("h", "shard", "part", "windows")), strict=True):
+                found.setdefault(shard, []).append(window_digests(h, part, windows, length))
+            for shard, w in found.items():
+                own = np.unique(np.concatenate(w))
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), shard))], names=["w", "shard"])
+
+    several = split.mapInArrow(digests, "w long, shard long").groupBy("w").agg(F.min("shard").alias("a"), F.max("shard").alias("b")).where("a != b").select("w")
+    maybe = split.sparkSession.sparkContext.broadcast(C.Bitmap.of(several, BITMAP_BITS))
 
-    found = rows.mapInArrow(windows, "h long, d long, n long, k long, w long")
-    often = found.groupBy("h", "w").agg(F.sum("n").alias("total")).where("total > 1").select("h", "w")
-    places = found.where("n < 2").join(often, ["h", "w"]).groupBy("h", "d").agg(F.collect_list("k").alias("places"))  # at most 169 of a segment
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 200):
+            out: list[tuple] = []
+            for h, d, part, count in zip(*(batch[c].to_pylist() for c in ("h", "d", "part", "windows")), strict=True):
+                out += [(h, d, k, part[k : k + length]) for k in np.flatnonzero(maybe.value.has(window_digests(h, part, count, length))).tolist()]
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["h", "d", "k", "window"])
+
+    ranges = split.mapInArrow(windows, "h long, d long, k int, window binary").repartitionByRange("h", "window").sortWithinPartitions("h", "window")
+    places = ranges.mapInArrow(equal_neighbours, "h long, d long, k int").groupBy("h", "d").agg(F.collect_list("k").alias("places"))  # at most 169 of a segment
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             masks = []
-            for places in batch["places"].to_pylist():
-                bits = np.zeros(LENGTH, np.uint8)
-                bits[places] = 1
+            for at in batch["places"].to_pylist():
+                bits = np.zeros(length, np.uint8)
+                bits[at] = 1
                 masks.append(np.packbits(bits).tobytes())
             yield pa.RecordBatch.from_arrays([batch["h"], batch["d"], pa.array(masks, pa.binary())], names=["h", "d", "mask"])
 
@@ -276,73 +317,90 @@ def _counted_masks(rows: DataFrame, length: int) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """`docs` with `_key`: the id if it names a row, else a number kept with a copy of the rows."""
+    """(key, text, row): the id as key if it names a row, else a number kept with a copy of the rows. All columns are inside `row`, so that no name can clash."""
+    rows = docs.select(column("doc_id").alias("doc_id"), column("text").alias("text"), F.struct(*map(column, docs.columns)).alias("row"))
     named = docs.schema["doc_id"].dataType.simpleString() in ("bigint", "int") and docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").isEmpty()
-    return docs.withColumn("_key", F.col("doc_id").cast("long")) if named else checkpointed(docs.withColumn("_key", F.monotonically_increasing_id()))
-
+    if named:
+        return rows.select(F.col("doc_id").cast("long").alias("key"), "text", "row")
+    return checkpointed(rows.select(F.monotonically_increasing_id().alias("key"), "text", "row"))
 
-def with_spans(docs: DataFrame, length: int = LENGTH, group_segments: int = GROUP_SEGMENTS) -> DataFrame:
-    """`docs` (keyed) with `_spans`: the removed runs of the text's bytes as pairs of little-endian 64-bit integers, in order; null if none."""
-    spark = docs.sparkSession
-    C.lean_batches(spark)
-    texts = docs.select("_key", "text")
-
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
-            for parts, _, _ in cut(raw_bytes_of(batch), length):
-                h, n = np.unique(segments(parts, length)[4], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int32))], names=["h", "n"])
 
-    repeated = texts.mapInArrow(anchors, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-    often = spark.sparkContext.broadcast(C.Bitmap.of(repeated, BITMAP_BITS))
-
-    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
-            keys = batch["_key"].to_numpy()
-            for parts, rows, places in cut(raw_bytes_of(batch), length):
-                part, first, left, count, h, d = segments(parts, length)
-                keep = often.value.has(h.view(np.int64))
-                part, first, left, count, h, d = (x[keep] for x in (part, first, left, count, h, d))
-                at = ((np.asarray(places)[part] + first) << 16) | (left << 8) | count
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(d.view(np.int64)), pa.array(keys[np.asarray(rows, np.int64)[part]]), pa.array(at)], names=["h", "d", "_key", "at"])
-
-    found = checkpointed(texts.mapInArrow(occurrences, "h long, d long, _key long, at long"))
-    kinds = found.groupBy("h", "d").agg(F.count("*").alias("n"), F.min(F.struct("_key", "at")).alias("one"))
-    kinds = checkpointed(kinds.select("h", "d", "n", "one._key", "one.at"))
-    groups = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).where("total > 1").drop("total")
-    kinds = checkpointed(kinds.join(groups, "h"))
-    hard = kinds.where("kinds > 1")
-    wanted = hard.groupBy("_key").agg(F.collect_list(F.struct("h", "d", "n", "kinds", "at")).alias("asked"))  # a document's own segments
-    sources = texts.where(C.may_have(spark, C.Bitmap.of(wanted.select("_key"), BITMAP_BITS), "_key"))
+def _parts(texts: DataFrame, asked: DataFrame, length: int) -> DataFrame:
+    """(h, shard, d, kinds, part, windows): the bytes of segments `asked` for (h, shard, d, kinds, key, at), read from the documents that have some."""
+    own = checkpointed(asked.groupBy("key").agg(F.collect_list(F.struct("h", "shard", "d", "kinds", "at")).alias("asked")))  # a document's own segments
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 200):
             out: list[tuple] = []
-            for text, asked in zip(raw_bytes_of(batch), batch["asked"].to_pylist(), strict=True):
-                for a in asked:
+            for text, wanted in zip(raw_bytes_of(batch), batch["asked"].to_pylist(), strict=True):
+                for a in wanted:
                     first, count = a["at"] >> 16, a["at"] & 255
-                    out.append((a["h"], a["d"], a["n"], a["kinds"], text[first : first + count + length - 1], count))
+                    out.append((a["h"], a["shard"], a["d"], a["kinds"], text[first : first + count + length - 1], count))
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["h", "d", "n", "kinds", "part", "windows"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["h", "shard", "d", "kinds", "part", "windows"])
+
+    sources = C.passing(texts, C.Bitmap.of(own.select("key"), BITMAP_BITS), "key")
+    return sources.join(own, "key").select("text", "asked").mapInArrow(read, "h long, shard long, d long, kinds long, part binary, windows int")
+
+
+def spans(texts: DataFrame, length: int = LENGTH, group_segments: int = GROUP_SEGMENTS) -> DataFrame:
+    """(key, spans) of the texts (key, text) that lose something: the removed runs of bytes as pairs of little-endian 64-bit integers, in order."""
+    spark = texts.sparkSession
+    C.lean_batches(spark)
 
-    parts = sources.join(wanted, "_key").select("text", "asked").mapInArrow(read, "h long, d long, n long, kinds long, part binary, windows int")
-    normal = parts.where(F.col("kinds") <= group_segments).repartition("h").sortWithinPartitions("h").mapInArrow(lambda batches: _group_masks(batches, length), "h long, d long, mask binary")
-    masks = normal
-    if not kinds.where(F.col("kinds") > group_segments).isEmpty():
-        masks = normal.unionByName(_counted_masks(parts.where(F.col("kinds") > group_segments), length))
-    whole = kinds.where("n > 1").select("h", "d", F.lit(None).cast("binary").alias("mask"))
-    verdict = checkpointed(whole.unionByName(masks))
-    spans = found.join(verdict, ["h", "d"]).groupBy("_key").agg(F.collect_list(F.struct("at", "mask")).alias("marks"))  # a document's own segments
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.release()
+        for batch in small_batches(batches):
+            keys = batch["key"].to_numpy()
+            for parts, rows, places in cut(raw_bytes_of(batch), length):
+                part, first, left, count, h, d = segments(parts, length)
+                at = ((np.asarray(places, np.int64)[part] + first) << 16) | (left << 8) | count
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(d.view(np.int64)), pa.array(keys[np.asarray(rows, np.int64)[part]]), pa.array(at)], names=["h", "d", "key", "at"])
+
+    every, path = C.written(texts.mapInArrow(cut_up, "h long, d long, key long, at long"))
+    repeated = every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    found, _ = C.written(C.passing(every, C.Bitmap.of(repeated, BITMAP_BITS), "h"))
+    C.dropped(spark, path)
+    place = F.struct("key", "at")
+    kinds, _ = C.written(found.groupBy("h", "d").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last")))
+    groups = kinds.groupBy("h").agg(F.count("*").alias("n"), F.sum("n").alias("total"))
+    anchors = groups.where("total > 1").select("h", F.col("n").alias("kinds"))
+    listed = C.joined(kinds, anchors, ["h"], groups.select("h", "n"))
+    shard = F.pmod(F.xxhash64("d"), F.ceil(F.col("kinds") / group_segments))
+    occurrences = F.when(F.col("n") > 1, F.array("first", "last")).otherwise(F.array("first"))
+    asked = listed.select("h", shard.alias("shard"), "d", "kinds", F.explode(occurrences).alias("place")).select("h", "shard", "d", "kinds", "place.*")
+    masks = _parts(texts, asked, length).repartition("h", "shard").sortWithinPartitions("h", "shard", "d").mapInArrow(lambda batches: _shard_masks(batches, length), "h long, d long, mask binary")
+    verdict, _ = C.written(masks)
+    wide = listed.where(F.col("kinds") > group_segments).select("h", shard.alias("shard"), "d", "kinds", "first.*")
+    if not wide.isEmpty():
+        split, split_path = C.written(_parts(texts, wide, length))
+        merged, _ = C.written(_merged_masks(split, length))
+        C.dropped(spark, split_path)
+        verdict = verdict.unionByName(merged)
+    marks = C.joined(found, verdict, ["h", "d"], kinds.select("h", "d", "n")).groupBy("key").agg(F.collect_list(F.struct("at", "mask")).alias("marks"))  # a document's own segments
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 500):
-            yield pa.RecordBatch.from_arrays([batch["_key"], pa.array([runs(m, length) for m in batch["marks"].to_pylist()], pa.binary())], names=["_key", "_spans"])
+            yield pa.RecordBatch.from_arrays([batch["key"], pa.array([runs(m, length) for m in batch["marks"].to_pylist()], pa.binary())], names=["key", "spans"])
+
+    return checkpointed(marks.mapInArrow(merge, "key long, spans binary"))
 
-    spans = checkpointed(spans.mapInArrow(merge, "_key long, _spans binary"))
-    marked = C.may_have(spark, C.Bitmap.of(spans.select("_key"), BITMAP_BITS), "_key")
-    tagged = docs.withColumn("_marked", marked)
-    clean = tagged.where("NOT _marked").drop("_marked").withColumn("_spans", F.lit(None).cast("binary"))
-    return clean.unionByName(tagged.where("_marked").drop("_marked").join(spans, "_key", "left"))
+
+def _applied(docs: DataFrame, found: DataFrame, each: Callable[[pa.RecordBatch, list], pa.RecordBatch], schema: object) -> DataFrame:
+    """each(batch, spans) over all documents (key, text, row); only those that lose something are shuffled."""
+    marked = C.Bitmap.of(found.select("key"), BITMAP_BITS)
+    shared = docs.sparkSession.sparkContext.broadcast(marked)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            batch = batch.filter(pa.array(~shared.value.has(batch["key"].to_numpy())))
+            yield each(batch, [None] * batch.num_rows)
+
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            yield each(batch, batch["spans"].to_pylist())
+
+    return docs.mapInArrow(clean, schema).unionByName(C.passing(docs, marked, "key").join(found, "key", "left").mapInArrow(cut_out, schema))
 
 
 def raw_bytes_of(batch: pa.RecordBatch) -> list[bytes]:
@@ -371,29 +429,35 @@ def kept(text: bytes, spans: bytes | None) -> tuple[bytes, int, int]:
     return b"".join(text[a:b] for a, b in zip(edges[0::2], edges[1::2], strict=True)), int((pairs[:, 1] - pairs[:, 0]).sum()), len(pairs)
 
 
-def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def removed(docs: DataFrame, length: int = LENGTH, group_segments: int = GROUP_SEGMENTS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
-            texts = raw_bytes_of(batch)
-            rows = [kept(t, s) for t, s in zip(texts, batch["_spans"].to_pylist(), strict=True)]
-            arrays = [batch["doc_id"], pa.array([len(t) for t in texts], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([hashlib.sha256(r[0]).hexdigest() for r in rows])]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    def each(batch: pa.RecordBatch, spans: list) -> pa.RecordBatch:
+        texts = raw_bytes_of(batch)
+        rows = [kept(t, s) for t, s in zip(texts, spans, strict=True)]
+        arrays = [batch["row"].field(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([hashlib.sha256(r[0]).hexdigest() for r in rows], pa.string())]
+        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    spans = with_spans(keyed(docs.select("doc_id", "text")), length).select("doc_id", "text", "_spans")
-    kind = spans.schema["doc_id"].dataType.simpleString()
-    return spans.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = keyed(docs.select("doc_id", "text"))
+    own = rows.select("key", "text", F.struct("row.doc_id").alias("row"))
+    return _applied(own, spans(rows.select("key", "text"), length, group_segments), each, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """`docs`, whole rows, their texts without the repeated bytes; a character of which a part would go goes as a whole."""
-    columns = docs.columns
+    """`docs`, whole rows, their texts without the repeated bytes; a character of which a part would go goes as a whole.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
-            texts = [kept(t, s)[0].decode("utf-8", "ignore") if s else t for t, s in zip(raw_bytes_of(batch), batch["_spans"].to_pylist(), strict=True)]
-            new = pa.array([t.decode("utf-8", "ignore") if isinstance(t, bytes) else t for t in texts], pa.string())
-            yield pa.RecordBatch.from_arrays([new if c == "text" else batch[c] for c in columns], names=columns)
-
-    return with_spans(keyed(docs), length).select(*columns, "_spans").mapInArrow(run, docs.schema)
+    A null text stays null; other columns, whatever their names, stay as they are; ids may repeat or be null; an empty table gives no rows.
+    """
+    names = docs.columns
+    place = names.index("text")
+
+    def each(batch: pa.RecordBatch, spans: list) -> pa.RecordBatch:
+        fields = [batch["row"].field(k) for k in range(len(names))]
+        texts = batch["text"].to_pylist()
+        if any(s is not None for s in spans):
+            texts = [t if s is None else kept(t.encode("utf-8", "surrogatepass"), s)[0].decode("utf-8", "ignore") for t, s in zip(texts, spans, strict=True)]
+        fields[place] = pa.array(texts, pa.string())
+        return pa.RecordBatch.from_arrays(fields, names=names)
+
+    rows = keyed(docs)
+    return _applied(rows, spans(rows.select("key", "text"), length), each, docs.schema)

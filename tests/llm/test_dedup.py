@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 
-from seisloom.llm import hyperminhash, suffix_dedup
+from seisloom.llm import common, hyperminhash, suffix_dedup
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -53,12 +53,45 @@ def test_repeated_and_null_ids(spark):
     assert sorted(r["n_removed"] for r in rows) == [0, len(text), len(text), len(text)]
 
 
-def test_large_groups_are_counted(spark):
+def test_anchors_split_over_shards(spark):
     rows = corpus()
-    docs = suffix_dedup.keyed(spark.createDataFrame(rows, "doc_id long, text string"))
-    a = {r["doc_id"]: r["_spans"] for r in suffix_dedup.with_spans(docs).collect()}
-    b = {r["doc_id"]: r["_spans"] for r in suffix_dedup.with_spans(docs, group_segments=1).collect()}
-    assert a == b
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = dict(zip([i for i, _ in rows], brute_spans([(t or "").encode() for _, t in rows], 200), strict=True))
+    for most in (1, 3):
+        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.removed(docs, group_segments=most).collect()}
+        assert got == expected
+
+
+def test_keys_that_hold_most_rows(spark):
+    shares, common.SHARE_ROWS = common.SHARE_ROWS, 2
+    try:
+        test_removed_bytes(spark)
+        test_components(spark)
+    finally:
+        common.SHARE_ROWS = shares
+
+
+def test_text_longer_than_a_slice(spark):
+    random.seed(4)
+    words = [f"{random.getrandbits(40):x}" for _ in range(130_000)]
+    long = " ".join(words)
+    assert len(long) > suffix_dedup.SLICE * 1.1
+    over = long[suffix_dedup.SLICE - 150 : suffix_dedup.SLICE + 250]  # lies across the place where the text is cut
+    rows = [(1, long), (2, f"start {over} end"), (3, long[-300:] + "!"), (4, "other " * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = dict(zip([1, 2, 3, 4], brute_spans([t.encode() for _, t in rows], 200), strict=True))
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.removed(docs).collect()}
+    assert got == expected
+
+
+def test_rows_stay_whole_where_names_clash(spark):
+    passage = " ".join(f"w{k}" for k in range(90))
+    rows = [(1, f"a {passage}", 7, "x", None), (1, f"b {passage}", 8, None, "q"), (None, "c", 9, "z", "r"), (None, None, 10, "t", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key int, spans string, `row` string")
+    out = suffix_dedup.without_repeats(docs)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted([(1, "a", 7, "x", None), (1, "b", 8, None, "q"), (None, "c", 9, "z", "r"), (None, None, 10, "t", "s")], key=repr)
+    assert suffix_dedup.without_repeats(docs.limit(0)).count() == 0
 
 
 def test_shards_merge_by_binary_search():
