@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, release, remainder, small_batches
+from .common import checkpointed, lean_batches, release, remainder, small_batches
 
 BLOCK = 2048
 DICTIONARY = 112_640
@@ -94,6 +94,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_blocks: int = BLOCKS) -> QualityModel:
+    lean_batches(docs.sparkSession)
     own = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), 3) != 1))
     own = own.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_max")).where("quality = _max").drop("_max")
     sizes = {r["quality"]: r["n"] for r in own.groupBy("quality").agg(F.count("*").alias("n")).collect()}  # two rows

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small_batches, texts_of
+from .common import checkpointed, lean_batches, small_batches, texts_of
 from .tokens import library
 
 SALTS = 128
@@ -32,6 +32,7 @@ def cut(n: int, size: int) -> list[int]:
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 0, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document's pieces, and `ids` binary if asked for."""
+    lean_batches(docs.sparkSession)
     docs = texts_of(docs)
     last = end.to_bytes(4, "little")
 

@@ -29,12 +29,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, remainder, slices, small_batches
+from .common import lean_batches, release, remainder, slices, small_batches
 
 ORDER = 4
 PER_LANGUAGE = 1500
 #: Bytes whose code lengths are held at once, however long a text is.
-WINDOW = 1 << 20
+WINDOW = 1 << 18
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 _PLAIN = bytes(b if b > 127 or 97 <= b <= 122 else 32 for b in range(256))
@@ -201,6 +201,7 @@ def train(docs: DataFrame, order: int = ORDER, per_language: int = PER_LANGUAGE)
 
 def predict(docs: DataFrame, tree: ContextTree | None) -> DataFrame:
     """`docs` (doc_id, text) with lang_pred and score; no shuffle."""
+    lean_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(tree)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,6 +224,7 @@ def identified(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The documents of `docs`, whole rows, whose language is known with a posterior of at least `least`."""
+    lean_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train(docs))
     schema = docs.schema
     column = docs.columns.index("text")
