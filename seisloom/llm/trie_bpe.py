@@ -16,6 +16,7 @@ import json
 import struct
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import pyarrow as pa
 import regex
@@ -25,9 +26,8 @@ from .common import held, small_batches, texts_of
 
 #: The pre-tokenisation pattern that byte-level vocabularies of this family are made for.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Chunks of a text that are remembered between batches; beyond that the memory starts anew.
-MEMORY = 1_200_000
-#: Chunks of more characters are not remembered.
+#: Chunks remembered between batches, of at most LONG characters, some 250 bytes each: beyond MEMORY new ones, those not met since the last time go.
+MEMORY = 300_000
 LONG = 64
 #: White space other than space and line feed; the first nine are ASCII.
 _RARE = [*"\t\x0b\x0c\r\x1c\x1d\x1e\x1f\0", "\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000"]
@@ -144,7 +144,8 @@ class ChunkedEncoder:
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]]):
         self.encode_chunks = encode
-        self.memory: dict[str, bytes] = {}  # of a space and the key
+        self.young: dict[str, bytes] = {}  # of a space and the key
+        self.old: dict[str, bytes] = {}  # what was young before
         self.marks = dict(zip(self.MARKS, encode([*self.MARKS]), strict=True))
 
     @staticmethod
@@ -153,29 +154,31 @@ class ChunkedEncoder:
 
     def learn(self, missing: set[str]) -> dict[str, bytes]:
         """Ids of chunks with a space before; the shorter ones are remembered."""
-        memory, marks = self.memory, self.marks
+        young, old, marks = self.young, self.old, self.marks
+        known = {c: old[c] for c in missing if c in old}
+        missing = missing.difference(known)
         marked = [c for c in missing if c[-1:] in marks and c[:-1].isalpha()]
-        asked = list(missing.difference(marked).union({c[:-1] for c in marked if c[:-1] not in memory}))
-        known = dict(zip(asked, self.encode_chunks([f" {c}" for c in asked]), strict=True))
-        known.update([(c, (known.get(c[:-1]) or memory[c[:-1]]) + marks[c[-1]]) for c in marked])
-        memory.update(known if max(map(len, known), default=0) <= LONG else {c: ids for c, ids in known.items() if len(c) <= LONG})
+        words = {c: young.get(c) or old.get(c) for c in {c[:-1] for c in marked}}
+        asked = list(missing.difference(marked).union(c for c, ids in words.items() if ids is None))
+        fresh = dict(zip(asked, self.encode_chunks([f" {c}" for c in asked]), strict=True))
+        known.update([(c, fresh[c]) for c in asked if c in missing])
+        known.update([(c, (words[c[:-1]] or fresh[c[:-1]]) + marks[c[-1]]) for c in marked])
+        young.update(known if max(map(len, known), default=0) <= LONG else {c: ids for c, ids in known.items() if len(c) <= LONG})
         return known
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        memory = self.memory
-        if len(memory) > MEMORY:
-            memory.clear()
+        if len(self.young) > MEMORY:
+            self.old, self.young = self.young, {}
         parts = [[x] if self.odd(x) else x.split(" ") for x in texts]
-        known = memory.keys()
-        fresh = self.learn({c for p in parts for c in p[1:] if c not in known})
         heads = list({p[0] for p in parts})
         first = dict(zip(heads, self.encode_chunks(heads), strict=True))
+        known = self.learn(set(chain.from_iterable(islice(p, 1, None) for p in parts)).difference(self.young))
         out = []
         for p in parts:
             try:
-                out.append(first[p[0]] + b"".join([memory[c] for c in p[1:]]))
+                out.append(b"".join([first[p[0]], *map(self.young.__getitem__, islice(p, 1, None))]))
             except KeyError:  # a long chunk
-                out.append(first[p[0]] + b"".join([memory[c] if c in memory else fresh[c] for c in p[1:]]))
+                out.append(first[p[0]] + b"".join([self.young.get(c) or known[c] for c in p[1:]]))
         return out
 
 
