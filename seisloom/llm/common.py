@@ -24,7 +24,9 @@ SLICE_BYTES = 1 << 20
 #: A key with more than one in SHARES of a table's rows, and more than SHARE_ROWS of them, is joined on its own.
 SHARES, SHARE_ROWS = 512, 200
 _BASE = 0x9E3779B97F4A7C15 | 1
-_pow: dict[str, np.ndarray] = {}
+_pow: list[np.ndarray] = []
+#: So many powers are kept.
+_POWERS = SLICE_BYTES * 9 // 8
 _held: dict[str, Any] = {}
 
 
@@ -68,10 +70,16 @@ def release() -> None:
     if _held:
         _held.clear()
         gc.collect()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)  # memory that is free goes back to the system
-        except (OSError, AttributeError):  # another C library
-            pass
+        trim()
+
+
+def trim() -> None:
+    """Give memory that is free back to the system: idle workers stay alive beside the busy ones."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -110,15 +118,22 @@ def _byte_codes() -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd base modulo 2^64 and their inverses."""
-    if "up" not in _pow or len(_pow["up"]) < n:
-        size = max(n, SLICE_BYTES * 5 // 4)
-        for key, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            seq = np.full(size, base, np.uint64)
-            seq[0] = 1
-            with np.errstate(over="ignore"):
-                _pow[key] = np.multiply.accumulate(seq)
-    return _pow["up"], _pow["down"]
+    """The first n powers of an odd base modulo 2^64 and their inverses, at least; those for the longest texts are not kept."""
+    if n > _POWERS:
+        return _powers(n)
+    if not _pow:
+        _pow.extend(_powers(_POWERS))
+    return _pow[0], _pow[1]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        seq = np.full(n, base, np.uint64)
+        seq[0] = 1
+        with np.errstate(over="ignore"):
+            out.append(np.multiply.accumulate(seq, out=seq))
+    return out[0], out[1]
 
 
 _CODES = _byte_codes()
@@ -162,10 +177,14 @@ def lowered(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
 
 
 def small_batches(batches: Iterable[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most `rows`."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+    """The same rows in batches of at most `rows`. After the last one, a task's free memory goes back to the system."""
+    try:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+        batch = None
+    finally:
+        trim()
 
 
 def raw_bytes(column: pa.Array) -> list[bytes]:
@@ -185,7 +204,7 @@ class Bitmap:
         name = keys.columns[0]
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in small_batches(batches, 1 << 20):
                 at = Bitmap.places(batch[name].to_numpy(zero_copy_only=False), bits)
                 word, inverse = np.unique(at >> np.uint64(6), return_inverse=True)
                 mask = np.zeros(len(word), np.uint64)
@@ -227,7 +246,7 @@ def passing(df: DataFrame, bitmap: Bitmap, key: str) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             yield batch.filter(pa.array(shared.value.has(batch[key].to_numpy())))
 
     return df.mapInArrow(run, df.schema)
