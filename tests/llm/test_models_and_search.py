@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 
 from seisloom.llm import collision_ann, compression_quality, hmm_lm, ppm_langid, threshold_topk
+from seisloom.llm import vectors as V
 
 SF = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -107,7 +108,7 @@ def test_code_lengths_equal_brute_force():
 
 
 def test_language_of_a_very_long_text(spark):
-    rows = [(1, "the cat sat on the mat " * 200_000, "en"), (2, "der hund und die katze " * 50, "de"), (3, "the dog and the cat " * 50, "en"), (3, None, None), *[(i, "die maus und der hund " * 20, "de") for i in range(7, 12)]]
+    rows = [(1, "the cat sat on the mat " * 200_000, "en"), (2, "der hund und die katze " * 50, "de"), (3, "the mat sat on the cat " * 50, "en"), (3, None, None), *[(i, "die maus und der hund " * 20, "de") for i in range(7, 12)]]
     docs = spark.createDataFrame([(i, t, x, 0.0) for i, t, x in rows], "doc_id long, text string, lang string, score double")
     got = {(r["doc_id"], r["lang_pred"]) for r in ppm_langid.predict(docs, ppm_langid.train(docs)).collect()}
     assert got == {(1, "en"), (2, "de"), (3, "en"), (3, "und"), *[(i, "de") for i in range(7, 12)]}
@@ -172,3 +173,34 @@ def test_rare_language_keeps_its_grams(spark):
     tree = ppm_langid.train(spark.createDataFrame(often + rare, "doc_id long, text string, lang string"))
     assert tree.languages == ["often", "rare"]
     assert tree.lengths([letters(200, "aeiou"), letters(200, "bcdfgxyz")]).argmin(1).tolist() == [1, 0]
+
+
+def test_searches_over_several_blocks(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((20, 16))
+    rows = [(int(k), [float(x) for x in centres[k % 20] + 0.3 * rng.standard_normal(16)]) for k in range(700)]
+    rows += [(5000 + k, [float(2**20 * x) for x in rng.standard_normal(16)]) for k in range(4)] + [(6000, [1e300] * 16), (6050, [-1e12] * 16), (6001, [1.0]), (6100, [2.0])]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    block, group = V.BLOCK, V.GROUP
+    V.BLOCK, V.GROUP = 100, 3
+    try:
+        got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in threshold_topk.top_k(docs).collect()}
+        near = {(r["query_id"], r["rank"]): r["vec_id"] for r in collision_ann.nearest(docs).collect()}
+    finally:
+        V.BLOCK, V.GROUP = block, group
+    top = 2**63 - 1
+    whole = {i: [max(-top - 1, min(top, math.floor(256 * x))) for x in v] for i, v in rows}
+    hits = total = 0
+    for i, v in rows:
+        if i % 50:
+            continue
+        others = [j for j, w in rows if j != i and len(w) == len(v)]
+        scores = {j: max(-top - 1, min(top, sum(a * b for a, b in zip(whole[i], whole[j], strict=True)))) for j in others}
+        best = sorted(others, key=lambda j: (-scores[j], j))[:5]
+        assert [got.get((i, r)) for r in range(1, 6)] == [(j, scores[j]) for j in best] + [None] * (5 - len(best))
+        if i < 1000:
+            unit = lambda x: np.array(x) / np.linalg.norm(x)
+            cosine = {j: float(unit(v) @ unit(w)) for j, w in rows if j != i and len(w) == len(v) and j != 6000}
+            hits += len({near[i, r] for r in range(1, 6)} & set(sorted(cosine, key=lambda j: (-cosine[j], j))[:5]))
+            total += 5
+    assert hits >= 0.9 * total
