@@ -61,11 +61,16 @@ def decisions(predictions: DataFrame, cooldown: Cooldown, mesh: bool = False) ->
 
 
 def confirmations(claims: DataFrame, votes: DataFrame, window_us: int, least: int = 1) -> DataFrame:
-    """(claim_id, stations, status) of claims (claim_id, station, us): distinct other stations that voted (station, us) within the window after."""
+    """(claim_id, stations, status) of claims (claim_id, us): distinct stations, whichever they are, that voted (station, us) within the window after.
+
+    A claim looks in the bucket of its time and in the next. There, a station's first or last vote decides whether it
+    voted in time, so votes come down to one row for each station and bucket before they meet claims.
+    """
     bucket = F.floor(F.col("us") / window_us)
-    left = claims.select("claim_id", F.col("station").alias("_own"), F.col("us").alias("_at"), F.explode(F.array(bucket, bucket + 1)).alias("_b"))
-    right = votes.select(F.col("station").alias("_from"), F.col("us").alias("_when"), bucket.alias("_b"))
-    seen = left.join(right, "_b").where((F.col("_own") != F.col("_from")) & (F.col("_when") > F.col("_at")) & (F.col("_when") - F.col("_at") < window_us))
+    left = claims.select("claim_id", F.col("us").alias("_at"), bucket.alias("_own"), F.explode(F.array(bucket, bucket + 1)).alias("_b"))
+    right = votes.groupBy(F.col("station").alias("_from"), bucket.alias("_b")).agg(F.min("us").alias("_first"), F.max("us").alias("_last"))
+    in_time = F.when(F.col("_b") == F.col("_own"), F.col("_last") > F.col("_at")).otherwise(F.col("_first") - F.col("_at") < window_us)
+    seen = left.join(right, "_b").where(in_time)
     counts = seen.groupBy("claim_id").agg(F.countDistinct("_from").alias("stations"))
     n = F.coalesce("stations", F.lit(0))
     return claims.select("claim_id").join(counts, "claim_id", "left").select("claim_id", n.alias("stations"), F.when(n >= least, "Reached").otherwise("Pending").alias("status"))
@@ -77,6 +82,48 @@ def claim_status(claim_ids: DataFrame, claims: DataFrame) -> DataFrame:
     return claim_ids.join(known, "claim_id", "left").select("claim_id", F.when(F.col("_k").isNull(), "UnknownClaim").otherwise("Known").alias("status"))
 
 
+def consensus_alerts(claims: DataFrame, confirmed: DataFrame, least: int = 1) -> DataFrame:
+    """(claim_id, station, timestamp_us, consensus_stations, level) of claims (claim_id, station, us, level) that were reached: at their own level and time; a claim ends with the vote that reaches it."""
+    reached = confirmed.where(F.col("status") == "Reached")
+    return reached.join(claims, "claim_id").select("claim_id", "station", F.col("us").alias("timestamp_us"), (F.least("stations", F.lit(least)) + 1).alias("consensus_stations"), "level")
+
+
+def consensus(rows: DataFrame, cooldown: Cooldown, window_us: int = 10_000_000, least: int = 1) -> DataFrame:
+    """(station, us, id, kind, level, outcome, stations) of a station's predictions and of the votes for its claims, as one state machine.
+
+    Rows are (station, us, id, kind, probability, magnitude, voter): a prediction's id names its claim, a vote's id the
+    claim that it confirms. A deferred prediction makes a claim; the vote of the `least`-th different station reaches
+    it: its alert goes out at the level it was made with, and the cooldown runs from the time it was made. Claims as old
+    as the window end, and later votes find them unknown. At equal times predictions come before votes.
+    """
+
+    def start() -> dict:
+        return {**Cooldown.start(), "claims": {}}
+
+    def step(state: dict, row: tuple) -> tuple:
+        claims = state["claims"]
+        for claim in [c for c, x in claims.items() if row.us - x["at"] >= window_us]:
+            del claims[claim]
+        if row.kind == "prediction":
+            name = row.level if isinstance(row.level, str) else None
+            outcome = cooldown.decide(state, row.us, name, row.magnitude, True)
+            if outcome == "DeferForConsensus":
+                claims[row.id] = {"at": row.us, "level": name, "magnitude": row.magnitude, "voters": set()}
+            return row.station, row.us, row.id, row.kind, name, outcome, 0
+        if (claim := claims.get(row.id)) is None:
+            return row.station, row.us, row.id, row.kind, None, "UnknownClaim", 0
+        claim["voters"].add(row.voter)
+        if len(claim["voters"]) < least:
+            return row.station, row.us, row.id, row.kind, claim["level"], "Pending", len(claim["voters"])
+        del claims[row.id]
+        state.update(level=claim["level"], magnitude=claim["magnitude"], at=claim["at"])
+        return row.station, row.us, row.id, row.kind, claim["level"], "Reached", len(claim["voters"]) + 1
+
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("station", "id")}
+    known = rows.select("station", "us", "id", "kind", "magnitude", "voter", level(F.col("probability")).alias("level"))
+    return keyed_fold(known, "station", ["us", "kind", "id", "voter"], start, step, f"station {kinds['station']}, us long, id {kinds['id']}, kind string, level string, outcome string, stations int")
+
+
 def expired(claims: DataFrame, now_us: Column, timeout_us: int) -> DataFrame:
     """Claims as old as the timeout or older end as Medium alerts without contents."""
     return claims.where(now_us - F.col("us") >= timeout_us).select("claim_id", F.lit("Medium").alias("level"), F.lit(0.0).alias("magnitude"))

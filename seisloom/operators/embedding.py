@@ -24,13 +24,14 @@ def embedded(frames: DataFrame, priors: list[float] | None = None) -> DataFrame:
     return raw.withColumn("vector", F.when(F.col("norm") > A.TINY, F.transform("_raw", lambda x: x / F.col("norm"))).otherwise(F.col("_raw"))).withColumn("source_window_hash", K.window_hash("samples")).drop("_raw")
 
 
-def noise_floor(quiet: DataFrame, order: list[str], alpha: float = 0.01, value: str = "amplitude_rms") -> DataFrame:
-    """An exponential mean from 0, over all rows in `order`: sum of alpha * (1 - alpha)^(rows after) * value.
+def noise_floor(frames: DataFrame, order: list[str], alpha: float = 0.01, value: str = "amplitude_rms") -> DataFrame:
+    """An exponential mean from 0, over the quiet frames, those of wave type Unknown, in `order`: sum of alpha * (1 - alpha)^(rows after) * value.
 
     The weights make it a plain aggregation; only ranks need the order.
     """
     from .framing import ordinal
 
+    quiet = frames.where("wave_type = 'Unknown'")
     ranked = ordinal(quiet.withColumn("_all", F.lit(1)), "_all", order, F.col(order[0]), "_i")
     n = quiet.count()
     weight = F.lit(alpha) * F.pow(F.lit(1 - alpha), F.lit(n) - 1 - F.col("_i"))

@@ -46,12 +46,14 @@ def smoothed(df: DataFrame, key: str, order: list[str], value: Column, alpha: fl
     return ranked.join(sizes, key).groupBy(key).agg(F.sum(weight * F.col("_x")).alias("ema"))
 
 
-def gated_floor(df: DataFrame, key: str, order: list[str], value: str, alpha: float = 0.01) -> DataFrame:
-    """(key, floor): an exponential mean from 0 that only values under twice itself move, or any while it is 0."""
+def gated_floor(df: DataFrame, key: str, order: list[str], value: str, alpha: float = 0.1) -> DataFrame:
+    """(key, floor): an exponential mean that the first value seeds and only values under twice itself move, or any while it is 0."""
 
     def step(state: dict, row: tuple) -> tuple:
         x, floor = getattr(row, value), state["floor"]
-        if x < 2 * floor or floor == 0:
+        if not state["n"]:
+            state["floor"] = x
+        elif x < 2 * floor or floor == 0:
             state["floor"] = alpha * x + (1 - alpha) * floor
         state["n"] += 1
         return getattr(row, key), state["n"], state["floor"]

@@ -27,6 +27,8 @@ def ordinal(df: DataFrame, key: str, order: list[str], bucket: Column | None = N
 def frames(samples: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """(ch, k, samples) for each complete frame: positions [k * step, k * step + size) of a channel's (ch, i, v)."""
     step = size - overlap
+    if size % step == 0:
+        return _from_pieces(samples, size, step)
     last = F.floor(F.col("i") / step)
     covers = F.sequence(F.greatest(F.lit(0), last - (size - 1) // step), last)
     placed = samples.select("ch", "i", "v", F.explode(covers).alias("k")).where(F.col("i") - F.col("k") * step < size)
@@ -34,6 +36,16 @@ def frames(samples: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> Data
     return grouped.where(F.size("_s") == size).select("ch", F.col("k").cast("long"), F.col("_s.v").alias("samples"))
 
 
+def _from_pieces(samples: DataFrame, size: int, step: int) -> DataFrame:
+    """The same where frames are whole numbers of steps: samples meet once, in pieces of a step; frames are made of pieces."""
+    pieces = samples.groupBy("ch", F.floor(F.col("i") / step).alias("p")).agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("_s"))  # at most `step` of a piece
+    covers = F.sequence(F.greatest(F.lit(0), F.col("p") - (size // step - 1)), F.col("p"))
+    placed = pieces.select("ch", "p", F.col("_s.v").alias("_v"), F.explode(covers).alias("k"))
+    grouped = placed.groupBy("ch", "k").agg(F.array_sort(F.collect_list(F.struct("p", "_v"))).alias("_p"))
+    whole = grouped.select("ch", F.col("k").cast("long").alias("k"), F.flatten("_p._v").alias("samples"))
+    return whole.where(F.size("samples") == size)
+
+
 def rms(samples: Column) -> Column:
     """Root mean square; 0 of nothing."""
     total = F.aggregate(samples, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))

@@ -68,15 +68,14 @@ def transition_matrix(spark, sf_dir):
     return G.transition_matrix(f).withColumn("p", r6("p"))
 
 
-@query("""WITH d AS (SELECT a.vec_id AS centre, b.vec_id AS id, row_number() OVER (PARTITION BY a.vec_id ORDER BY 1 - list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) AS o FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0),
-u AS (SELECT vec_id AS centre, vec_id AS id, 0 AS kind, 0 AS o FROM embeddings WHERE vec_id % 100 = 0 UNION ALL SELECT centre, id, 1, o FROM d WHERE o <= 16 UNION ALL SELECT a.vec_id, b.vec_id, 2, a.vec_id - b.vec_id FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND b.vec_id BETWEEN a.vec_id - 10 AND a.vec_id - 1),
+@query("""WITH d AS (SELECT a.vec_id AS centre, b.vec_id AS id, row_number() OVER (PARTITION BY a.vec_id ORDER BY 1 - list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) AS o FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0),
+u AS (SELECT vec_id AS centre, vec_id AS id, 0 AS kind, 0 AS o FROM embeddings WHERE vec_id % 20 = 0 UNION ALL SELECT centre, id, 1, o FROM d WHERE o <= 16 UNION ALL SELECT a.vec_id, b.vec_id, 2, b.vec_id - a.vec_id + 99 FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND b.vec_id BETWEEN a.vec_id - 99 AND a.vec_id),
 f AS (SELECT centre, id, min(kind * 1000 + o) AS o FROM u GROUP BY centre, id) SELECT centre, id, CAST(row_number() OVER (PARTITION BY centre ORDER BY o, id) - 1 AS INTEGER) AS place FROM f""")
 def subgraph_nodes(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings")
-    centres = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("centre"))
-    near = V.nearest(e.where("vec_id % 100 = 0"), e, 16).select(F.col("query_id").alias("centre"), F.col("vec_id").alias("id"), F.col("rank").alias("order"))
-    past = centres.select("centre", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("order")).withColumn("id", F.col("centre") - F.col("order"))
-    past = past.join(e.select(F.col("vec_id").alias("id")), "id").select("centre", "id", "order")
+    centres = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("centre"))
+    near = V.nearest(e.where("vec_id % 20 = 0"), e, 16).select(F.col("query_id").alias("centre"), F.col("vec_id").alias("id"), F.col("rank").alias("order"))
+    past = G.recent(e.select(F.col("vec_id").alias("id")), 100).join(centres, "centre")  # ids have no gaps here
     return G.neighbourhood(centres, near, past).withColumn("place", F.col("place").cast("int"))
 
 
@@ -101,10 +100,10 @@ def gat_predict(spark, sf_dir):
     return G.predictions(nodes.withColumn("us", F.col("id")), 60)
 
 
-@query(f"WITH {EV} SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS recent_mean FROM ev")
+@query(f"WITH {EV} SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 8) AS recent_mean FROM ev")
 def history_last_n(spark, sf_dir):
-    own = Window.partitionBy("user_id").orderBy("us", "event_id").rowsBetween(-9, 0)
-    return events(spark, sf_dir).select("event_id", r6(F.avg("value").over(own)).alias("recent_mean"))
+    own = Window.partitionBy("user_id").orderBy("us", "event_id").rowsBetween(-99, 0)
+    return events(spark, sf_dir).select("event_id", F.round(F.avg("value").over(own), 8).alias("recent_mean"))  # no mean of up to 100 hundredths has a tie there
 
 
 @query(f"WITH {EV} SELECT user_id, round(list_reduce(list(value ORDER BY us, event_id), lambda a, x: 0.1::DOUBLE * x + 0.9::DOUBLE * a), 6) AS ema FROM ev GROUP BY user_id")
@@ -113,7 +112,7 @@ def ema_rate(spark, sf_dir):
     return W.smoothed(e, "user_id", ["us", "event_id"], F.col("value"), 0.1, F.floor(F.col("us") / (24 * HOUR))).withColumn("ema", r6("ema"))
 
 
-@query(f"WITH {EV} SELECT user_id, round(list_reduce(list_prepend(0.0::DOUBLE, list(value ORDER BY us, event_id)), lambda f, x: CASE WHEN x < 2 * f OR f = 0 THEN 0.01::DOUBLE * x + 0.99::DOUBLE * f ELSE f END), 6) AS floor FROM ev GROUP BY user_id")
+@query(f"WITH {EV} SELECT user_id, round(list_reduce(list(value ORDER BY us, event_id), lambda f, x: CASE WHEN x < 2 * f OR f = 0 THEN 0.1::DOUBLE * x + 0.9::DOUBLE * f ELSE f END), 6) AS floor FROM ev GROUP BY user_id")
 def noise_floor_gated(spark, sf_dir):
     return W.gated_floor(events(spark, sf_dir), "user_id", ["us", "event_id"], "value").withColumn("floor", r6("floor"))
 
@@ -247,36 +246,52 @@ def gpio_pins(spark, sf_dir):
 
 
 def _claims(spark, sf_dir):
-    return events(spark, sf_dir).where("probability >= 0.7").select(F.col("event_id").alias("claim_id"), F.col("user_id").alias("station"), "us", "magnitude")
+    """Predictions that wait for consensus, with the level they were made at."""
+    return _decided(spark, sf_dir, True).where("kind = 'DeferForConsensus'").select(F.col("id").alias("claim_id"), "station", "us", "level")
 
 
-_CLAIMS = EV + ", cl AS (SELECT event_id AS claim_id, user_id AS station, us, magnitude FROM ev WHERE probability >= 0.7::DOUBLE)"
-_VOTES = _CLAIMS + f", vo AS (SELECT c.claim_id, count(DISTINCT e.user_id) AS n FROM cl c JOIN ev e ON e.user_id != c.station AND e.us > c.us AND e.us - c.us < {HOUR // 6} GROUP BY c.claim_id)"
+def _votes(spark, sf_dir):
+    return events(spark, sf_dir).select(F.col("user_id").alias("station"), "us")
 
 
-@query(f"WITH {_VOTES} SELECT cl.claim_id, coalesce(n, 0) AS stations, CASE WHEN coalesce(n, 0) >= 1 THEN 'Reached' ELSE 'Pending' END AS status FROM cl LEFT JOIN vo USING (claim_id)")
+_CLAIMS = _decisions_sql(True) + ", cl AS (SELECT s.event_id AS claim_id, s.user_id AS station, e.us, s.level FROM st s JOIN ev e USING (event_id) WHERE s.kind = 'DeferForConsensus')"
+_VOTED = _CLAIMS + f", vo AS (SELECT c.claim_id, count(DISTINCT e.user_id) AS n FROM cl c JOIN ev e ON e.us > c.us AND e.us - c.us < {HOUR // 6} GROUP BY c.claim_id)"
+
+
+@query(f"{_VOTED} SELECT cl.claim_id, coalesce(n, 0) AS stations, CASE WHEN coalesce(n, 0) >= 1 THEN 'Reached' ELSE 'Pending' END AS status FROM cl LEFT JOIN vo USING (claim_id)")
 def claim_confirmations(spark, sf_dir):
-    votes = events(spark, sf_dir).select(F.col("user_id").alias("station"), "us")
-    return L.confirmations(_claims(spark, sf_dir), votes, HOUR // 6)
+    return L.confirmations(_claims(spark, sf_dir), _votes(spark, sf_dir), HOUR // 6)
 
 
-@query(f"WITH {_VOTES} SELECT claim_id, station, us AS timestamp_us, n + 1 AS consensus_stations, 'High' AS level FROM cl JOIN vo USING (claim_id)")
+@query(f"{_VOTED} SELECT claim_id, station, us AS timestamp_us, CAST(2 AS BIGINT) AS consensus_stations, level FROM cl JOIN vo USING (claim_id)")
 def consensus_alerts(spark, sf_dir):
     claims = _claims(spark, sf_dir)
-    votes = events(spark, sf_dir).select(F.col("user_id").alias("station"), "us")
-    reached = L.confirmations(claims, votes, HOUR // 6).where("status = 'Reached'")
-    return reached.join(claims, "claim_id").select("claim_id", "station", F.col("us").alias("timestamp_us"), (F.col("stations") + 1).alias("consensus_stations"), F.lit("High").alias("level"))
+    return L.consensus_alerts(claims, L.confirmations(claims, _votes(spark, sf_dir), HOUR // 6)).withColumn("consensus_stations", F.col("consensus_stations").cast("long"))
 
 
-@query(f"WITH {_CLAIMS}, n AS (SELECT max(us) AS now FROM ev) SELECT claim_id, 'Medium' AS level, 0.0::DOUBLE AS magnitude FROM cl, n WHERE now - us >= {24 * HOUR}")
+@query(f"{_VOTED}, n AS (SELECT max(us) AS now FROM ev) SELECT claim_id, 'Medium' AS level, 0.0::DOUBLE AS magnitude FROM cl LEFT JOIN vo USING (claim_id), n WHERE vo.n IS NULL AND now - us >= {HOUR // 6}")
 def claim_expiry(spark, sf_dir):
+    """Claims that no vote reached within the window."""
     now = events(spark, sf_dir).agg(F.max("us").alias("now"))
-    return L.expired(_claims(spark, sf_dir).join(F.broadcast(now)), F.col("now"), 24 * HOUR)
+    claims = _claims(spark, sf_dir)
+    waiting = L.confirmations(claims, _votes(spark, sf_dir), HOUR // 6).where("status = 'Pending'").select("claim_id")
+    return L.expired(claims.join(waiting, "claim_id").join(F.broadcast(now)), F.col("now"), HOUR // 6)
+
+
+@query()
+def consensus_fold(spark, sf_dir):
+    """Each station's predictions, and the votes for its claims: an event is a vote for the one with the id before it."""
+    e = events(spark, sf_dir).select("user_id", "us", "event_id", "probability", "magnitude")
+    made = e.select(F.col("user_id").alias("station"), "us", F.col("event_id").alias("id"), F.lit("prediction").alias("kind"), "probability", "magnitude", F.lit(None).cast("long").alias("voter"))
+    owner = e.select(F.col("event_id").alias("id"), F.col("user_id").alias("station"))
+    votes = e.select((F.col("event_id") - 1).alias("id"), "us", F.col("user_id").alias("voter")).join(owner, "id")
+    votes = votes.select("station", "us", "id", F.lit("vote").alias("kind"), F.lit(None).cast("double").alias("probability"), F.lit(None).cast("double").alias("magnitude"), "voter")
+    return L.consensus(made.unionByName(votes), L.Cooldown(12 * HOUR), HOUR)
 
 
-@query("SELECT event_id AS claim_id, CASE WHEN value / 100 >= 0.7::DOUBLE THEN 'Known' ELSE 'UnknownClaim' END AS status FROM events WHERE event_id % 7 = 0")
+@query("SELECT event_id AS claim_id, CASE WHEN value / 100 >= 0.7::DOUBLE THEN 'Known' ELSE 'UnknownClaim' END AS status FROM events")
 def claim_lookup(spark, sf_dir):
-    return L.claim_status(events(spark, sf_dir).where("event_id % 7 = 0").select(F.col("event_id").alias("claim_id")), _claims(spark, sf_dir))
+    return L.claim_status(events(spark, sf_dir).select(F.col("event_id").alias("claim_id")), _claims(spark, sf_dir))
 
 
 _PEERS = EV + f", pe AS (SELECT user_id, max(us) AS last FROM ev GROUP BY user_id), ph AS (SELECT user_id, CASE WHEN (SELECT max(us) FROM ev) - last <= {6 * HOUR} THEN 'Healthy' WHEN (SELECT max(us) FROM ev) - last <= {24 * HOUR} THEN 'Stale' ELSE 'Lost' END AS health FROM pe)"

@@ -1,6 +1,7 @@
 """Framing, features and vector queries over the driver tables, and their SQL.
 
-Signal: a channel is a supplier; a sample is the quantity around its mean, in hundredths.
+Signal: a channel is a supplier; a sample is the quantity around its mean, in hundredths. Every second channel is
+quieter, or rides on a slow square wave, so that all wave types occur.
 """
 
 from __future__ import annotations
@@ -21,15 +22,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("ch"), F.round((F.col("l_quantity") - 25.5) * 100).cast("int").alias("v"), *ORDER)
-    return P.ordinal(rows, "ch", ORDER, F.year("l_shipdate")).select("ch", "i", "v")
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("ch"), F.round((F.col("l_quantity") - 25.5) * F.when(F.col("l_suppkey") % 4 == 1, 0.25).otherwise(100.0)).cast("int").alias("v"), *ORDER)
+    placed = P.ordinal(rows, "ch", ORDER, F.year("l_shipdate"))
+    wave = lambda half: F.when(F.floor(F.col("i") / half) % 2 == 0, 3000).otherwise(-3000)
+    carrier = F.when(F.col("ch") % 4 == 2, wave(25)).when(F.col("ch") % 4 == 3, wave(100)).otherwise(0)
+    return placed.select("ch", "i", (F.col("v") + carrier).cast("int").alias("v"))
 
 
 def framed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.frames(samples(spark, sf_dir))
 
 
-SIG = """sig AS (SELECT l_suppkey AS ch, CAST(round((l_quantity - 25.5) * 100) AS INTEGER) AS v, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS i FROM lineitem),
+SIG = """noise AS (SELECT l_suppkey AS ch, CAST(round((l_quantity - 25.5) * CASE WHEN l_suppkey % 4 = 1 THEN 0.25::DOUBLE ELSE 100.0::DOUBLE END) AS INTEGER) AS v, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS i FROM lineitem),
+sig AS (SELECT ch, CAST(v + CASE WHEN ch % 4 = 2 THEN CASE WHEN (i // 25) % 2 = 0 THEN 3000 ELSE -3000 END WHEN ch % 4 = 3 THEN CASE WHEN (i // 100) % 2 = 0 THEN 3000 ELSE -3000 END ELSE 0 END AS INTEGER) AS v, i FROM noise),
 spread AS (SELECT ch, k, CAST(i - 128 * k AS BIGINT) AS p, v FROM (SELECT ch, i, v, unnest([i // 128, i // 128 - 1]) AS k FROM sig) WHERE k >= 0),
 whole AS (SELECT ch, k FROM spread GROUP BY ch, k HAVING count(*) = 256),
 fr AS (SELECT s.ch, CAST(s.k AS BIGINT) AS k, s.p, s.v FROM spread s JOIN whole USING (ch, k))"""
@@ -285,9 +290,8 @@ def embedding_vectors(spark, sf_dir):
     return E.embedded(P.metadata(framed(spark, sf_dir))).select("ch", "k", "vector", "source_window_hash", "norm")
 
 
-@query(f"""WITH {META}, o AS (SELECT list(rms ORDER BY ch, k) FILTER (WHERE wave_type = 'P') AS l FROM cls) SELECT round(list_reduce(list_prepend(0.0::DOUBLE, l), lambda f, x: 0.99::DOUBLE * f + 0.01::DOUBLE * x), 6) AS noise_floor FROM o""")
+@query(f"""WITH {META}, o AS (SELECT list(rms ORDER BY ch, k) FILTER (WHERE wave_type = 'Unknown') AS l FROM cls) SELECT round(list_reduce(list_prepend(0.0::DOUBLE, l), lambda f, x: 0.99::DOUBLE * f + 0.01::DOUBLE * x), 6) AS noise_floor FROM o""")
 def adaptive_noise_floor(spark, sf_dir):
     from ..operators import embedding as E
 
-    m = P.metadata(framed(spark, sf_dir))
-    return E.noise_floor(m.where("wave_type = 'P'"), ["ch", "k"]).select(r6("noise_floor").alias("noise_floor"))
+    return E.noise_floor(P.metadata(framed(spark, sf_dir)), ["ch", "k"]).select(r6("noise_floor").alias("noise_floor"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.folds import priority_queue
 from ..operators.runtime import newest
 
 
@@ -13,13 +14,10 @@ def log_alerts(alerts: DataFrame, folder: str) -> None:
     alerts.where(F.col("kind").isin("EmitLocal", "EmitCappedAtMedium")).write.mode("append").json(folder)
 
 
-def relay(alerts: DataFrame, order: list[str], capacity: int = 500) -> DataFrame:
-    """The queue for upstream: critical alerts first, newest in front; then the others, oldest first; at most `capacity`."""
-    urgent = F.col("level") == "Critical"
-    # the newest critical ones, then as many of the newest others as still fit
-    kept = alerts.withColumn("_u", urgent).orderBy(F.desc("_u"), *[F.desc(c) for c in order]).limit(capacity)
-    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("_u"), F.when(F.col("_u"), -F.col(order[0])).otherwise(F.col(order[0]))))
-    return kept.select(F.to_json(F.struct(*alerts.columns)).alias("payload"), (place - 1).alias("place"))
+def relay(alerts: DataFrame, key: str, order: list[str], capacity: int = 500) -> DataFrame:
+    """(key, place, payload): each key's queue for upstream. Critical alerts go to the front and push out the back, others go to the back and push out the front."""
+    rows = alerts.select(key, *order, F.to_json(F.struct(*alerts.columns)).alias("payload"), (F.col("level") == "Critical").alias("urgent"))
+    return priority_queue(rows, key, order, "payload", "urgent", capacity).select(key, F.posexplode("items").alias("place", "payload"))
 
 
 def endpoint(rows: DataFrame, order: list[str], limit: int | None = None) -> DataFrame:

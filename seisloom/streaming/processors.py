@@ -75,7 +75,7 @@ def frame_stream(samples: DataFrame, size: int = 256, overlap: int = 128) -> Dat
 
 
 class ClaimProcessor(StatefulProcessor):
-    """Claims wait for votes of other stations; a timer ends those that stay alone."""
+    """Claims wait for votes of different stations, whichever they are; a timer ends those that stay without."""
 
     def __init__(self, timeout_ms: int, least: int = 1):
         self.timeout_ms, self.least = timeout_ms, least
@@ -89,16 +89,16 @@ class ClaimProcessor(StatefulProcessor):
         out = []
         for row in batch.itertuples(index=False):
             if row.kind == "claim" and not self.claim.exists():
-                self.claim.update((int(row.station), int(row.us), [int(row.station)]))  # its own station counts as the first
+                self.claim.update((int(row.station), int(row.us), [-1]))  # never an empty array, whose type state cannot tell
                 self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.timeout_ms)
             elif row.kind == "vote":
                 if not self.claim.exists():
                     out.append((key[0], "UnknownClaim", 0))
                     continue
                 station, us, votes = self.claim.get()
-                votes = sorted({*map(int, votes), int(row.station)})
+                votes = [-1, *sorted({*map(int, votes[1:]), int(row.station)})]
                 if len(votes) > self.least:
-                    out.append((key[0], "Reached", len(votes)))
+                    out.append((key[0], "Reached", len(votes)))  # with the claim's own station
                     self.claim.clear()
                 else:
                     self.claim.update((int(station), int(us), votes))

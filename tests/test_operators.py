@@ -124,10 +124,49 @@ def test_cooldown_steps():
     assert c.decide(state, 60_000_000, "Low", 0.0, False) == "EmitLocal"
 
 
-def test_claims_without_votes_and_own_votes(spark):
+def test_claims_without_votes_and_votes_of_any_station(spark):
     claims = spark.createDataFrame([(1, 10, 100), (2, 20, 500)], "claim_id long, station long, us long")
     votes = spark.createDataFrame([(10, 101), (11, 150), (11, 160), (12, 90), (12, 200)], "station long, us long")
-    assert {(r[0], r[1], r[2]) for r in alerts.confirmations(claims, votes, 100).collect()} == {(1, 1, "Reached"), (2, 0, "Pending")}
+    assert {(r[0], r[1], r[2]) for r in alerts.confirmations(claims, votes, 100).collect()} == {(1, 2, "Reached"), (2, 0, "Pending")}
+
+
+def brute_consensus(rows, cooldown_us, window_us, least):
+    """Straight from the rules: levels 0 to 3, one station's state at a time."""
+    out, states = [], {}
+    for station, us, kind, id_, voter, p, m in sorted(rows, key=lambda r: (r[0], r[1], r[2], r[3], r[4] or 0)):
+        s = states.setdefault(station, {"last": None, "claims": {}})
+        s["claims"] = {c: x for c, x in s["claims"].items() if us - x[0] < window_us}
+        if kind == "prediction":
+            rank = None if p < 0.3 else 0 if p < 0.5 else 1 if p < 0.7 else 2 if p < 0.9 else 3
+            quiet = rank is not None and s["last"] and us - s["last"][0] < cooldown_us and s["last"][1] >= rank and m < s["last"][2] + 0.5
+            outcome = "NoAlert" if rank is None else "Suppressed" if quiet else "DeferForConsensus" if rank > 1 else "EmitLocal"
+            if outcome == "DeferForConsensus":
+                s["claims"][id_] = (us, rank, m, set())
+            if outcome == "EmitLocal":
+                s["last"] = (us, rank, m)
+            out.append((id_, kind, voter, outcome, rank))
+        elif id_ not in s["claims"]:
+            out.append((id_, kind, voter, "UnknownClaim", None))
+        else:
+            at, rank, m, voters = s["claims"][id_]
+            voters.add(voter)
+            if len(voters) >= least:
+                del s["claims"][id_]
+                s["last"] = (at, rank, m)
+            out.append((id_, kind, voter, "Reached" if len(voters) >= least else "Pending", rank))
+    return sorted(((i, k, o, r) for i, k, _, o, r in out), key=repr)
+
+
+def test_consensus_state_machine(spark):
+    random = np.random.default_rng(5)
+    rows = [(int(k % 3), int(k) * 10, "prediction", int(k), None, float(random.random()), float(random.random() * 3)) for k in range(120)]
+    rows += [(int(c % 3), int(c) * 10 + int(random.integers(0, 90)), "vote", int(c), int(random.integers(0, 3)), None, None) for c in random.integers(0, 120, 250)]
+    df = spark.createDataFrame([(s, us, i, k, p, m, v) for s, us, k, i, v, p, m in rows], "station long, us long, id long, kind string, probability double, magnitude double, voter long")
+    for least in (1, 2):
+        got = alerts.consensus(df, alerts.Cooldown(100), 60, least).collect()
+        found = sorted(((r["id"], r["kind"], r["outcome"], None if r["level"] is None else alerts.LEVELS.index(r["level"])) for r in got), key=repr)
+        assert found == brute_consensus(rows, 100, 60, least)
+        assert {"Reached", "UnknownClaim", "Suppressed", "EmitLocal"} <= {r["outcome"] for r in got}
 
 
 def test_queues(spark):
@@ -139,9 +178,9 @@ def test_queues(spark):
 def test_folds_in_order(spark):
     rows = spark.createDataFrame([(1, k, float(x)) for k, x in enumerate([1, 1, 9, 1])], "s long, t long, x double")
     assert abs(folds.smoothed(rows, "s", ["t"], F.col("x"), 0.1).first()["ema"] - (0.9 * (0.9 * 1 + 0.1 * 9) + 0.1)) < 1e-12
-    floor = 0.0
-    for x in (1, 1, 9, 1):
-        floor = 0.01 * x + 0.99 * floor if x < 2 * floor or floor == 0 else floor
+    floor = 1.0  # the first value
+    for x in (1, 9, 1):
+        floor = 0.1 * x + 0.9 * floor if x < 2 * floor or floor == 0 else floor
     assert abs(folds.gated_floor(rows, "s", ["t"], "x").first()["floor"] - floor) < 1e-12
     runs = spark.createDataFrame([(1, k, ok) for k, ok in enumerate([False] * 5 + [True] + [False] * 3)], "s long, t long, ok boolean")
     assert tuple(folds.failure_runs(runs, "s", ["t"], F.col("ok")).first()) == (1, 5, 3)
@@ -227,8 +266,8 @@ def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([(k, "Critical" if k % 4 == 0 else "Low", "EmitLocal" if k % 2 else "NoAlert") for k in range(12)], "us long, level string, kind string")
     sinks.log_alerts(rows, f"{tmp_path}/log")
     assert spark.read.json(f"{tmp_path}/log").count() == 6
-    order = [json.loads(r["payload"])["us"] for r in sinks.relay(rows, ["us"], 5).orderBy("place").collect()]
-    assert order == [8, 4, 0, 10, 11]
+    order = [json.loads(r["payload"])["us"] for r in sinks.relay(rows.withColumn("station", F.lit(1)), "station", ["us"], 5).orderBy("place").collect()]
+    assert order == [5, 6, 9, 10, 11]  # an ordinary alert pushes out the front, where critical ones are
     assert sinks.endpoint(rows, ["us"]).count() == 10
     one = sinks.dashboard(spark.createDataFrame([("Active",), ("Failed",)], "status string"), spark.createDataFrame([("Lost",)], "health string"), rows).first()
     assert (one["sensors"], one["active"], one["mesh_available"], one["alerts"]) == (2, 1, False, 6)
