@@ -226,19 +226,22 @@ class Bitmap:
 
 
 def joined(left: DataFrame, right: DataFrame, keys: list[str], counts: DataFrame) -> DataFrame:
-    """The inner join of `left` with `right`, whose rows differ in `keys`, where a few keys may hold most of `left`.
+    """The inner join of `left` with `right`, where a few keys may hold most of `left`.
 
-    `counts` (keys, n) tells how many rows of `left` have a key. Keys with more than one in `SHARES` of all rows are at
-    most `SHARES`; their rows of `right` are broadcast. All other keys are at most a small share of a sort-merge join.
+    `counts` (keys, n) tells how many rows of `left` have a key. Keys with more than one in `SHARES` of all rows are
+    fewer than `SHARES`: these, a table of proven size, are broadcast, and their rows dealt over salts of a share each.
     """
     total = counts.agg(F.sum("n")).first()[0] or 0
     most = max(SHARE_ROWS, total // SHARES)
-    heavy = counts.where(F.col("n") > most).select(*keys)
+    heavy = counts.where(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).alias("_salts"))
     found = heavy.collect()  # fewer than SHARES rows
     if not found:
         return left.join(right, keys)
     hot = F.broadcast(left.sparkSession.createDataFrame(found, heavy.schema))
-    return left.join(F.broadcast(right.join(hot, keys)), keys).unionByName(left.join(hot, keys, "left_anti").join(right, keys))
+    salts = F.coalesce("_salts", F.lit(1).cast("long"))
+    dealt = left.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*left.columns), salts)).drop("_salts")
+    copied = right.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("_salts")
+    return dealt.join(copied, [*keys, "_salt"]).drop("_salt")
 
 
 def passing(df: DataFrame, bitmap: Bitmap, key: str) -> DataFrame:

@@ -44,6 +44,8 @@ MANTISSA = 10
 SIGMAS = 6
 ROUNDS = 3
 BLOCK = 500
+#: Members that a copy of their centre's text is compared with.
+CELL = 64
 SMALL = 100_000
 _WEIGHTS = mix64(np.arange(101, 165, dtype=np.uint64)) | np.uint64(1)
 
@@ -142,7 +144,7 @@ def _bands(classes: DataFrame) -> DataFrame:
 def _confirmed(stars: DataFrame, sources: DataFrame, words: int, percent: int) -> DataFrame:
     """Of stars (a, b), each a once, those with 100 * intersection >= percent * union of the full sets.
 
-    A centre's text meets its members' in cells of about `BLOCK` members; it goes once to each cell, a member's once.
+    A centre's text meets its members' in cells of about `CELL` members; it goes once to each cell, a member's once.
     """
     least = percent / 100 - SIGMAS * np.sqrt(percent / 100 * (1 - percent / 100) / BUCKETS)
 
@@ -171,7 +173,7 @@ def _confirmed(stars: DataFrame, sources: DataFrame, words: int, percent: int) -
                         out.append((int(nodes[k]), b))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(2)], names=["a", "b"])
 
-    sizes = stars.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    sizes = stars.groupBy("b").agg(F.ceil(F.count("*") / CELL).alias("parts"))
     members = stars.join(sizes, "b").select(F.col("a").alias("node"), "b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("cell"), F.lit(True).alias("member"))
     cells = members.select("b", "cell").distinct().select(F.col("b").alias("node"), "b", "cell", F.lit(False).alias("member"))
     rows = sources.join(members.unionByName(cells), "node").repartition("b", "cell").sortWithinPartitions("b", "cell", "member")
