@@ -15,6 +15,7 @@ A byte goes if some string of `LENGTH` bytes that covers it starts anywhere else
 4. An anchor with more than `GROUP_SEGMENTS` kinds is split over several shards, tasks of their own. Their windows meet
    across shards: those that another shard may hold too, by a bitmap of digests that errs on the side of too much, are
    dealt by ranges of their bytes, each found by binary search among the ranges' bounds, and equal neighbours are shared.
+   A window that its own shard has found repeated goes there once for the shard.
 5. The shared windows' spans go to the occurrences, are merged by document and cut from its bytes.
 
 Bitmaps only let too much pass, never too little, and do not grow with the data. Digests have 64 bits and are compared
@@ -267,19 +268,19 @@ def window_digests(h: int, part: bytes, windows: int, length: int) -> np.ndarray
 
 
 def equal_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, d, k) of rows (h, d, k, window), sorted by (h, window), that have a neighbour with the same window."""
-    last, told = (), True  # the row before, and whether it went out
+    """(h, d, k) of rows (h, d, k, known, window), sorted by (h, window), that are not known yet and have a neighbour with the same window."""
+    last, told = (), True  # the row before, and whether it went out or need not
     for batch in small_batches(batches):
         out: list[tuple] = []
-        for row in zip(*(batch[c].to_pylist() for c in ("h", "window", "d", "k")), strict=True):
+        for row in zip(*(batch[c].to_pylist() for c in ("h", "window", "d", "k", "known")), strict=True):
             same = last[:2] == row[:2]
-            out += [r for r in ([last] * (not told) + [row] if same else [])]
-            last, told = row, same
+            out += [r for r in ([last] * (not told) + [row] * (not row[4]) if same else [])]
+            last, told = row, same or row[4]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in ((0, pa.int64()), (2, pa.int64()), (3, pa.int32()))], names=["h", "d", "k"])
 
 
-def _merged_masks(split: DataFrame, length: int) -> DataFrame:
-    """(h, d, mask) of the windows that different shards (h, shard, d, part, windows) of one anchor have in common. `split` is read twice."""
+def _merged_masks(split: DataFrame, verdict: DataFrame, length: int) -> DataFrame:
+    """(h, d, mask) of the windows that different shards (h, shard, d, part, windows) of one anchor have in common, but for those of which the shards' own `verdict` (h, d, mask) knows. `split` is read twice."""
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -294,14 +295,27 @@ def _merged_masks(split: DataFrame, length: int) -> DataFrame:
     maybe = split.sparkSession.sparkContext.broadcast(C.Bitmap.of(several, BITMAP_BITS))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A window that a shard has found repeated is sent once for the shard, as what other shards' may equal."""
+        at: tuple = ()
+        sent: set[bytes] = set()
         for batch in small_batches(batches, 200):
             out: list[tuple] = []
-            for h, d, part, count in zip(*(batch[c].to_pylist() for c in ("h", "d", "part", "windows")), strict=True):
-                out += [(h, d, k, part[k : k + length]) for k in np.flatnonzero(maybe.value.has(window_digests(h, part, count, length))).tolist()]
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["h", "d", "k", "window"])
-
-    ranges = split.mapInArrow(windows, "h long, d long, k int, window binary").repartitionByRange("h", "window").sortWithinPartitions("h", "window")
+            for h, shard, d, part, count, mask, whole in zip(*(batch[c].to_pylist() for c in ("h", "shard", "d", "part", "windows", "mask", "whole")), strict=True):
+                if at != (h, shard):
+                    at, sent = (h, shard), set()
+                known = np.ones(count, bool) if whole else np.unpackbits(np.frombuffer(mask or bytes(length), np.uint8))[:count].astype(bool)
+                for k in np.flatnonzero(maybe.value.has(window_digests(h, part, count, length))).tolist():
+                    window = part[k : k + length]
+                    if known[k]:
+                        if window in sent:
+                            continue
+                        sent.add(window)
+                    out.append((h, d, k, bool(known[k]), window))
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["h", "d", "k", "known", "window"])
+
+    judged = split.join(verdict.withColumn("whole", F.isnull("mask")), ["h", "d"], "left").repartition("h", "shard").sortWithinPartitions("h", "shard")
+    ranges = judged.mapInArrow(windows, "h long, d long, k int, known boolean, window binary").repartitionByRange("h", "window").sortWithinPartitions("h", "window")
     places = ranges.mapInArrow(equal_neighbours, "h long, d long, k int").groupBy("h", "d").agg(F.collect_list("k").alias("places"))  # at most 169 of a segment
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,7 +388,7 @@ def spans(texts: DataFrame, length: int = LENGTH, group_segments: int = GROUP_SE
     wide = listed.where(F.col("kinds") > group_segments).select("h", shard.alias("shard"), "d", "kinds", "first.*")
     if not wide.isEmpty():
         split, split_path = C.written(_parts(texts, wide, length))
-        merged, _ = C.written(_merged_masks(split, length))
+        merged, _ = C.written(_merged_masks(split, verdict, length))
         C.dropped(spark, split_path)
         verdict = verdict.unionByName(merged)
     marks = C.joined(found, verdict, ["h", "d"], kinds.select("h", "d", "n")).groupBy("key").agg(F.collect_list(F.struct("at", "mask")).alias("marks"))  # a document's own segments
