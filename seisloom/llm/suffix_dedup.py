@@ -13,7 +13,8 @@ A byte goes if some string of `LENGTH` bytes that covers it starts anywhere else
    doubled distance, for the groups still tied; Kasai's algorithm gives the common prefixes of neighbours. Text beyond
    one array is split over several, whose sorted windows are looked up in each other by binary search.
 4. An anchor with more than `GROUP_SEGMENTS` kinds is split over several shards, tasks of their own. Their windows meet
-   across shards: those that another shard may hold too, by a bitmap of digests that errs on the side of too much, are
+   across shards: those that another shard may hold too, by bitmaps of digests that err on the side of too much (first of
+   what neighbouring windows have in common, then of the windows left), are
    dealt by ranges of their bytes, each found by binary search among the ranges' bounds, and equal neighbours are shared.
    A window that its own shard has found repeated goes there once for the shard.
 5. The shared windows' spans go to the occurrences, are merged by document and cut from its bytes.
@@ -33,6 +34,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +49,8 @@ SLICE = 1 << 20
 ARRAY_BYTES = 1 << 20
 #: Kinds of segments of one anchor that one shard takes.
 GROUP_SEGMENTS = 1000
+#: So many windows that follow one another are looked for by what they have in common, before each is by itself.
+SPREAD = 8
 BITMAP_BITS = 26
 
 
@@ -257,14 +261,24 @@ def _shard_masks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
         yield decide()
 
 
-def window_digests(h: int, part: bytes, windows: int, length: int) -> np.ndarray:
-    """64-bit hashes of an anchor's segment's windows."""
+def digests(h: int, part: bytes, left: int, windows: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of a segment's windows, of its cores, and each window's core. `left` windows begin before the anchor.
+
+    A core is what SPREAD windows that follow one another have in common, counted from the anchor; equal windows have equal cores.
+    """
+    spread = min(SPREAD, length)
     data = np.frombuffer(part, np.uint8)
     up, down = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
+    group = (left - np.arange(windows)) // spread
+    core = group[0] - group
+    at = left - np.arange(group[0], group[-1] - 1, -1) * spread
     with np.errstate(over="ignore"):
         np.cumsum(C._CODES[data] * up[: len(data)], out=total[1:])
-        return (mix64((total[length : length + windows] - total[:windows]) * down[:windows]) + np.uint64(h % 2**64)).view(np.int64)
+        own = np.uint64(h % 2**64)
+        each = mix64((total[length : length + windows] - total[:windows]) * down[:windows]) + own
+        common = mix64((total[at + length - spread + 1] - total[at]) * down[at] + (at - left).astype(np.uint64)) + own
+    return each.view(np.int64), common.view(np.int64), core
 
 
 def equal_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,19 +294,39 @@ def equal_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _merged_masks(split: DataFrame, verdict: DataFrame, length: int) -> DataFrame:
-    """(h, d, mask) of the windows that different shards (h, shard, d, part, windows) of one anchor have in common, but for those of which the shards' own `verdict` (h, d, mask) knows. `split` is read twice."""
+    """(h, d, mask) of the windows that different shards (h, shard, d, part, left, windows) of one anchor have in common, but for those of which the shards' own `verdict` (h, d, mask) knows.
 
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
-            found: dict[int, list[np.ndarray]] = {}
-            for h, shard, part, windows in zip(*(batch[c].to_pylist() for c in ("h", "shard", "part", "windows")), strict=True):
-                found.setdefault(shard, []).append(window_digests(h, part, windows, length))
-            for shard, w in found.items():
-                own = np.unique(np.concatenate(w))
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), shard))], names=["w", "shard"])
+    Cores that several shards have lead to windows that several shards may have, and these are compared by their bytes.
+    """
+    spark = split.sparkSession
+    judged, path = C.written(split.join(verdict.withColumn("whole", F.isnull("mask")), ["h", "d"], "left").repartition("h", "shard").sortWithinPartitions("h", "shard"))
+
+    def bitmap(chosen: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> Broadcast:
+        """Of the digests that several shards choose from (windows, cores, cores of windows)."""
 
-    several = split.mapInArrow(digests, "w long, shard long").groupBy("w").agg(F.min("shard").alias("a"), F.max("shard").alias("b")).where("a != b").select("w")
-    maybe = split.sparkSession.sparkContext.broadcast(C.Bitmap.of(several, BITMAP_BITS))
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at: tuple | None = None
+            own: list[np.ndarray] = []
+
+            def unique() -> pa.RecordBatch:
+                w = np.unique(np.concatenate(own))
+                return pa.RecordBatch.from_arrays([pa.array(w), pa.array(np.full(len(w), at[1]))], names=["w", "shard"])
+
+            for batch in small_batches(batches):
+                for h, shard, part, left, windows in zip(*(batch[c].to_pylist() for c in ("h", "shard", "part", "left", "windows")), strict=True):
+                    if at != (h, shard):
+                        if own:
+                            yield unique()
+                        at, own = (h, shard), []
+                    own.append(chosen(*digests(h, part, left, windows, length)))
+            if own:
+                yield unique()
+
+        found = judged.mapInArrow(find, "w long, shard long").groupBy("w").agg(F.min("shard").alias("a"), F.max("shard").alias("b"))
+        return spark.sparkContext.broadcast(C.Bitmap.of(found.where("a != b").select("w"), BITMAP_BITS))
+
+    cores = bitmap(lambda each, common, core: common)
+    maybe = bitmap(lambda each, common, core: each[cores.value.has(common)[core]])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A window that a shard has found repeated is sent once for the shard, as what other shards' may equal."""
@@ -300,11 +334,12 @@ def _merged_masks(split: DataFrame, verdict: DataFrame, length: int) -> DataFram
         sent: set[bytes] = set()
         for batch in small_batches(batches, 200):
             out: list[tuple] = []
-            for h, shard, d, part, count, mask, whole in zip(*(batch[c].to_pylist() for c in ("h", "shard", "d", "part", "windows", "mask", "whole")), strict=True):
+            for h, shard, d, part, left, count, mask, whole in zip(*(batch[c].to_pylist() for c in ("h", "shard", "d", "part", "left", "windows", "mask", "whole")), strict=True):
                 if at != (h, shard):
                     at, sent = (h, shard), set()
                 known = np.ones(count, bool) if whole else np.unpackbits(np.frombuffer(mask or bytes(length), np.uint8))[:count].astype(bool)
-                for k in np.flatnonzero(maybe.value.has(window_digests(h, part, count, length))).tolist():
+                each, common, core = digests(h, part, left, count, length)
+                for k in np.flatnonzero(maybe.value.has(each) & cores.value.has(common)[core]).tolist():
                     window = part[k : k + length]
                     if known[k]:
                         if window in sent:
@@ -314,7 +349,6 @@ def _merged_masks(split: DataFrame, verdict: DataFrame, length: int) -> DataFram
             types = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["h", "d", "k", "known", "window"])
 
-    judged = split.join(verdict.withColumn("whole", F.isnull("mask")), ["h", "d"], "left").repartition("h", "shard").sortWithinPartitions("h", "shard")
     ranges = judged.mapInArrow(windows, "h long, d long, k int, known boolean, window binary").repartitionByRange("h", "window").sortWithinPartitions("h", "window")
     places = ranges.mapInArrow(equal_neighbours, "h long, d long, k int").groupBy("h", "d").agg(F.collect_list("k").alias("places"))  # at most 169 of a segment
 
@@ -327,7 +361,9 @@ def _merged_masks(split: DataFrame, verdict: DataFrame, length: int) -> DataFram
                 masks.append(np.packbits(bits).tobytes())
             yield pa.RecordBatch.from_arrays([batch["h"], batch["d"], pa.array(masks, pa.binary())], names=["h", "d", "mask"])
 
-    return places.mapInArrow(pack, "h long, d long, mask binary")
+    masks, _ = C.written(places.mapInArrow(pack, "h long, d long, mask binary"))
+    C.dropped(spark, path)
+    return masks
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -340,7 +376,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def _parts(texts: DataFrame, asked: DataFrame, length: int) -> DataFrame:
-    """(h, shard, d, kinds, part, windows): the bytes of segments `asked` for (h, shard, d, kinds, key, at), read from the documents that have some."""
+    """(h, shard, d, kinds, part, left, windows): the bytes of segments `asked` for (h, shard, d, kinds, key, at), read from the documents that have some."""
     own = checkpointed(asked.groupBy("key").agg(F.collect_list(F.struct("h", "shard", "d", "kinds", "at")).alias("asked")))  # a document's own segments
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,12 +385,12 @@ def _parts(texts: DataFrame, asked: DataFrame, length: int) -> DataFrame:
             for text, wanted in zip(raw_bytes_of(batch), batch["asked"].to_pylist(), strict=True):
                 for a in wanted:
                     first, count = a["at"] >> 16, a["at"] & 255
-                    out.append((a["h"], a["shard"], a["d"], a["kinds"], text[first : first + count + length - 1], count))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["h", "shard", "d", "kinds", "part", "windows"])
+                    out.append((a["h"], a["shard"], a["d"], a["kinds"], text[first : first + count + length - 1], a["at"] >> 8 & 255, count))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["h", "shard", "d", "kinds", "part", "left", "windows"])
 
     sources = C.passing(texts, C.Bitmap.of(own.select("key"), BITMAP_BITS), "key")
-    return sources.join(own, "key").select("text", "asked").mapInArrow(read, "h long, shard long, d long, kinds long, part binary, windows int")
+    return sources.join(own, "key").select("text", "asked").mapInArrow(read, "h long, shard long, d long, kinds long, part binary, left int, windows int")
 
 
 def spans(texts: DataFrame, length: int = LENGTH, group_segments: int = GROUP_SEGMENTS) -> DataFrame:
@@ -388,7 +424,7 @@ def spans(texts: DataFrame, length: int = LENGTH, group_segments: int = GROUP_SE
     wide = listed.where(F.col("kinds") > group_segments).select("h", shard.alias("shard"), "d", "kinds", "first.*")
     if not wide.isEmpty():
         split, split_path = C.written(_parts(texts, wide, length))
-        merged, _ = C.written(_merged_masks(split, verdict, length))
+        merged = _merged_masks(split, verdict, length)
         C.dropped(spark, split_path)
         verdict = verdict.unionByName(merged)
     marks = C.joined(found, verdict, ["h", "d"], kinds.select("h", "d", "n")).groupBy("key").agg(F.collect_list(F.struct("at", "mask")).alias("marks"))  # a document's own segments
