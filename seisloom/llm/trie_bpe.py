@@ -16,7 +16,7 @@ import json
 import struct
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import chain, filterfalse, islice
 
 import pyarrow as pa
 import regex
@@ -136,43 +136,51 @@ class TrieBpe:
 class ChunkedEncoder:
     """Encodes texts by their chunks between single spaces, which no pre-token crosses, remembering the ids of chunks.
 
-    The ids of a word and a mark after it are those of both, so that a word is encoded once, whatever follows it. A
+    The ids of a word and the marks after it are those of both, so that a word is encoded once, whatever follows it. A
     text with white space next to a space, or with rare white space, is encoded as a whole, since chunks could differ.
     """
 
-    MARKS = ".,;:!?"
+    MARKS = ".,;:!?%&#*'\"()[]{}<>|/\\^_~`@$+=-"
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]]):
         self.encode_chunks = encode
-        self.young: dict[str, bytes] = {}  # of a space and the key
+        self.young: dict[str, bytes] = {}  # of a space and the key, or of a key that begins with a line feed
         self.old: dict[str, bytes] = {}  # what was young before
-        self.marks = dict(zip(self.MARKS, encode([*self.MARKS]), strict=True))
 
     @staticmethod
     def odd(text: str) -> bool:
         return "  " in text or " \n" in text or "\n " in text or any(c in text for c in (_RARE[:9] if text.isascii() else _RARE))
 
+    def chunks(self, text: str) -> list[str]:
+        """The first chunk, then those with a space before; one that begins with a line feed has none. Of two line feeds the second may belong to the first."""
+        if self.odd(text):
+            return [text]
+        return text.split(" ") if "\n\n" in text else text.replace("\n", " \n").split(" ")
+
     def learn(self, missing: set[str]) -> dict[str, bytes]:
-        """Ids of chunks with a space before; the shorter ones are remembered."""
-        young, old, marks = self.young, self.old, self.marks
+        """Ids of chunks that are not the first; the shorter ones are remembered."""
+        young, old = self.young, self.old
         known = {c: old[c] for c in missing if c in old}
         missing = missing.difference(known)
-        marked = [c for c in missing if c[-1:] in marks and c[:-1].isalpha()]
-        words = {c: young.get(c) or old.get(c) for c in {c[:-1] for c in marked}}
-        asked = list(missing.difference(marked).union(c for c, ids in words.items() if ids is None))
-        fresh = dict(zip(asked, self.encode_chunks([f" {c}" for c in asked]), strict=True))
-        known.update([(c, fresh[c]) for c in asked if c in missing])
-        known.update([(c, (words[c[:-1]] or fresh[c[:-1]]) + marks[c[-1]]) for c in marked])
+        bases = {c: b for c in missing if (b := c.rstrip(self.MARKS)) != c and (b.isalpha() or (b[:1] == "\n" and b[1:].isalpha()))}
+        runs = {c: c[len(b) :] for c, b in bases.items()}
+        words = {b: young.get(b) or old.get(b) for b in set(bases.values())}
+        asked = list(missing.difference(bases).union(b for b, ids in words.items() if ids is None))
+        fresh = dict(zip(asked, self.encode_chunks([c if c[:1] == "\n" else f" {c}" for c in asked]), strict=True))
+        known.update(fresh)
+        marks = [*set(runs.values())]
+        marked = dict(zip(marks, self.encode_chunks(marks), strict=True))
+        known.update([(c, (words[b] or fresh[b]) + marked[runs[c]]) for c, b in bases.items()])
         young.update(known if max(map(len, known), default=0) <= LONG else {c: ids for c, ids in known.items() if len(c) <= LONG})
         return known
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.young) > MEMORY:
             self.old, self.young = self.young, {}
-        parts = [[x] if self.odd(x) else x.split(" ") for x in texts]
+        parts = [self.chunks(x) for x in texts]
         heads = list({p[0] for p in parts})
         first = dict(zip(heads, self.encode_chunks(heads), strict=True))
-        known = self.learn(set(chain.from_iterable(islice(p, 1, None) for p in parts)).difference(self.young))
+        known = self.learn(set(filterfalse(self.young.__contains__, chain.from_iterable(islice(p, 1, None) for p in parts))))
         out = []
         for p in parts:
             try:

@@ -25,7 +25,7 @@ def frame(spark, rows=TEXTS):
 def test_trie_equals_library(tokenizer):
     bpe, chunked = trie_bpe.coder(PATH)
     random.seed(4)
-    parts = ["a", "th", " ", "  ", "\n", "\t", "é", "中", "😀", "'s", "1", "!!", "<|endoftext|>", "　", "aaaa", "\x00", "\xa0", "word", "Word."]
+    parts = ["a", "th", " ", "  ", "\n", "\t", "é", "中", "😀", "'s", "1", "!!", "<|endoftext|>", "　", "aaaa", "\x00", "\xa0", "word", "Word.", " and", "\n\n", "'", "...", "%%%", '").']
     texts = ["".join(random.choice(parts) for _ in range(random.randint(0, 40))) for _ in range(3000)] + ["a" * n for n in range(40)]
     for encode in (chunked.encode, library(PATH).encode):
         for text, ids in zip(texts, encode(texts), strict=True):
