@@ -178,3 +178,13 @@ def test_registers_estimate_similarity():
     b.sort()
     guess = hyperminhash.estimate(hyperminhash.registers(a)[None], hyperminhash.registers(b)[None])[0]
     assert abs(guess - 800 / 1200) < 0.2
+
+
+def test_words_that_a_polynomial_confuses(spark):
+    """Two words of 1024 bytes that collide under every polynomial hash modulo 2^64 share no shingle and are two words."""
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, f"x y {word} z"), (2, f"x y {other} z")], "doc_id long, text string")
+    assert {r["component_id"] for r in hyperminhash.components(docs, words=4).collect()} == {1, 2}
+    hashes, counts, _, _ = common.word_hashes([f"{word} {other} {word}".encode(), b"", b" \x0b"])
+    assert len(set(hashes.tolist())) == 2 and counts.tolist() == [3, 0, 0]
