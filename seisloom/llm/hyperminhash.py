@@ -275,7 +275,7 @@ def connected(edges: DataFrame) -> DataFrame:
         labels = moved.select("node", "root")
 
 
-def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+def joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels (node, root) after more links: components of components."""
     a, b = (labels.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
     between = links.join(a, "a").join(b, "b").where("root_a != root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()
@@ -283,6 +283,18 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return C.written(labels.join(moved, "root", "left").select("node", F.coalesce("new", "root").alias("root")))[0]
 
 
+def components_of(signed: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of `signed` (doc_id, n_shingles, digest), from its classes (digest, doc_id, node, copies) and the labels (node, root) of linked ones."""
+    ids = classes.select("digest", "doc_id", "node", "copies")
+    least = labels.join(ids, "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    linked = C.joined(labels, least, ["root"], labels.groupBy("root").agg(F.count("*").alias("n")))
+    named = ids.join(linked.select("node", "component_id"), "node", "left").select("digest", F.coalesce("component_id", "doc_id").alias("component_id"))
+    whole = signed.where("digest IS NOT NULL").select("doc_id", "n_shingles", "digest")
+    found = C.joined(whole, named, ["digest"], ids.select("digest", F.col("copies").alias("n"))).select("doc_id", "n_shingles", "component_id")
+    empty = signed.where("digest IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return found.unionByName(empty)
+
+
 def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     C.lean_batches(docs.sparkSession)
@@ -322,7 +334,7 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
             break
         apart = placed.join(bands, "band").where("root != centre.root").groupBy("node", F.col("centre.node").alias("b")).agg(F.count("*").alias("shared"))
         stars = apart.groupBy(F.col("node").alias("a")).agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
-        labels = _joined(labels, checkpointed(_confirmed(stars, sources, words, percent)))
+        labels = joined_labels(labels, checkpointed(_confirmed(stars, sources, words, percent)))
     if not bands.isEmpty():
         counts = placed.groupBy("band", "root").agg(F.count("*").alias("k")).groupBy("band").agg(F.max_by("root", F.struct("k", "root")).alias("main"))
         parts = F.ceil(F.col("n") / BLOCK)
@@ -332,15 +344,9 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         members = members.select("band", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "node", "root", (F.col("root") != F.col("main")).alias("outside"))
         some = members.groupBy("band", "i", "j").agg(F.bool_or("outside").alias("any")).where("any").drop("any")
         rows = members.join(some, ["band", "i", "j"]).join(sources.select("node", "text"), "node")
-        labels = _joined(labels, checkpointed(_block_links(rows, words, percent)))
-    ids = classes.select("digest", "doc_id", "node", "copies")
-    least = labels.join(ids, "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    linked = C.joined(labels, least, ["root"], labels.groupBy("root").agg(F.count("*").alias("n")))
-    named = ids.join(linked.select("node", "component_id"), "node", "left").select("digest", F.coalesce("component_id", "doc_id").alias("component_id"))
-    whole = signed.where("digest IS NOT NULL").select("doc_id", "n_shingles", "digest")
-    found = C.joined(whole, named, ["digest"], ids.select("digest", F.col("copies").alias("n"))).select("doc_id", "n_shingles", "component_id")
-    empty = signed.where("digest IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return found.unionByName(empty).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.col("component_id").isNull()))
+        labels = joined_labels(labels, checkpointed(_block_links(rows, words, percent)))
+    found = components_of(signed, classes, labels)
+    return found.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.col("component_id").isNull()))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

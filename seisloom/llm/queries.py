@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collision_ann, compression_quality, hmm_lm, hyperminhash, merkle_manifest, packing, ppm_langid, spelling_variants, suffix_dedup, threshold_topk, token_files, trie_bpe
+from . import collision_ann, compression_quality, count_rtree, hmm_lm, hyperminhash, merkle_manifest, packing, ppm_langid, spelling_variants, suffix_dedup, threshold_topk, token_files, trie_bpe
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -56,6 +56,10 @@ def op10_ppm_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm_langid.identified(_documents(spark, sf_dir))
 
 
+def op11_count_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_rtree.components(_documents(spark, sf_dir))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.manifest(_documents(spark, sf_dir))
 
@@ -72,15 +76,15 @@ _TOP_K = """WITH v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda
 s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id != b.vec_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
-_COMPONENTS = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM w),
+_LINKED = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < {words} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {words} + 2), lambda i: array_to_string(w[i:i + {words} - 1], ' ')) END) AS g FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
 l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
 e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
 r(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
 m AS (SELECT x, min(y) AS y FROM r GROUP BY x)
-SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(m.y, w.doc_id)) AS component_id, coalesce(m.y >= w.doc_id, true) AS kept FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.x = w.doc_id"""
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(m.y, w.doc_id)) AS component_id{more} FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.x = w.doc_id"""
 
 #: crc32 of a list of bytes, bit by bit: a byte goes in, eight shifts (-1) follow
 _CRC = "xor(list_reduce(flatten(list_transform({bytes}, lambda b: [b, -1, -1, -1, -1, -1, -1, -1, -1])), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END, 4294967295::BIGINT), 4294967295::BIGINT)"
@@ -118,4 +122,4 @@ SELECT f.word, f.n, f.n_near, f.form, f.form_n, z.root FROM f JOIN z USING (word
 
 def oracle_sql() -> dict[str, str]:
     """The others hold tokens, models or approximate results, which SQL cannot express; tests compare them with brute force."""
-    return {"op4_threshold_topk": _TOP_K, "op7_hyperminhash": _COMPONENTS, "op12_merkle_manifest": _MANIFEST, "op13_spelling_variants": _VARIANTS}
+    return {"op4_threshold_topk": _TOP_K, "op7_hyperminhash": _LINKED.format(words=4, more=", coalesce(m.y >= w.doc_id, true) AS kept"), "op11_count_rtree": _LINKED.format(words=5, more=""), "op12_merkle_manifest": _MANIFEST, "op13_spelling_variants": _VARIANTS}
