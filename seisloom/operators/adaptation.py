@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -40,12 +40,49 @@ def labelled(predictions: DataFrame, waves: DataFrame, second_us: int = 1_000_00
         F.max("amplitude").alias("_top"),
         F.max("us").alias("_last"),
     )
-    joined = predictions.join(seen, "id", "left")
+    return _labels(predictions.join(seen, "id", "left"))
+
+
+def _labels(joined: DataFrame) -> DataFrame:
     unlikely = F.col("probability") <= 0.3
     event = F.when(unlikely, F.lit(False)).when(F.col("_last").isNotNull(), F.col("_shear") & F.col("_surface"))
     return joined.select("id", event.alias("event"), F.when(event & ~unlikely & (F.col("_top") > 0), F.log10("_top")).alias("magnitude"), F.when(unlikely, F.coalesce("_last", F.lit(0))).otherwise(F.col("_last")).alias("labeled_at"))
 
 
+def followed(predictions: DataFrame, waves: DataFrame, second_us: int = 1_000_000) -> DataFrame:
+    """labelled() for any predictions (id, station, us, probability): by the station's waves (station, us, wave, amplitude) from the first one later than the prediction to 30 s after that.
+
+    What follows a wave depends on its time alone: sliding ranges over buckets of 30 s, to which each wave also goes as
+    the next bucket's, give it once for each time of a wave. A prediction then finds its first later wave, in its own
+    bucket or as the least of a later one, an as-of join that sends a row only to its bucket.
+    """
+    span = 30 * second_us
+    bucket = F.floor(F.col("us") / span)
+    copied = waves.select("station", "us", "wave", "amplitude", F.explode(F.array(bucket, bucket - 1)).alias("_b"))
+    along = Window.partitionBy("station", "_b").orderBy("us")
+    within = lambda low, high: along.rangeBetween(low * second_us, high * second_us)
+    seen = copied.select(
+        "station",
+        "us",
+        "_b",
+        F.coalesce(F.bool_or(F.col("wave") == "S").over(within(1, 10)), F.lit(False)).alias("_shear"),
+        F.coalesce(F.bool_or(F.col("wave") == "Surface").over(within(5, 30)), F.lit(False)).alias("_surface"),
+        F.max("amplitude").over(within(0, 30)).alias("_top"),
+        F.max("us").over(within(0, 30)).alias("_last"),
+    )
+    seen = seen.where(F.col("_b") == bucket).drop("_b").dropDuplicates(["station", "us"])
+    asked = predictions.select("id", "station", "us", "probability", bucket.alias("_b"), F.lit(None).cast("long").alias("_wave"))
+    times = waves.select(F.lit(None).cast(predictions.schema["id"].dataType).alias("id"), "station", "us", F.lit(None).cast("double").alias("probability"), bucket.alias("_b"), F.col("us").alias("_wave"), F.lit(True).alias("_is_wave"))
+    both = asked.withColumn("_is_wave", F.lit(False)).unionByName(times)
+    own = F.min("_wave").over(along.rangeBetween(1, Window.unboundedFollowing))
+    firsts = both.groupBy("station", "_b").agg(F.min("_wave").alias("_first"))
+    later = Window.partitionBy("station").orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
+    firsts = firsts.select("station", "_b", F.min("_first").over(later).alias("_later"))
+    found = both.withColumn("_own", own).where("NOT _is_wave").join(firsts, ["station", "_b"])
+    found = found.select("id", "station", "probability", F.coalesce("_own", "_later").alias("us"))
+    return _labels(found.join(seen, ["station", "us"], "left"))
+
+
 def accuracy(outcomes: DataFrame) -> DataFrame:
     """(arm, samples, correct, accuracy): correct if (probability >= 0.5) agrees with the event."""
     right = F.sum(((F.col("probability") >= 0.5) == F.col("event")).cast("int"))

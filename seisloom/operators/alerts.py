@@ -60,6 +60,24 @@ def decisions(predictions: DataFrame, cooldown: Cooldown, mesh: bool = False) ->
     return keyed_fold(rows, "station", ["us", "id"], Cooldown.start, step, f"station {kinds['station']}, us long, id {kinds['id']}, level string, kind string")
 
 
+def resumed(predictions: DataFrame, state: DataFrame, cooldown: Cooldown, mesh: bool = False) -> DataFrame:
+    """decisions() that go on from each station's state (station, level, magnitude, at): also last_level, last_magnitude and last_at, the state after each row. A station's old state is a row of its own, without an id."""
+    kinds = {c: predictions.schema[c].dataType.simpleString() for c in ("station", "id")}
+
+    def step(now: dict, row: tuple) -> tuple:
+        name = row.level if isinstance(row.level, str) else None
+        if row.old:
+            now.update(level=name, magnitude=row.magnitude, at=int(row.at))
+            return row.station, -1, None, name, None, now["level"], now["magnitude"], now["at"]
+        kind = cooldown.decide(now, row.us, name, row.magnitude, mesh)
+        return row.station, row.us, row.id, name, kind, now["level"], now["magnitude"], now["at"]
+
+    new = predictions.select("station", "us", "id", "magnitude", level(F.col("probability")).alias("level"), F.lit(False).alias("old"), F.lit(0).cast("long").alias("at"))
+    kept = state.select("station", F.lit(-1).cast("long").alias("us"), F.lit(-1).cast(kinds["id"]).alias("id"), "magnitude", "level", F.lit(True).alias("old"), "at")
+    schema = f"station {kinds['station']}, us long, id {kinds['id']}, level string, kind string, last_level string, last_magnitude double, last_at long"
+    return keyed_fold(kept.unionByName(new), "station", ["us", "id"], Cooldown.start, step, schema)
+
+
 def confirmations(claims: DataFrame, votes: DataFrame, window_us: int, least: int = 1) -> DataFrame:
     """(claim_id, stations, status) of claims (claim_id, us): distinct stations, whichever they are, that voted (station, us) within the window after.
 

@@ -46,6 +46,35 @@ def _from_pieces(samples: DataFrame, size: int, step: int) -> DataFrame:
     return whole.where(F.size("samples") == size)
 
 
+def polled(polls: DataFrame, key: str, order: list[str], bucket: Column, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """Polls (key, ok, n, ...) with k, the frame that a poll yields or null, and held, the samples that it leaves waiting.
+
+    A poll that fails reads nothing and yields nothing. Any other adds its n samples, and yields one frame if at least
+    `size` wait, of which `size - overlap` then go. After j polls that have read A samples, no more than
+    F = (A - overlap) / step frames can be whole, and each poll adds one at most: the number of frames is the least
+    F_i + (j - i) over all i up to j, a running minimum. `bucket` never falls along `order`: sums and minima run within
+    (key, bucket) and are moved by those of earlier buckets, so that a key with most polls has as many tasks as buckets.
+
+    As reads of at most a step leave less than `size`, a ring of four sizes never drops a sample; larger reads are an
+    error. Null `ok` counts as a failure.
+    """
+    step = size - overlap
+    read = F.when(F.coalesce("ok", F.lit(False)), F.when(F.col("n") > step, F.raise_error(F.lit("a poll reads more than a step"))).otherwise(F.col("n").cast("long"))).otherwise(0)
+    dealt = polls.withColumns({"_b": bucket, "_ok": F.coalesce("ok", F.lit(False)).cast("long"), "_n": read})
+    own = Window.partitionBy(key, "_b").orderBy(*order)
+    sizes = dealt.groupBy(key, "_b").agg(F.sum("_ok").alias("_j0"), F.sum("_n").alias("_a0"))
+    earlier = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(key, "_b", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("_j0", "_a0")])
+    placed = dealt.join(sizes, [key, "_b"]).withColumn("_j", F.col("_j0") + F.sum("_ok").over(own)).withColumn("_a", F.col("_a0") + F.sum("_n").over(own))
+    placed = placed.withColumn("_f", F.when(F.col("_ok") == 1, F.greatest(F.lit(0), F.floor((F.col("_a") - overlap) / step)) - F.col("_j")))
+    least = placed.groupBy(key, "_b").agg(F.min("_f").alias("_m0"))
+    least = least.select(key, "_b", F.least(F.lit(0), F.min("_m0").over(earlier)).alias("_m0"))
+    before = F.least("_m0", F.min("_f").over(own.rowsBetween(Window.unboundedPreceding, -1)))
+    found = placed.join(least, [key, "_b"]).withColumn("_was", F.col("_j") - F.col("_ok") + before).withColumn("_w", F.col("_j") + F.least(before, "_f"))
+    k = F.when((F.col("_ok") == 1) & (F.col("_w") > F.col("_was")), F.col("_was"))
+    return found.select(*polls.columns, k.cast("long").alias("k"), (F.col("_a") - F.col("_w") * step).cast("long").alias("held"))
+
+
 def rms(samples: Column) -> Column:
     """Root mean square; 0 of nothing."""
     total = F.aggregate(samples, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))

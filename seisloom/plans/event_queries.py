@@ -174,15 +174,14 @@ def lora_apply(spark, sf_dir):
     return D.applied(grid(3, 4, "i", "j").withColumn("w", F.lit(1.0)), a, b).withColumn("w", r6("w"))
 
 
-@query(f"""WITH {EV}, p AS (SELECT * FROM ev WHERE rn % 10 = 1), w AS (SELECT p.event_id AS id, e.us, e.wave, e.value FROM p JOIN ev e ON e.user_id = p.user_id AND e.rn BETWEEN p.rn + 1 AND p.rn + 9),
-f AS (SELECT *, (us - min(us) OVER (PARTITION BY id))::DOUBLE / {10 * HOUR} AS s FROM w), g AS (SELECT id, bool_or(wave = 'S' AND s BETWEEN 1 AND 10) AS sh, bool_or(wave = 'Surface' AND s BETWEEN 5 AND 30) AS su, max(value) AS top, max(us) AS last FROM f GROUP BY id)
-SELECT p.event_id AS id, CASE WHEN probability <= 0.3::DOUBLE THEN false WHEN last IS NOT NULL THEN sh AND su END AS event, CASE WHEN probability > 0.3::DOUBLE AND sh AND su AND top > 0 THEN round(log10(top), 6) END AS magnitude, CASE WHEN probability <= 0.3::DOUBLE THEN coalesce(last, 0) ELSE last END AS labeled_at FROM p LEFT JOIN g ON g.id = p.event_id""")
+@query(f"""WITH {EV}, p AS (SELECT a.event_id AS id, a.user_id, a.probability, (SELECT min(b.us) FROM ev b WHERE b.user_id = a.user_id AND b.us > a.us) AS f FROM ev a),
+g AS (SELECT p.id, coalesce(bool_or(e.wave = 'S' AND e.us - f BETWEEN {10 * HOUR} AND {100 * HOUR}), false) AS sh, coalesce(bool_or(e.wave = 'Surface' AND e.us - f >= {50 * HOUR}), false) AS su, max(e.value) AS top, max(e.us) AS last FROM p JOIN ev e ON e.user_id = p.user_id AND e.us BETWEEN f AND f + {300 * HOUR} GROUP BY p.id)
+SELECT p.id, CASE WHEN probability <= 0.3::DOUBLE THEN false WHEN last IS NOT NULL THEN sh AND su END AS event, CASE WHEN probability > 0.3::DOUBLE AND sh AND su AND top > 0 THEN round(log10(top), 6) END AS magnitude, CASE WHEN probability <= 0.3::DOUBLE THEN coalesce(last, 0) ELSE last END AS labeled_at FROM p LEFT JOIN g ON g.id = p.id""")
 def ground_truth_labels(spark, sf_dir):
-    e = ranked(spark, sf_dir)
-    group = F.floor((F.col("rn") - 1) / 10)
-    asked = e.where("rn % 10 = 1").select(F.col("event_id").alias("id"), "probability", "user_id", group.alias("g"))
-    waves = e.where("rn % 10 != 1").withColumn("g", group).join(asked.select("id", "user_id", "g"), ["user_id", "g"]).select("id", "us", "wave", F.col("value").alias("amplitude"))
-    return D.labelled(asked.select("id", "probability"), waves, 10 * HOUR).withColumn("magnitude", r6("magnitude"))
+    """Every event is a prediction; the later events of its user are the waves."""
+    e = events(spark, sf_dir).withColumn("station", F.col("user_id"))
+    asked = e.select(F.col("event_id").alias("id"), "station", "us", "probability")
+    return D.followed(asked, e.select("station", "us", "wave", F.col("value").alias("amplitude")), 10 * HOUR).withColumn("magnitude", r6("magnitude"))
 
 
 _ARMS = "o AS (SELECT CASE user_id % 2 WHEN 0 THEN 'candidate' ELSE 'current' END AS arm, (probability >= 0.5) = (event_type IN ('purchase', 'signup')) AS ok FROM ev)"
@@ -397,14 +396,58 @@ def simulated_event(spark, sf_dir):
     return sensors.simulated(spark, 5.0, 20.0, 0.01, 100)
 
 
+@query()
+def tick_stream(spark, sf_dir):
+    """full_tick as a stream: the signal arrives in four stretches of time, and the stream is stopped and started again between them. Also each tick's micro update."""
+    from ..storage import fresh
+    from ..streaming import tick
+    from .signal_queries import samples
+
+    folder = fresh(spark, "tick")
+    rows = samples(spark, sf_dir).select(F.col("ch").cast("long").alias("ch"), F.col("i").cast("long").alias("i"), "v")
+    end = rows.agg(F.max("i")).first()[0] or 0
+    stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/samples/*")
+    for part in range(4):
+        low, high = (end + 1) * part // 4, (end + 1) * (part + 1) // 4
+        rows.where((F.col("i") >= low) & (F.col("i") < high)).write.parquet(f"{folder}/samples/part-{part}")
+        tick.run(stream, folder).awaitTermination()
+    return tick.decisions(spark, folder).select("id", "level", "kind", F.transform(F.flatten("micro"), lambda x: F.round(x, 9)).alias("micro"))
+
+
+_POLLS = EV + f""", st(user_id, rn, event_id, held, w, k) AS (SELECT user_id, 0::BIGINT, NULL::BIGINT, 0::BIGINT, 0::BIGINT, NULL::BIGINT FROM (SELECT DISTINCT user_id FROM ev)
+UNION ALL SELECT user_id, rn, event_id, least(1024, held + n) - CASE WHEN got THEN 128 ELSE 0 END, w + got::INT, CASE WHEN got THEN w END FROM (SELECT e.user_id, e.rn, e.event_id, s.held, s.w, CASE WHEN e.event_type = 'error' THEN 0 ELSE 64 END AS n, e.event_type != 'error' AND least(1024, s.held + 64) >= 256 AS got FROM st s JOIN ev e ON e.user_id = s.user_id AND e.rn = s.rn + 1))"""
+
+
+@query(f"WITH RECURSIVE {_POLLS} SELECT event_id, k, held, (k + 1) * 1280000 AS timestamp_us FROM st WHERE rn > 0")
+def poll_windows(spark, sf_dir):
+    """An event is a poll of its user's sensor, which reads 64 samples; an error fails."""
+    from ..operators import framing as P
+
+    polls = events(spark, sf_dir).select("event_id", "user_id", "us", (F.col("event_type") != "error").alias("ok"), F.lit(64).alias("n"))
+    found = P.polled(polls, "user_id", ["us", "event_id"], F.floor(F.col("us") / (24 * HOUR)))
+    return found.select("event_id", "k", "held", P.frame_time_us(F.col("k")).alias("timestamp_us"))
+
+
+@query()
+def kept_index_search(spark, sf_dir):
+    """The embeddings come to the index in three appends, by the remainder of their ids; then every 20th asks all of them."""
+    from ..operators import graph_index
+    from ..storage import fresh
+
+    e, folder = read(spark, sf_dir, "embeddings"), fresh(spark, "graph-index")
+    for part in range(3):
+        graph_index.append(e.where(F.col("vec_id") % 3 == part), folder, str(part))
+    return graph_index.search(e.where("vec_id % 20 = 0"), folder, 16)
+
+
 @query()
 def full_tick(spark, sf_dir):
     """Frames to decisions: embed, find earlier neighbours, join the last 100 frames, link all within a minute, predict, decide. A frame's id follows time, then channel; a frame is among its own neighbours and last frames, as in the reference."""
-    from ..operators import embedding as E
-    from ..operators import framing as P
+    from ..storage import stored
+    from ..streaming.tick import identified
     from .signal_queries import framed
 
-    frames = E.embedded(P.metadata(framed(spark, sf_dir))).withColumn("vec_id", F.col("k") * 1_000_000 + F.col("ch"))
+    frames = stored(identified(framed(spark, sf_dir)).select("vec_id", "ch", "k", "timestamp_us", "vector"), "frames")
     vectors = frames.select("vec_id", F.col("vector").alias("embedding"))
     near = V.nearest(vectors, vectors, 16, earlier=True).select(F.col("query_id").alias("centre"), F.col("vec_id").alias("id"), F.col("rank").alias("order"))
     past = G.recent(frames.select(F.col("vec_id").alias("id")), 100)

@@ -290,8 +290,8 @@ def embedding_vectors(spark, sf_dir):
     return E.embedded(P.metadata(framed(spark, sf_dir))).select("ch", "k", "vector", "source_window_hash", "norm")
 
 
-@query(f"""WITH {META}, o AS (SELECT list(rms ORDER BY ch, k) FILTER (WHERE wave_type = 'Unknown') AS l FROM cls) SELECT round(list_reduce(list_prepend(0.0::DOUBLE, l), lambda f, x: 0.99::DOUBLE * f + 0.01::DOUBLE * x), 6) AS noise_floor FROM o""")
+@query(f"""WITH {META}, o AS (SELECT list(rms ORDER BY k, ch) FILTER (WHERE wave_type = 'Unknown') AS l FROM cls) SELECT round(list_reduce(list_prepend(0.0::DOUBLE, l), lambda f, x: 0.99::DOUBLE * f + 0.01::DOUBLE * x), 6) AS noise_floor FROM o""")
 def adaptive_noise_floor(spark, sf_dir):
     from ..operators import embedding as E
 
-    return E.noise_floor(P.metadata(framed(spark, sf_dir)), ["ch", "k"]).select(r6("noise_floor").alias("noise_floor"))
+    return E.noise_floor(P.metadata(framed(spark, sf_dir)), ["k", "ch"]).select(r6("noise_floor").alias("noise_floor"))

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.framing import ordinal
+from ..storage import fresh
 
 HEADER = struct.Struct("<QBI")
 #: The operations of entries.
@@ -91,15 +92,7 @@ def round_trip(rows: DataFrame, key: str) -> DataFrame:
     spark = rows.sparkSession
     numbered = ordinal(rows.withColumn("_all", F.lit(1)), "_all", [key], F.floor(F.col(key) / 1000), "seq")
     payload = F.unhex(F.concat(*[F.substring(F.lpad(F.hex(key), 16, "0"), 2 * k - 1, 2) for k in range(8, 0, -1)]))
-    folder = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    folder = fresh(spark, "log")
     append(numbered.select("seq", F.lit(INSERT).alias("op"), payload.alias("payload")), folder)
     return read(spark, folder)
 
-
-def shared_folder(spark: SparkSession) -> str:
-    if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
-        import tempfile
-
-        folder = f"file://{tempfile.mkdtemp(prefix='shared-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder

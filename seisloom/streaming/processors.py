@@ -58,11 +58,11 @@ class FrameProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         k, held = self.ring.get() if self.ring.exists() else (0, [0])
         held = [*held[1:], *pd.concat(list(rows)).sort_values("i")["v"].tolist()]
-        out = []
-        while len(held) >= self.size:
-            out.append((key[0], k, held[: self.size]))
-            k, held = k + 1, held[self.step :]
-        self.ring.update((int(k), [0, *map(int, held)]))  # never an empty array, whose type state cannot tell
+        out, at = [], 0
+        while len(held) - at >= self.size:
+            out.append((key[0], k, held[at : at + self.size]))
+            k, at = k + 1, at + self.step
+        self.ring.update((int(k), [0, *map(int, held[at:])]))  # never an empty array, whose type state cannot tell
         yield pd.DataFrame(out, columns=["ch", "k", "samples"])
 
     def close(self) -> None:
