@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import keyed_events
+
 
 def error_signal(probability: Column, magnitude: Column, peak_s: Column, confidence: Column) -> Column:
     return F.array(probability - 0.5, magnitude - 3.0, peak_s - 5.0, confidence - 0.5)
@@ -95,3 +97,32 @@ def probation(arms: DataFrame, elapsed_s: Column, length_s: int = 3600) -> DataF
     both = arms.agg(pick("candidate").alias("candidate"), pick("current").alias("current"))
     result = F.when(elapsed_s < length_s, "InProgress").when(F.col("candidate") >= F.col("current"), "Promote").otherwise("Rollback")
     return both.select("candidate", "current", result.alias("result"))
+
+
+def probation_lifecycle(rows: DataFrame, key: str, order: list[str], length_us: int = 3_600_000_000) -> DataFrame:
+    """The columns of `order` with result and version for each `evaluate` of rows (key, us, kind, version, arm, ok).
+
+    `start` begins a probation of a candidate `version`, in the place of one that runs; `outcome` counts for the arm
+    candidate or current while one runs. An evaluation without a probation, or before its length is over, is InProgress;
+    then the candidate is promoted if it is at least as accurate (no outcomes: 0), and its version becomes the current
+    one, or rolled back; either ends the probation. The first version is 0.
+    """
+
+    def step(s: dict, row: tuple) -> list:
+        if row.kind == "start":
+            s.update(candidate=row.version, since=row.us, right={"candidate": 0, "current": 0}, all={"candidate": 0, "current": 0})
+        elif row.kind == "outcome" and s["candidate"] is not None and row.arm in s["all"]:
+            s["all"][row.arm] += 1
+            s["right"][row.arm] += bool(row.ok)
+        if row.kind != "evaluate":
+            return []
+        result = "InProgress"
+        if s["candidate"] is not None and max(0, row.us - s["since"]) >= length_us:
+            share = {arm: s["right"][arm] / s["all"][arm] if s["all"][arm] else 0.0 for arm in s["all"]}
+            result = "Promote" if share["candidate"] >= share["current"] else "Rollback"
+            s.update(candidate=None, now=s["candidate"] if result == "Promote" else s["now"])
+        return [(getattr(row, key), *(getattr(row, c) for c in order), result, s["now"])]
+
+    named = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in (key, *order))
+    wanted = rows.select(*dict.fromkeys([key, *order, "us", "kind", "version", "arm", "ok"]))
+    return keyed_events(wanted, key, order, lambda: {"candidate": None, "now": 0}, step, lambda state, own: [], f"{named}, result string, version long")

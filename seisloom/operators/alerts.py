@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .folds import keyed_fold
+from .folds import keyed_events, keyed_fold
 
 LEVELS = ("Low", "Medium", "High", "Critical")
 #: The least probabilities of the levels.
@@ -115,31 +115,78 @@ def consensus(rows: DataFrame, cooldown: Cooldown, window_us: int = 10_000_000,
     as the window end, and later votes find them unknown. At equal times predictions come before votes.
     """
 
+    machine = Consensus(cooldown, window_us, least)
+
+    def step(state: dict, row: tuple) -> tuple:
+        machine.expired(state, row.us)
+        return machine.take(state, row)
+
+    return keyed_fold(_known(rows), "station", ORDER, machine.start, step, _consensus_schema(rows))
+
+
+#: At equal times predictions come before votes.
+ORDER = ["us", "kind", "id", "voter"]
+
+
+def _known(rows: DataFrame) -> DataFrame:
+    return rows.select("station", "us", "id", "kind", "magnitude", "voter", level(F.col("probability")).alias("level"))
+
+
+def _consensus_schema(rows: DataFrame) -> str:
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("station", "id")}
+    return f"station {kinds['station']}, us long, id {kinds['id']}, kind string, level string, outcome string, stations int"
+
+
+class Consensus:
+    """One station's predictions and claims; the state is plain data."""
+
+    def __init__(self, cooldown: Cooldown, window_us: int, least: int):
+        self.cooldown, self.window_us, self.least = cooldown, window_us, least
+
+    @staticmethod
     def start() -> dict:
         return {**Cooldown.start(), "claims": {}}
 
-    def step(state: dict, row: tuple) -> tuple:
-        claims = state["claims"]
-        for claim in [c for c, x in claims.items() if row.us - x["at"] >= window_us]:
-            del claims[claim]
+    def expired(self, state: dict, now: int) -> list[tuple]:
+        """End the claims that are as old as the window by now: (time, id, votes), in the order of time."""
+        due = sorted((x["at"] + self.window_us, c, len(x["voters"])) for c, x in state["claims"].items() if now - x["at"] >= self.window_us)
+        for _, claim, _ in due:
+            del state["claims"][claim]
+        return due
+
+    def take(self, state: dict, row: tuple) -> tuple:
+        claims, head = state["claims"], (row.station, row.us, row.id, row.kind)
         if row.kind == "prediction":
             name = row.level if isinstance(row.level, str) else None
-            outcome = cooldown.decide(state, row.us, name, row.magnitude, True)
+            outcome = self.cooldown.decide(state, row.us, name, row.magnitude, True)
             if outcome == "DeferForConsensus":
-                claims[row.id] = {"at": row.us, "level": name, "magnitude": row.magnitude, "voters": set()}
-            return row.station, row.us, row.id, row.kind, name, outcome, 0
+                claims[row.id] = {"at": row.us, "level": name, "magnitude": row.magnitude, "voters": []}
+            return *head, name, outcome, 0
         if (claim := claims.get(row.id)) is None:
-            return row.station, row.us, row.id, row.kind, None, "UnknownClaim", 0
-        claim["voters"].add(row.voter)
-        if len(claim["voters"]) < least:
-            return row.station, row.us, row.id, row.kind, claim["level"], "Pending", len(claim["voters"])
+            return *head, None, "UnknownClaim", 0
+        if row.voter not in claim["voters"]:
+            claim["voters"].append(row.voter)
+        if len(claim["voters"]) < self.least:
+            return *head, claim["level"], "Pending", len(claim["voters"])
         del claims[row.id]
         state.update(level=claim["level"], magnitude=claim["magnitude"], at=claim["at"])
-        return row.station, row.us, row.id, row.kind, claim["level"], "Reached", len(claim["voters"]) + 1
+        return *head, claim["level"], "Reached", len(claim["voters"]) + 1
 
-    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("station", "id")}
-    known = rows.select("station", "us", "id", "kind", "magnitude", "voter", level(F.col("probability")).alias("level"))
-    return keyed_fold(known, "station", ["us", "kind", "id", "voter"], start, step, f"station {kinds['station']}, us long, id {kinds['id']}, kind string, level string, outcome string, stations int")
+    def due(self, state: dict, station: object, now: int) -> list[tuple]:
+        """A Medium alert without contents for each claim that has expired by now."""
+        return [(station, at, claim, "expiry", "Medium", "Expired", votes) for at, claim, votes in self.expired(state, now)]
+
+
+def consensus_events(rows: DataFrame, cooldown: Cooldown, window_us: int = 10_000_000, least: int = 1) -> DataFrame:
+    """consensus() with a row for each claim that expires: kind expiry, at the time its window ends, level Medium, outcome Expired, stations: the votes it had. Claims whose window ends after the last row of all stay open."""
+    machine = Consensus(cooldown, window_us, least)
+    kept = _known(rows).join(F.broadcast(rows.agg(F.max("us").alias("end"))))
+
+    def step(state: dict, row: tuple) -> list:
+        state["end"] = int(row.end)
+        return [*machine.due(state, row.station, row.us), machine.take(state, row)]
+
+    return keyed_events(kept, "station", ORDER, machine.start, step, lambda state, own: machine.due(state, own, state["end"]), _consensus_schema(rows))
 
 
 def expired(claims: DataFrame, now_us: Column, timeout_us: int) -> DataFrame:

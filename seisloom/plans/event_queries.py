@@ -279,13 +279,67 @@ def claim_expiry(spark, sf_dir):
 
 @query()
 def consensus_fold(spark, sf_dir):
-    """Each station's predictions, and the votes for its claims: an event is a vote for the one with the id before it."""
+    """Each station's predictions, and the votes for its claims."""
+    return L.consensus(_said(spark, sf_dir), L.Cooldown(12 * HOUR), HOUR)
+
+
+def _said(spark, sf_dir):
+    """All predictions, and an event as a vote for the one with the id before it."""
     e = events(spark, sf_dir).select("user_id", "us", "event_id", "probability", "magnitude")
     made = e.select(F.col("user_id").alias("station"), "us", F.col("event_id").alias("id"), F.lit("prediction").alias("kind"), "probability", "magnitude", F.lit(None).cast("long").alias("voter"))
     owner = e.select(F.col("event_id").alias("id"), F.col("user_id").alias("station"))
     votes = e.select((F.col("event_id") - 1).alias("id"), "us", F.col("user_id").alias("voter")).join(owner, "id")
     votes = votes.select("station", "us", "id", F.lit("vote").alias("kind"), F.lit(None).cast("double").alias("probability"), F.lit(None).cast("double").alias("magnitude"), "voter")
-    return L.consensus(made.unionByName(votes), L.Cooldown(12 * HOUR), HOUR)
+    return made.unionByName(votes)
+
+
+@query()
+def consensus_expiries(spark, sf_dir):
+    """consensus_fold with two votes needed, and a row for each claim that expires."""
+    return L.consensus_events(_said(spark, sf_dir), L.Cooldown(12 * HOUR), HOUR, 2)
+
+
+_ROUTE = "CASE event_type WHEN 'signup' THEN 'drain' WHEN 'error' THEN 'urgent' ELSE 'push' END"
+
+
+@query(f"""WITH RECURSIVE {EV}, st(user_id, rn, q, gone, fate, cause) AS (SELECT user_id, 0::BIGINT, []::BIGINT[], []::BIGINT[], '', NULL::BIGINT FROM (SELECT DISTINCT user_id FROM ev)
+UNION ALL SELECT e.user_id, e.rn, CASE WHEN e.event_type = 'signup' THEN []::BIGINT[] WHEN e.event_type = 'error' THEN list_concat([e.event_id], q[1:4]) WHEN len(q) >= 5 THEN list_concat(q[2:], [e.event_id]) ELSE list_concat(q, [e.event_id]) END,
+CASE WHEN e.event_type = 'signup' THEN q WHEN len(q) < 5 THEN []::BIGINT[] WHEN e.event_type = 'error' THEN [q[5]] ELSE [q[1]] END, CASE WHEN e.event_type = 'signup' THEN 'drained' ELSE 'evicted' END, e.event_id FROM st s JOIN ev e ON e.user_id = s.user_id AND e.rn = s.rn + 1),
+o AS (SELECT user_id, gone AS g, fate, cause FROM st WHERE len(gone) > 0 UNION ALL SELECT user_id, q, 'held', NULL FROM st WHERE len(q) > 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY rn DESC) = 1 AND rn = (SELECT max(rn) FROM ev WHERE ev.user_id = st.user_id))
+SELECT user_id, unnest(g) AS event_id, fate, cause, CAST(unnest(range(len(g))) AS INTEGER) AS place FROM o""")
+def outbound_queue(spark, sf_dir):
+    """An event is a message of its user's queue of five: errors are urgent, and a signup drains."""
+    e = events(spark, sf_dir).withColumn("op", F.expr(_ROUTE))
+    return W.outbound(e, "user_id", ["us", "event_id"], "event_id", "op", 5)
+
+
+@query(f"""WITH RECURSIVE {EV}, st(user_id, rn, event_id, known, rate, floor, failures, heard) AS (SELECT user_id, 0::BIGINT, NULL::BIGINT, false, 0.0::DOUBLE, 0.0::DOUBLE, 0, false FROM (SELECT DISTINCT user_id FROM ev)
+UNION ALL SELECT e.user_id, e.rn, e.event_id, known OR e.event_type = 'signup',
+CASE WHEN e.event_type = 'signup' THEN 50 WHEN NOT known OR e.event_type = 'error' THEN rate WHEN NOT heard THEN e.value ELSE 0.1::DOUBLE * e.value + 0.9::DOUBLE * rate END,
+CASE WHEN e.event_type = 'signup' THEN 0 WHEN NOT known OR e.event_type = 'error' THEN floor WHEN NOT heard THEN e.value WHEN e.value < 2 * floor OR floor = 0 THEN 0.1::DOUBLE * e.value + 0.9::DOUBLE * floor ELSE floor END,
+CASE WHEN e.event_type = 'error' AND known THEN failures + 1 WHEN e.event_type != 'error' THEN 0 ELSE failures END, e.event_type != 'signup' AND (heard OR (known AND e.event_type != 'error'))
+FROM st s JOIN ev e ON e.user_id = s.user_id AND e.rn = s.rn + 1)
+SELECT event_id, CASE WHEN NOT known OR failures > 1 THEN 'Failed' WHEN abs(rate - 50) / 50 > 0.5::DOUBLE THEN 'Degraded' ELSE 'Active' END AS status, round(floor, 6) AS noise_floor FROM st WHERE rn > 0""")
+def sensor_registry(spark, sf_dir):
+    """Each user is a sensor that a signup registers at a rate of 50, again and again; an error is a failed read."""
+    op = F.when(F.col("event_type") == "signup", "register").when(F.col("event_type") == "error", "failure").otherwise("success")
+    rate = F.when(F.col("event_type") == "signup", F.lit(50.0)).otherwise(F.col("value"))
+    e = events(spark, sf_dir).withColumns({"op": op, "rate": rate, "level": F.col("value")})
+    return W.registry(e, "user_id", ["us", "event_id"], most=1, tolerance=0.5).select("event_id", "status", r6("noise_floor").alias("noise_floor"))
+
+
+@query(f"""WITH RECURSIVE {EV}, st(user_id, rn, event_id, kind, cand, since, cr, ca, ur, ua, version, result) AS (SELECT user_id, 0::BIGINT, NULL::BIGINT, '', NULL::BIGINT, 0::BIGINT, 0, 0, 0, 0, 0::BIGINT, '' FROM (SELECT DISTINCT user_id FROM ev)
+UNION ALL SELECT user_id, rn, event_id, event_type, CASE WHEN event_type = 'signup' THEN event_id WHEN result IN ('Promote', 'Rollback') THEN NULL ELSE cand END, CASE WHEN event_type = 'signup' THEN us ELSE since END,
+CASE WHEN event_type = 'signup' THEN 0 ELSE cr + (counts AND arm AND ok)::INT END, CASE WHEN event_type = 'signup' THEN 0 ELSE ca + (counts AND arm)::INT END, CASE WHEN event_type = 'signup' THEN 0 ELSE ur + (counts AND NOT arm AND ok)::INT END, CASE WHEN event_type = 'signup' THEN 0 ELSE ua + (counts AND NOT arm)::INT END,
+CASE WHEN result = 'Promote' THEN cand ELSE version END, result FROM (SELECT e.user_id, e.rn, e.event_id, e.event_type, e.us, s.cand, s.since, s.cr, s.ca, s.ur, s.ua, s.version, e.event_id % 2 = 0 AS arm, e.probability >= 0.5::DOUBLE AS ok, s.cand IS NOT NULL AND e.event_type NOT IN ('signup', 'purchase') AS counts,
+CASE WHEN e.event_type != 'purchase' THEN '' WHEN s.cand IS NULL OR e.us - s.since < {48 * HOUR} THEN 'InProgress' WHEN (CASE WHEN s.ca = 0 THEN 0 ELSE s.cr / s.ca END) >= (CASE WHEN s.ua = 0 THEN 0 ELSE s.ur / s.ua END) THEN 'Promote' ELSE 'Rollback' END AS result FROM st s JOIN ev e ON e.user_id = s.user_id AND e.rn = s.rn + 1))
+SELECT event_id, result, version FROM st WHERE kind = 'purchase'""")
+def probation_lifecycle(spark, sf_dir):
+    """A signup starts the probation of a version, a purchase evaluates it, all else are outcomes of an arm."""
+    kind = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "purchase", "evaluate").otherwise("outcome")
+    arm = F.when(F.col("event_id") % 2 == 0, "candidate").otherwise("current")
+    e = events(spark, sf_dir).withColumns({"kind": kind, "version": F.col("event_id"), "arm": arm, "ok": F.col("probability") >= 0.5})
+    return D.probation_lifecycle(e, "user_id", ["us", "event_id"], 48 * HOUR).select("event_id", "result", "version")
 
 
 @query("SELECT event_id AS claim_id, CASE WHEN value / 100 >= 0.7::DOUBLE THEN 'Known' ELSE 'UnknownClaim' END AS status FROM events")

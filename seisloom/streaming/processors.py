@@ -5,6 +5,8 @@ Input is event-time ordered per key within a micro-batch; a watermark of a minut
 
 from __future__ import annotations
 
+import json
+from collections import namedtuple
 from collections.abc import Iterator
 
 import pandas as pd
@@ -119,6 +121,62 @@ def claim_stream(messages: DataFrame, timeout_ms: int = 10_000, least: int = 1)
     return messages.groupBy("claim_id").transformWithStateInPandas(ClaimProcessor(timeout_ms, least), "claim_id long, status string, stations int", "Append", "ProcessingTime")
 
 
+class ConsensusProcessor(StatefulProcessor):
+    """The batch state machine by event time: rows wait in state until the watermark passes them, so that late ones fall into place, and claims end when the watermark passes their window."""
+
+    def __init__(self, cooldown: L.Cooldown, window_us: int, least: int):
+        self.machine = L.Consensus(cooldown, window_us, least)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getValueState("kept", "json string")
+
+    def _state(self) -> dict:
+        if not self.kept.exists():
+            return {**self.machine.start(), "waiting": []}
+        state = json.loads(self.kept.get()[0])
+        state["claims"] = {int(c): x for c, x in state["claims"].items()}
+        return state
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        state = self._state()
+        plain = lambda v: None if v is None or v != v else v.item() if hasattr(v, "item") else v
+        for batch in rows:
+            state["waiting"] += [[plain(getattr(r, c)) for c in ("us", "kind", "id", "voter", "magnitude", "level")] for r in batch.itertuples(index=False)]
+            for us in set(batch["us"].tolist()):
+                self.handle.registerTimer(-(-int(us) // 1000) + 1)
+                self.handle.registerTimer(-(-(int(us) + self.machine.window_us) // 1000) + 1)
+        self.kept.update((json.dumps(state),))
+        yield pd.DataFrame([], columns=COLUMNS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        state, out = self._state(), []
+        # as in batch: by time, predictions before votes, null voters first
+        ready = sorted((r for r in state["waiting"] if r[0] < now), key=lambda r: (r[0], r[1], r[2], r[3] is not None, r[3] or 0))
+        state["waiting"] = [r for r in state["waiting"] if r[0] >= now]
+        for us, kind, claim, voter, magnitude, name in ready:
+            out += self.machine.due(state, key[0], us)
+            out.append(self.machine.take(state, Row(key[0], us, int(claim), kind, None if voter is None else int(voter), magnitude, name)))
+        out += self.machine.due(state, key[0], now - 1)
+        self.kept.update((json.dumps(state),))
+        yield pd.DataFrame(out, columns=COLUMNS)
+
+    def close(self) -> None:
+        pass
+
+
+COLUMNS = ["station", "us", "id", "kind", "level", "outcome", "stations"]
+Row = namedtuple("Row", ["station", "us", "id", "kind", "voter", "magnitude", "level"])
+
+
+def consensus_stream(rows: DataFrame, cooldown: L.Cooldown, window_us: int = 10_000_000, least: int = 1, late: str = WATERMARK) -> DataFrame:
+    """consensus_events() of a stream (station, us, id, kind, probability, magnitude, voter) whose rows come at most `late` after later ones."""
+    timed = rows.select("station", "us", "id", "kind", "voter", "magnitude", L.level(F.col("probability")).alias("level"), F.timestamp_micros("us").alias("at")).withWatermark("at", late)
+    schema = "station long, us long, id long, kind string, level string, outcome string, stations int"
+    return timed.groupBy("station").transformWithStateInPandas(ConsensusProcessor(cooldown, window_us, least), schema, "Append", "EventTime")
+
+
 def rates(stream: DataFrame, at: str, width: str = "1 minute") -> DataFrame:
     """Rows in tumbling windows; late rows within the watermark count."""
     return stream.withWatermark(at, WATERMARK).groupBy(F.window(at, width).alias("w")).agg(F.count("*").alias("n")).select("w.start", "n")
