@@ -6,8 +6,8 @@ Everything here works on whole texts; nothing caps, samples or truncates rows.
 from __future__ import annotations
 
 import ctypes
+import functools
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
@@ -18,10 +18,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_folder
+
 #: The bytes that end a word: space and \t \n \v \f \r.
 SPACES = b" \t\n\x0b\x0c\r"
 #: Text is hashed in slices of about so many bytes, to stay in the CPU's cache.
 SLICE_BYTES = 1 << 20
+#: The columns of documents that the operators read.
+NAMED = ("doc_id", "text", "lang", "source", "n_chars")
 #: A key with more than one in SHARES of a table's rows, and more than SHARE_ROWS of them, is joined on its own.
 SHARES, SHARE_ROWS = 512, 200
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -83,12 +87,16 @@ def trim() -> None:
         pass
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share."""
-    if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
-        folder = f"file://{tempfile.mkdtemp(prefix='shared-')}"  # one machine, as in tests
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+def any_names(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """`stage` for tables with columns of any other names, dots and repeated names too: they are numbered inside and named again after it. The stage returns the columns that it was given."""
+
+    @functools.wraps(stage)
+    def run(docs: DataFrame, *args: Any, **named: Any) -> DataFrame:
+        names = docs.columns
+        inner = [c if c in NAMED and c not in names[:k] else f"_{k}" for k, c in enumerate(names)]
+        return stage(docs.toDF(*inner), *args, **named).toDF(*names)
+
+    return run
 
 
 def remainder(doc_id: Column, divisor: int) -> Column:

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, lean_batches, release, remainder, small_batches
+from .common import any_names, checkpointed, lean_batches, release, remainder, small_batches
 
 BLOCK = 2048
 DICTIONARY = 112_640
@@ -154,6 +154,7 @@ def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, train(docs, labels)).select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@any_names
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """The documents of `docs`, whole rows, whose score is at least `least`."""
     model = train(docs, labels)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .common import checkpointed, mix64, slices, small_batches, word_hashes
+from .common import any_names, checkpointed, mix64, slices, small_batches, word_hashes
 
 BUCKETS = 96
 ROWS = 4
@@ -349,6 +349,7 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     return found.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.col("component_id").isNull()))
 
 
+@any_names
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs` that are kept: of each component one row, that of the least id. Where ids repeat or are null, each row is decided on its own; null ids come last."""
     if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").isEmpty():

@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean_batches, release, remainder, slices, small_batches
+from .common import any_names, lean_batches, release, remainder, slices, small_batches
 
 ORDER = 4
 PER_LANGUAGE = 1500
@@ -222,6 +222,7 @@ def identified(docs: DataFrame) -> DataFrame:
     return predict(docs, train(docs)).select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+@any_names
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The documents of `docs`, whole rows, whose language is known with a posterior of at least `least`."""
     lean_batches(docs.sparkSession)

@@ -27,3 +27,18 @@ def test_stages(spark, tmp_path):
         if name != "best_fit_packing":
             assert docs.columns == columns
     assert docs.count() and {"sequence_id", "offset"} <= set(docs.columns)
+
+
+def test_stages_take_any_columns_and_rows(spark):
+    """Dotted and repeated names, nulls, empty and very long texts, repeated rows and ids, and no rows at all."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    text = docs.where("lang = 'en'").orderBy(F.length("text").desc()).first()["text"]
+    odd = [(None, text), (None, None), (5, ""), (10**6, text), (10**6, text), (10**6 + 1, text + " " + text[::-1]), (10**6 + 2, (text + "\n") * 40)]
+    odd = spark.createDataFrame([(i, t, None, "s", None) for i, t in odd], docs.schema)
+    rows = docs.unionByName(odd).select("*", F.lit(1).alias("a.b"), F.lit("x").alias("`q`"), F.lit(2).alias("key"), F.lit(3).alias("a.b"))
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        kept = stage(spark, rows, SF)
+        assert kept.columns == rows.columns and kept.schema == rows.schema
+        assert 0 < kept.count() < rows.count()
+        assert stage(spark, rows.limit(0), SF).count() == 0
+    assert corpus_pipeline.near_duplicates(spark, rows, SF).toDF(*"i t l s n a q k b".split()).where("t LIKE '%a%' AND i IS NULL").count() == 0  # one row of the group stays
