@@ -15,10 +15,12 @@ from ..functions.kernels import XorShift
 
 #: Rows of a block of candidates and of a block of queries.
 BLOCK, QUERIES = 16_384, 2_048
+#: Blocks of queries share the copies of a candidate block, so that there are about so many tasks.
+TASKS = 64
 
 
-def _blocks(df: DataFrame, name: str, rows: int, same: str | None) -> DataFrame:
-    """One row for each block: its ids and vectors as arrays of binary matrices. A block holds about `rows` rows, of one value of `same`."""
+def _blocks(df: DataFrame, name: str, rows: int, same: str | None) -> tuple[DataFrame, int]:
+    """One row for each block: its ids and vectors as arrays of binary matrices; and the number of blocks. A block holds about `rows` rows, of one value of `same`."""
     parts = max(1, -(-df.count() // rows))
     keys = [same] if same else []
     dealt = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"), *keys)
@@ -29,41 +31,54 @@ def _blocks(df: DataFrame, name: str, rows: int, same: str | None) -> DataFrame:
         return pd.DataFrame(out | {k: [group[k].iloc[0]] for k in keys})
 
     schema = f"{name} long, {name}_ids binary, {name}_rows binary" + "".join(f", {k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    return dealt.groupBy(name, *keys).applyInPandas(pack, schema)
+    return dealt.groupBy(name, *keys).applyInPandas(pack, schema), parts
+
+
+def _met(left: tuple[DataFrame, int], right: tuple[DataFrame, int], keys: list[str]) -> DataFrame:
+    """(keys, c, s, asks, ids, rows): each block of candidates, once for each of a few slices, and behind it the blocks of queries that it answers. A candidate block moves once for each slice, not for each block of queries."""
+    (queries, n_queries), (candidates, n_blocks) = left, right
+    slices = min(n_queries, max(1, TASKS // n_blocks))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    held = candidates.select(*keys, "c", numbers(slices).alias("s"), F.lit(False).alias("asks"), F.col("c_ids").alias("ids"), F.col("c_rows").alias("rows"))
+    asked = queries.select(*keys, numbers(n_blocks).alias("c"), F.pmod("q", F.lit(slices)).alias("s"), F.lit(True).alias("asks"), F.col("q_ids").alias("ids"), F.col("q_rows").alias("rows"))
+    return held.unionByName(asked).repartition(*keys, "c", "s").sortWithinPartitions(*keys, "c", "s", "asks")
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", same: str | None = None, skip_self: bool = False, earlier: bool = False) -> DataFrame:
     """(query_id, vec_id, rank, distance): each query's k nearest rows, ties to the smaller id.
 
-    Every block of candidates meets every block of queries once as matrices, in a task of its own; the best k of each
-    pair are merged by query. `same` keeps candidates whose value of that column is the query's; `earlier` keeps those
-    whose id is not above the query's, for searches that must not see the future.
+    A block of candidates is read once and blocks of queries stream past it, as matrices; the best k of each pair are
+    merged by query. `same` keeps candidates whose value of that column is the query's; `earlier` keeps those whose id is
+    not above the query's, for searches that must not see the future. Null vectors take no part.
     """
-    left = _blocks(queries, "q", QUERIES, same)
-    right = _blocks(vectors, "c", BLOCK, same)
-    pairs = left.join(right, same) if same else left.withColumn("_one", F.lit(1)).join(right.withColumn("_one", F.lit(1)), "_one")
-    pairs = pairs.repartition("q", "c")
+    keys = [same] if same else []
+    met = _met(_blocks(queries, "q", QUERIES, same), _blocks(vectors, "c", BLOCK, same), keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, b_ids, b = None, None, None
         for batch in batches:
-            for row in batch.itertuples():
-                a_ids, b_ids = np.frombuffer(row.q_ids, "int64"), np.frombuffer(row.c_ids, "int64")
-                a = np.frombuffer(row.q_rows, "float32").reshape(len(a_ids), -1).astype(float)
-                b = np.frombuffer(row.c_rows, "float32").reshape(len(b_ids), -1).astype(float)
-                for at in range(0, len(a), 256):
-                    part, ids = a[at : at + 256], a_ids[at : at + 256]
-                    dots = part @ b.T
-                    far = 1 - dots if metric == "cosine" else np.sqrt(np.maximum(0, (part * part).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * dots))
-                    if skip_self:
-                        far[ids[:, None] == b_ids[None, :]] = np.inf
-                    if earlier:
-                        far[ids[:, None] < b_ids[None, :]] = np.inf
-                    m = min(k, far.shape[1])
-                    bound = np.partition(far, m - 1, axis=1)[:, m - 1]
-                    i, j = np.nonzero((far <= bound[:, None] + 1e-9) & np.isfinite(far))
-                    yield pd.DataFrame({"query_id": ids[i], "vec_id": b_ids[j], "distance": far[i, j]})
-
-    best = pairs.mapInPandas(run, "query_id long, vec_id long, distance double").withColumn("_d", F.round("distance", 12))
+            for row in batch.itertuples(index=False):
+                own = tuple(getattr(row, c) for c in (*keys, "c", "s"))
+                ids = np.frombuffer(row.ids, "int64")
+                rows = np.frombuffer(row.rows, "float32").reshape(len(ids), -1).astype(float)
+                if not row.asks:
+                    at, b_ids, b = own, ids, rows
+                    squares = (b * b).sum(1)[None, :]
+                elif own == at:  # else the block has no candidates
+                    for begin in range(0, len(ids), 256):
+                        part, part_ids = rows[begin : begin + 256], ids[begin : begin + 256]
+                        dots = part @ b.T
+                        far = 1 - dots if metric == "cosine" else np.sqrt(np.maximum(0, (part * part).sum(1)[:, None] + squares - 2 * dots))
+                        if skip_self:
+                            far[part_ids[:, None] == b_ids[None, :]] = np.inf
+                        if earlier:
+                            far[part_ids[:, None] < b_ids[None, :]] = np.inf
+                        m = min(k, far.shape[1])
+                        bound = np.partition(far, m - 1, axis=1)[:, m - 1]
+                        i, j = np.nonzero((far <= bound[:, None] + 1e-9) & np.isfinite(far))
+                        yield pd.DataFrame({"query_id": part_ids[i], "vec_id": b_ids[j], "distance": far[i, j]})
+
+    best = met.mapInPandas(run, "query_id long, vec_id long, distance double").withColumn("_d", F.round("distance", 12))
     order = Window.partitionBy("query_id").orderBy("_d", "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "vec_id", "rank", F.round("distance", 6).alias("distance"))
 
@@ -164,23 +179,23 @@ class ProximityGraph:
 
 
 def graph_search(vectors: DataFrame, queries: DataFrame, k: int, ef: int = 64, shard_rows: int = 4_096) -> DataFrame:
-    """Approximate (query_id, vec_id, rank, distance): a proximity graph for each shard of vectors, searched by every block of queries, merged by query."""
-    left = _blocks(queries, "q", QUERIES, None)
-    right = _blocks(vectors, "c", shard_rows, None)
-    pairs = left.withColumn("_one", F.lit(1)).join(right.withColumn("_one", F.lit(1)), "_one").repartition("q", "c")
+    """Approximate (query_id, vec_id, rank, distance): a proximity graph for each shard of vectors, built once for each slice of the queries, merged by query."""
+    met = _met(_blocks(queries, "q", QUERIES, None), _blocks(vectors, "c", shard_rows, None), [])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, graph, ids = None, None, None
+        at, graph, shard = None, None, None
         for batch in batches:
-            for row in batch.itertuples():
-                if row.c != held:
-                    held, graph, ids = row.c, ProximityGraph(), np.frombuffer(row.c_ids, "int64")
-                    for x in np.frombuffer(row.c_rows, "float32").reshape(len(ids), -1).astype(float):
+            for row in batch.itertuples(index=False):
+                ids = np.frombuffer(row.ids, "int64")
+                rows = np.frombuffer(row.rows, "float32").reshape(len(ids), -1).astype(float)
+                if not row.asks:
+                    at, graph, shard = (row.c, row.s), ProximityGraph(), ids
+                    for x in rows:
                         graph.insert(x)
-                asked = np.frombuffer(row.q_ids, "int64")
-                out = [(q, ids[n], d) for q, x in zip(asked, np.frombuffer(row.q_rows, "float32").reshape(len(asked), -1).astype(float), strict=True) for d, n in graph.search(x, k, ef)]
-                yield pd.DataFrame(out, columns=["query_id", "vec_id", "distance"])
+                elif at == (row.c, row.s):
+                    out = [(q, shard[n], d) for q, x in zip(ids, rows, strict=True) for d, n in graph.search(x, k, ef)]
+                    yield pd.DataFrame(out, columns=["query_id", "vec_id", "distance"])
 
-    best = pairs.mapInPandas(run, "query_id long, vec_id long, distance double")
+    best = met.mapInPandas(run, "query_id long, vec_id long, distance double")
     order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "vec_id", "rank", F.round("distance", 6).alias("distance"))

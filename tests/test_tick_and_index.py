@@ -111,3 +111,22 @@ def test_kept_index(spark, tmp_path, monkeypatch, clusters):
     one = tmp_path / "one"
     graph_index.append(e.where("vec_id = 5"), str(one), "x")
     assert graph_index.search(e.where("vec_id < 3"), str(one), 4).count() == 3
+
+
+@pytest.mark.parametrize("block, asked, tasks", [(40, 25, 4), (1000, 30, 64), (70, 500, 1)])
+def test_nearest_over_many_blocks(spark, monkeypatch, block, asked, tasks):
+    for name, value in {"BLOCK": block, "QUERIES": asked, "TASKS": tasks}.items():
+        monkeypatch.setattr(V, name, value)
+    rng = np.random.default_rng(8)
+    rows = rng.integers(-2, 3, (260, 5)).astype("float32")  # many ties
+    label = rng.integers(0, 3, 260)
+    e = spark.createDataFrame([(i, r.tolist(), int(x)) for i, (r, x) in enumerate(zip(rows, label, strict=True))] + [(999, None, 0)], "vec_id long, embedding array<float>, label int")
+    far = 1 - rows.astype(float) @ rows.T.astype(float)
+    for options in ({}, {"same": "label"}, {"skip_self": True}, {"earlier": True}):
+        expected = set()
+        for q in range(0, 260, 4):
+            able = [i for i in range(260) if ("same" not in options or label[i] == label[q]) and ("skip_self" not in options or i != q) and ("earlier" not in options or i <= q)]
+            expected |= {(q, i, r + 1) for r, i in enumerate(sorted(able, key=lambda i, q=q: (round(far[q, i], 12), i))[:6])}
+        got = V.nearest(e.where("vec_id % 4 = 0"), e, 6, **options)
+        assert {(r["query_id"], r["vec_id"], r["rank"]) for r in got.collect()} == expected
+    assert V.nearest(e.limit(0), e, 3).count() == 0 and V.nearest(e, e.limit(0), 3).count() == 0
