@@ -148,14 +148,14 @@ def search(queries: DataFrame, folder: str, k: int, ef: int = 64) -> DataFrame:
     """(query_id, vec_id, rank, distance): approximately each query's k nearest in the index, ties to the smaller id."""
     spark = queries.sparkSession
     kept = nodes(spark, folder)
-    shards = kept.select("append", "shard").distinct()  # one row for each shard
+    appends = kept.groupBy("append").agg(F.max("shard").alias("last"))  # one row for each directory, which the driver lists anyway
     asked = queries.where("embedding IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("vector"))
     parts = max(1, -(-asked.count() // QUERIES))
     block = F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
     packed = asked.groupBy(block.alias("block")).agg(F.collect_list(F.struct("vec_id", "vector")).alias("rows"))  # about QUERIES of a block
     none = F.lit(None).cast("array<array<int>>")
-    asks = packed.join(F.broadcast(shards.agg(F.collect_list(F.struct("append", "shard")).alias("_shards"))))  # a pair for each shard of SHARD rows
-    asks = asks.select(F.explode("_shards").alias("_s"), "rows").select("_s.append", "_s.shard", F.lit(True).alias("asks"), F.explode("rows").alias("r"))
+    asks = packed.join(F.broadcast(appends)).select("append", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("shard"), "rows")
+    asks = asks.select("append", "shard", F.lit(True).alias("asks"), F.explode("rows").alias("r"))
     asks = asks.select("append", "shard", "asks", "r.vec_id", "r.vector", F.lit(0).alias("level"), none.alias("links"))
     rows = kept.select("append", "shard", F.lit(False).alias("asks"), "vec_id", "vector", "level", "links").unionByName(asks)
     met = rows.repartition("append", "shard").sortWithinPartitions("append", "shard", "asks", "vec_id")
@@ -192,7 +192,7 @@ def search(queries: DataFrame, folder: str, k: int, ef: int = 64) -> DataFrame:
                     at, held, graph = row[:2], [], None
                 if not row[6]:
                     held.append(row)
-                else:
+                elif graph is not None or held:  # else no vector has fallen into this shard
                     if graph is None:
                         graph, ids = loaded()
                         held = []

@@ -108,6 +108,9 @@ def test_kept_index(spark, tmp_path, monkeypatch, clusters):
     graph_index.append(e.where("vec_id >= 1800 AND vec_id < 3000"), str(folder), "part2")  # the same append again replaces it
     assert graph_index.nodes(spark, str(folder)).count() == 3000
     assert graph_index.search(e.where("vec_id < 0"), str(folder), 3).count() == 0
+    monkeypatch.setattr(graph_index, "SHARD", 1)  # some shards stay empty
+    graph_index.append(e.where("vec_id < 6"), str(tmp_path / "few"), "x")
+    assert graph_index.search(e.where("vec_id < 3"), str(tmp_path / "few"), 4).count() == 12
     one = tmp_path / "one"
     graph_index.append(e.where("vec_id = 5"), str(one), "x")
     assert graph_index.search(e.where("vec_id < 3"), str(one), 4).count() == 3
