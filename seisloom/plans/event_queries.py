@@ -15,6 +15,7 @@ from ..operators import alerts as L
 from ..operators import folds as W
 from ..operators import graph as G
 from ..operators import runtime as R
+from ..operators import transitions as T
 from ..operators import vectors as V
 from .signal_queries import r6, read
 
@@ -68,6 +69,18 @@ def transition_matrix(spark, sf_dir):
     return G.transition_matrix(f).withColumn("p", r6("p"))
 
 
+@query(f"""WITH {EV}, up AS (SELECT CASE a.wave WHEN 'S' THEN 'S' WHEN 'Surface' THEN 'Surface' ELSE 'P' END AS f, CASE b.wave WHEN 'S' THEN 2 WHEN 'Surface' THEN 3 ELSE 1 END AS c, (b.probability - 0.3::DOUBLE) / 5 AS d, b.us, b.event_id FROM ev a JOIN ev b ON a.user_id = b.user_id AND b.rn = a.rn + 1),
+l AS (SELECT f, list([c::DOUBLE, d, 0::DOUBLE] ORDER BY us, event_id) AS l FROM up GROUP BY f),
+m AS (SELECT f, list_reduce(list_prepend([1 / 3::DOUBLE, 1 / 3::DOUBLE, 1 / 3::DOUBLE], l), lambda v, x: list_transform([list_transform([1, 2, 3], lambda k: CASE WHEN k = x[1] THEN greatest(v[k] + x[2], 0) ELSE v[k] END)], lambda u: list_transform(u, lambda q: CASE WHEN list_sum(u) > 1e-8 THEN q / list_sum(u) ELSE 1 / 3::DOUBLE END))[1]) AS v FROM l),
+w(w, k) AS (VALUES ('P', 1), ('S', 2), ('Surface', 3)) SELECT a.w AS from_wave, b.w AS to_wave, round(coalesce(v[b.k], 1 / 3::DOUBLE), 6) AS p FROM w a CROSS JOIN w b LEFT JOIN m ON m.f = a.w""")
+def transition_learning(spark, sf_dir):
+    """Each event after another of its user moves the share of that transition by how sure it is."""
+    e = ranked(spark, sf_dir)
+    back = e.select("user_id", (F.col("rn") + 1).alias("rn"), F.col("wave").alias("from_wave"))
+    updates = e.join(back, ["user_id", "rn"]).select("us", "event_id", "from_wave", F.col("wave").alias("to_wave"), ((F.col("probability") - 0.3) / 5).alias("delta"))
+    return T.ordered_transitions(updates, ["us", "event_id"]).withColumn("p", r6("p"))
+
+
 @query("""WITH d AS (SELECT a.vec_id AS centre, b.vec_id AS id, row_number() OVER (PARTITION BY a.vec_id ORDER BY 1 - list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) AS o FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0),
 u AS (SELECT vec_id AS centre, vec_id AS id, 0 AS kind, 0 AS o FROM embeddings WHERE vec_id % 20 = 0 UNION ALL SELECT centre, id, 1, o FROM d WHERE o <= 16 UNION ALL SELECT a.vec_id, b.vec_id, 2, b.vec_id - a.vec_id + 99 FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND b.vec_id BETWEEN a.vec_id - 99 AND a.vec_id),
 f AS (SELECT centre, id, min(kind * 1000 + o) AS o FROM u GROUP BY centre, id) SELECT centre, id, CAST(row_number() OVER (PARTITION BY centre ORDER BY o, id) - 1 AS INTEGER) AS place FROM f""")
