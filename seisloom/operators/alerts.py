@@ -199,6 +199,53 @@ def peer_health(last_us: Column, now_us: Column, stale_us: int = 60_000_000, los
     return F.when(gone <= stale_us, "Healthy").when(gone <= lost_us, "Stale").otherwise("Lost")
 
 
+class Peers:
+    """The peers of a station. `add` registers one as last heard at 0, also one that is known; `seen` marks a known one as heard; `refresh` judges all of them. Added or heard, a peer is healthy until the next refresh."""
+
+    def __init__(self, stale_us: int = 60_000_000, lost_us: int = 300_000_000):
+        self.stale_us, self.lost_us = stale_us, lost_us
+
+    def health(self, last: int, now: int) -> str:
+        gone = max(now - last, 0)
+        return "Healthy" if gone <= self.stale_us else "Stale" if gone <= self.lost_us else "Lost"
+
+    def take(self, known: dict, op: str, peer: str, us: int) -> list[tuple[int, int, int]]:
+        """Change `known` (peer: last heard, health) and give, for a refresh, how many are healthy, stale and lost."""
+        if op == "add":
+            known[peer] = (0, "Healthy")
+        elif op == "seen" and peer in known:
+            known[peer] = (us, "Healthy")
+        elif op == "refresh":
+            for p, (last, _) in known.items():
+                known[p] = (last, self.health(last, us))
+            found = [h for _, h in known.values()]
+            return [(found.count("Healthy"), found.count("Stale"), found.count("Lost"))]
+        return []
+
+
+def peer_rows(rows: DataFrame) -> DataFrame:
+    """What a registry of peers reads of (station, us, id, op, peer): rows with a station, a time and a known op, and for all but refreshes a peer."""
+    kept = rows.where(F.col("station").isNotNull() & F.col("us").isNotNull() & (F.col("op").isin("add", "seen") & F.col("peer").isNotNull() | (F.col("op") == "refresh")))
+    return kept.select(F.col("station").cast("long").alias("station"), F.col("us").cast("long").alias("us"), F.coalesce(F.col("id").cast("long"), F.lit(-1)).alias("id"), "op", F.coalesce(F.col("peer").cast("string"), F.lit("")).alias("peer"))
+
+
+def peer_registry(rows: DataFrame, peers: Peers | None = None) -> DataFrame:
+    """(station, us, id, healthy, stale, lost) of each station's peers after each refresh, from rows (station, us, id, op, peer) in the order of (us, id).
+
+    See Peers and peer_rows() for what counts. Rows that repeat are taken again, and a null id is -1. A station's rows
+    stream through a task, which holds its peers only.
+    """
+    book = peers or Peers()
+
+    def step(state: dict, row: tuple) -> list:
+        return [(row.station, row.us, row.id, *n) for n in book.take(state, row.op, row.peer, row.us)]
+
+    return keyed_events(peer_rows(rows), "station", ["us", "id", "op", "peer"], dict, step, lambda state, own: [], PEER_COUNTS)
+
+
+PEER_COUNTS = "station long, us long, id long, healthy int, stale int, lost int"
+
+
 def received(messages: DataFrame, registry: DataFrame) -> DataFrame:
     """(id, event) of messages (id, station, key_ok, signature_ok, payload_ok, kind), in the order the checks are made."""
     joined = messages.join(registry.select("station", F.lit(True).alias("_known")), "station", "left")

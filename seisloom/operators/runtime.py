@@ -6,12 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: A level holds above this share of memory, and searches are that wide on it.
+CRITICAL, WARNING = (0.9, 16), (0.8, 32)
+
+
 def degradation(used_share: Column) -> Column:
-    return F.when(used_share > 0.9, "Critical").when(used_share > 0.8, "Warning").otherwise("Normal")
+    return F.when(used_share > CRITICAL[0], "Critical").when(used_share > WARNING[0], "Warning").otherwise("Normal")
 
 
 def search_width(level: Column, normal: int = 64) -> Column:
-    return F.when(level == "Critical", 16).when(level == "Warning", 32).otherwise(normal)
+    return F.when(level == "Critical", CRITICAL[1]).when(level == "Warning", WARNING[1]).otherwise(normal)
 
 
 def utilisation(written: Column, budget: float) -> Column:

@@ -369,6 +369,16 @@ def _peers(spark, sf_dir):
     return last.select("user_id", L.peer_health(F.col("last"), F.col("now"), 6 * HOUR, 24 * HOUR).alias("health"))
 
 
+@query(f"""WITH {EV}, o AS (SELECT *, user_id % 16 AS m, row_number() OVER (ORDER BY us, event_id) AS g FROM ev), ac AS (SELECT * FROM (SELECT *, CASE WHEN event_type = 'signup' THEN 0 ELSE us END AS last, count(*) FILTER (event_type = 'signup') OVER (PARTITION BY user_id ORDER BY g) AS adds FROM o WHERE event_type != 'error') WHERE adds > 0),
+h AS (SELECT r.event_id, r.us - a.last AS gone FROM (SELECT r.event_id, r.us, r.g, p.user_id FROM o r JOIN (SELECT DISTINCT m, user_id FROM ac) p ON p.m = r.m WHERE r.event_type = 'error') r ASOF JOIN ac a ON a.user_id = r.user_id AND r.g >= a.g)
+SELECT o.event_id, count(*) FILTER (gone <= {6 * HOUR})::INT AS healthy, count(*) FILTER (gone > {6 * HOUR} AND gone <= {24 * HOUR})::INT AS stale, count(*) FILTER (gone > {24 * HOUR})::INT AS lost FROM o LEFT JOIN h ON h.event_id = o.event_id WHERE o.event_type = 'error' GROUP BY o.event_id""")
+def peer_registry(spark, sf_dir):
+    """Sixteen stations, whose peers are the users: a signup adds one, an error refreshes all of its station, all else is heard from it."""
+    op = F.when(F.col("event_type") == "signup", "add").when(F.col("event_type") == "error", "refresh").otherwise("seen")
+    e = events(spark, sf_dir).select((F.col("user_id") % 16).alias("station"), "us", F.col("event_id").alias("id"), op.alias("op"), F.col("user_id").alias("peer"))
+    return L.peer_registry(e, L.Peers(6 * HOUR, 24 * HOUR)).select(F.col("id").alias("event_id"), "healthy", "stale", "lost")
+
+
 @query(f"WITH {_PEERS} SELECT user_id, health FROM ph")
 def peer_health(spark, sf_dir):
     return _peers(spark, sf_dir)

@@ -177,6 +177,34 @@ def consensus_stream(rows: DataFrame, cooldown: L.Cooldown, window_us: int = 10_
     return timed.groupBy("station").transformWithStateInPandas(ConsensusProcessor(cooldown, window_us, least), schema, "Append", "EventTime")
 
 
+class PeerProcessor(StatefulProcessor):
+    """The registry of a station's peers, one entry of map state for each."""
+
+    def __init__(self, peers: L.Peers):
+        self.book = peers
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.peers = handle.getMapState("peers", "peer string", "last long, health string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        before = {p[0]: tuple(x) for p, x in self.peers.iterator()}
+        known, out = dict(before), []
+        for row in pd.concat(list(rows)).sort_values(["us", "id", "op", "peer"]).itertuples(index=False):
+            out += [(key[0], row.us, row.id, *n) for n in self.book.take(known, row.op, row.peer, row.us)]
+        for peer, (last, health) in known.items():
+            if before.get(peer) != (last, health):
+                self.peers.updateValue((peer,), (int(last), health))
+        yield pd.DataFrame(out, columns=["station", "us", "id", "healthy", "stale", "lost"])
+
+    def close(self) -> None:
+        pass
+
+
+def peer_stream(rows: DataFrame, peers: L.Peers | None = None) -> DataFrame:
+    """peer_registry() of a stream whose rows come in order."""
+    return L.peer_rows(rows).groupBy("station").transformWithStateInPandas(PeerProcessor(peers or L.Peers()), L.PEER_COUNTS, "Append", "None")
+
+
 def rates(stream: DataFrame, at: str, width: str = "1 minute") -> DataFrame:
     """Rows in tumbling windows; late rows within the watermark count."""
     return stream.withWatermark(at, WATERMARK).groupBy(F.window(at, width).alias("w")).agg(F.count("*").alias("n")).select("w.start", "n")
