@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, lean_batches, small_batches, texts_of
 from .tokens import library
+from .trie_bpe import MEMORY
 
 SALTS = 128
 
@@ -30,14 +31,14 @@ def cut(n: int, size: int) -> list[int]:
     return [n - whole * size, *[size] * whole]
 
 
-def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 0, with_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every document's pieces, and `ids` binary if asked for."""
+def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 0, with_ids: bool = False, memory: int = MEMORY) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32) of every document's pieces, and `ids` binary if asked for. An encoder remembers `memory` chunks, twice at most."""
     lean_batches(docs.sparkSession)
     docs = texts_of(docs)
     last = end.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library(tokenizer)
+        encoder = library(tokenizer, memory)
         for batch in small_batches(batches):
             rows: list[tuple] = []
             for row, ids in enumerate(encoder.encode(batch["text"].to_pylist())):
@@ -102,9 +103,9 @@ def pack(parts: DataFrame, size: int = 2048) -> DataFrame:
     return placed.select(*[F.col(c) for c in parts.columns], (F.col("_sequence") + F.floor(at / F.col("_per"))).cast("long").alias("sequence_id"), (F.col("_offset") + F.pmod(at, F.col("_per")) * F.col("length")).cast("long").alias("offset"))
 
 
-def packed(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 0) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 0, memory: int = MEMORY) -> DataFrame:
     """Every document's pieces and their places: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(checkpointed(pieces(docs, tokenizer, size, end)), size)
+    return pack(checkpointed(pieces(docs, tokenizer, size, end, memory=memory)), size)
 
 
 def sequences(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 0) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from . import collision_ann, compression_quality, count_rtree, hmm_lm, hyperminhash, merkle_manifest, packing, ppm_langid, spelling_variants, suffix_dedup, threshold_topk, token_files, trie_bpe
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+#: Chunks that encoders remember where workers have nothing else to hold; the pipeline's, which run beside its other stages, have half of it.
+CHUNKS = 600_000
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +19,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(_documents(spark, sf_dir), TOKENIZER)
+    return packing.packed(_documents(spark, sf_dir), TOKENIZER, memory=CHUNKS)
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +27,7 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.round_trip(_documents(spark, sf_dir), TOKENIZER)
+    return token_files.round_trip(_documents(spark, sf_dir), TOKENIZER, memory=CHUNKS)
 
 
 def op4_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import shared_folder, small_batches, texts_of
 from .tokens import library
+from .trie_bpe import MEMORY
 
 FRAME_BYTES = 1 << 18
 LEVEL = 3
@@ -150,8 +151,8 @@ class TokenReader:
             yield doc_id, start, held[at : at + 4 * n]
 
 
-def write(docs: DataFrame, tokenizer: str, folder: str, end: int = 0, files: int | None = None) -> list[tuple[str, int, int]]:
-    """Write all documents and return (file, documents, ids) in order: as many rows as files."""
+def write(docs: DataFrame, tokenizer: str, folder: str, end: int = 0, files: int | None = None, memory: int = MEMORY) -> list[tuple[str, int, int]]:
+    """Write all documents and return (file, documents, ids) in order: as many rows as files. An encoder remembers `memory` chunks, twice at most."""
     spark = docs.sparkSession
     docs = texts_of(docs)
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -159,7 +160,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end: int = 0, files: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, own, n, ids_n, out = TaskContext.get().partitionId(), f".{uuid.uuid4().hex}", 0, 0, None
-        place, encoder = _Folder(folder), library(tokenizer)
+        place, encoder = _Folder(folder), library(tokenizer, memory)
         for batch in small_batches(batches, 500):
             if not batch.num_rows:
                 continue
@@ -208,8 +209,8 @@ def _rows(held: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in held], pa.int64()) for k in range(4)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def round_trip(docs: DataFrame, tokenizer: str, folder: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, folder: str | None = None, memory: int = MEMORY) -> DataFrame:
     """Write token files to a folder of their own below the shared one and read them back."""
     spark = docs.sparkSession
     folder = folder or f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
-    return read(spark, folder, write(docs, tokenizer, folder))
+    return read(spark, folder, write(docs, tokenizer, folder, memory=memory))

@@ -6,15 +6,15 @@ import os
 from array import array
 
 from .common import held
-from .trie_bpe import ChunkedEncoder
+from .trie_bpe import MEMORY, ChunkedEncoder
 
 
-def library(path: str) -> ChunkedEncoder:
+def library(path: str, memory: int = MEMORY) -> ChunkedEncoder:
     """The library's encoder, called once for each distinct chunk between spaces; one for each Python worker."""
-    return held(f"library {path}", lambda: _library(path))
+    return held(f"library {path} {memory}", lambda: _library(path, memory))
 
 
-def _library(path: str) -> ChunkedEncoder:
+def _library(path: str, memory: int) -> ChunkedEncoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
     from tokenizers import Tokenizer
 
@@ -28,4 +28,4 @@ def _library(path: str) -> ChunkedEncoder:
             out += [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(chunks[at : at + 5000], add_special_tokens=False)]
         return out
 
-    return ChunkedEncoder(encode)
+    return ChunkedEncoder(encode, memory)

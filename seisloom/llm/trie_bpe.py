@@ -26,7 +26,7 @@ from .common import held, small_batches, texts_of
 
 #: The pre-tokenisation pattern that byte-level vocabularies of this family are made for.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Chunks remembered between batches, of at most LONG characters, some 250 bytes each: beyond MEMORY new ones, those not met since the last time go.
+#: Chunks remembered between batches, of at most LONG characters, some 250 bytes each: beyond MEMORY new ones, those not met since the last time go. So an encoder has at most some 500 bytes for each of them.
 MEMORY = 300_000
 LONG = 64
 #: White space other than space and line feed; the first nine are ASCII.
@@ -142,8 +142,8 @@ class ChunkedEncoder:
 
     MARKS = ".,;:!?%&#*'\"()[]{}<>|/\\^_~`@$+=-"
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
-        self.encode_chunks = encode
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], memory: int = MEMORY):
+        self.encode_chunks, self.memory = encode, memory
         self.young: dict[str, bytes] = {}  # of a space and the key, or of a key that begins with a line feed
         self.old: dict[str, bytes] = {}  # what was young before
 
@@ -175,7 +175,7 @@ class ChunkedEncoder:
         return known
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.young) > MEMORY:
+        if len(self.young) > self.memory:
             self.old, self.young = self.young, {}
         parts = [self.chunks(x) for x in texts]
         heads = list({p[0] for p in parts})
