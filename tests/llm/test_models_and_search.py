@@ -165,6 +165,28 @@ def test_approximate_neighbours(spark):
     assert collision_ann.nearest(odd.limit(0)).count() == 0
 
 
+def test_recall_over_full_blocks():
+    rng = np.random.default_rng(1)
+    ids = np.arange(32_768)
+    centres = rng.standard_normal((300, 64))
+    clustered = centres[rng.integers(0, 300, len(ids))] + 0.4 * rng.standard_normal((len(ids), 64))
+    for matrix in (rng.standard_normal((len(ids), 64)), rng.standard_normal((len(ids), 128)), clustered):
+        made, unit, hits = collision_ann.index(ids, matrix), matrix / np.sqrt((matrix * matrix).sum(1))[:, None], 0
+        for q in range(0, len(ids), 1024):
+            found, _ = collision_ann.collision_search(made, ids, matrix, q, matrix[q], 5)
+            cosines = unit @ unit[q]
+            cosines[q] = -9
+            hits += len(set(found.tolist()) & set(np.lexsort((ids, -cosines))[:5].tolist()))
+        assert hits >= 0.93 * 5 * 32
+
+
+def test_fewer_candidates_than_asked(spark):
+    few = spark.createDataFrame([(0, [1.0, 0.0]), (3, [0.0, 1.0]), (50, [1.0, 1.0]), (51, [-1.0, -1.0])], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in collision_ann.nearest(few).collect()}
+    half = round(0.5**0.5, 6)
+    assert got == {(0, 1, 50, half), (0, 2, 3, 0.0), (0, 3, 51, -half), (50, 1, 0, half), (50, 2, 3, half), (50, 3, 51, -1.0)}
+
+
 def test_rare_language_keeps_its_grams(spark):
     random = np.random.default_rng(5)
     letters = lambda n, of: "".join(random.choice(list(of), n))
