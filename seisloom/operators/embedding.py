@@ -32,7 +32,7 @@ def noise_floor(frames: DataFrame, order: list[str], alpha: float = 0.01, value:
     from .framing import ordinal
 
     quiet = frames.where("wave_type = 'Unknown'")
-    ranked = ordinal(quiet.withColumn("_all", F.lit(1)), "_all", order, F.col(order[0]), "_i")
+    ranked = ordinal(quiet.withColumn("_all", F.lit(1)), "_all", order, F.col(order[0]), "_i", wide=True)
     n = quiet.count()
     weight = F.lit(alpha) * F.pow(F.lit(1 - alpha), F.lit(n) - 1 - F.col("_i"))
     return ranked.agg(F.sum(weight * F.col(value)).alias("noise_floor"))

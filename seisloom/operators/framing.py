@@ -8,22 +8,39 @@ from pyspark.sql import functions as F
 SIZE, OVERLAP, RATE = 256, 128, 100.0
 
 
-def ordinal(df: DataFrame, key: str, order: list[str], bucket: Column | None = None, name: str = "i") -> DataFrame:
+#: Buckets of one key that a single task adds up, where a key has very many.
+WIDE = 4096
+
+
+def ordinal(df: DataFrame, key: str, order: list[str], bucket: Column | None = None, name: str = "i", wide: bool = False) -> DataFrame:
     """`df` with its 0-based place within `key` in the total order `order`.
 
     With `bucket`, a column that never falls along `order`, rows are ranked within (key, bucket) and moved up by the
     counts of earlier buckets, so that a key with most of the rows is shared by as many tasks as it has buckets. The
-    counts, one row for each key and bucket, are joined on that key.
+    counts, one row for each key and bucket, are joined on that key. With `wide`, for keys with millions of buckets,
+    which are then integers, counts are added up within `WIDE` neighbouring buckets, and those sums over the key: the
+    longest run of one task is shorter by that factor.
     """
     if bucket is None:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long") - 1)
     dealt = df.withColumn("_bucket", bucket)
     counts = dealt.groupBy(key, "_bucket").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(key).orderBy("_bucket")) - F.col("_n")).drop("_n")
+    before = _earlier(counts, key, wide)
     local = dealt.withColumn("_local", F.row_number().over(Window.partitionBy(key, "_bucket").orderBy(*order)).cast("long"))
     return local.join(before, [key, "_bucket"]).withColumn(name, F.col("_before") + F.col("_local") - 1).drop("_bucket", "_local", "_before")
 
 
+def _earlier(counts: DataFrame, key: str, wide: bool) -> DataFrame:
+    """(key, _bucket, _before): the sum of _n over the key's earlier buckets."""
+    if not wide:
+        return counts.select(key, "_bucket", (F.sum("_n").over(Window.partitionBy(key).orderBy("_bucket")) - F.col("_n")).alias("_before"))
+    grouped = counts.withColumn("_wide", F.floor(F.col("_bucket") / WIDE))
+    sums = grouped.groupBy(key, "_wide").agg(F.sum("_n").alias("_sum"))
+    sums = sums.select(key, "_wide", (F.sum("_sum").over(Window.partitionBy(key).orderBy("_wide")) - F.col("_sum")).alias("_below"))
+    inner = grouped.select(key, "_wide", "_bucket", (F.sum("_n").over(Window.partitionBy(key, "_wide").orderBy("_bucket")) - F.col("_n")).alias("_inner"))
+    return inner.join(sums, [key, "_wide"]).select(key, "_bucket", (F.col("_inner") + F.col("_below")).alias("_before"))
+
+
 def frames(samples: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """(ch, k, samples) for each complete frame: positions [k * step, k * step + size) of a channel's (ch, i, v)."""
     step = size - overlap

@@ -92,6 +92,30 @@ def subgraph_nodes(spark, sf_dir):
     return G.neighbourhood(centres, near, past).withColumn("place", F.col("place").cast("int"))
 
 
+_SUB = f"""WITH sn AS ({SQL["subgraph_nodes"]}), nd AS (SELECT centre, id, (['P', 'S', 'Surface', 'Unknown'])[label % 4 + 1] AS wave, embedding[1]::DOUBLE AS amplitude, embedding[2]::DOUBLE AS freq FROM sn JOIN embeddings ON vec_id = id),
+se AS (SELECT a.centre, a.id AS src_id, b.id AS dst_id, b.id - a.id AS delta_us, a.wave AS from_wave, b.wave AS to_wave, CASE WHEN a.amplitude <= 1e-8 THEN 1 ELSE b.amplitude / a.amplitude END AS amplitude_ratio, b.freq - a.freq AS freq_shift_hz FROM nd a JOIN nd b ON a.centre = b.centre AND a.id != b.id AND b.id BETWEEN a.id AND a.id + 60)"""
+
+
+def _subgraph_edges(spark, sf_dir):
+    """Edges of the graphs of subgraph_nodes; ids are the times, and what else an observation has comes from its row."""
+    wave = F.element_at(F.array(*[F.lit(w) for w in (*G.WAVES, "Unknown")]), (F.col("label") % 4 + 1).cast("int"))
+    seen = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("us"), wave.alias("wave"), F.col("embedding")[0].cast("double").alias("amplitude"), F.col("embedding")[1].cast("double").alias("freq"))
+    return G.subgraph_edges(subgraph_nodes(spark, sf_dir).join(seen, "id"), 60)
+
+
+@query(_SUB + " SELECT centre, src_id, dst_id, delta_us, from_wave, to_wave, round(amplitude_ratio, 6) AS amplitude_ratio, round(freq_shift_hz, 6) AS freq_shift_hz FROM se")
+def subgraph_edges(spark, sf_dir):
+    """Causal edges by centre, among the nodes of its graph only."""
+    return _subgraph_edges(spark, sf_dir).withColumn("amplitude_ratio", r6("amplitude_ratio")).withColumn("freq_shift_hz", r6("freq_shift_hz"))
+
+
+@query(_SUB + ", ad AS (SELECT centre, src_id AS id, dst_id AS other FROM se UNION SELECT centre, dst_id, src_id FROM se) SELECT centre, id, count(*) AS n_linked, string_agg(other::VARCHAR, ',' ORDER BY other) AS linked FROM ad GROUP BY centre, id")
+def subgraph_adjacency(spark, sf_dir):
+    """The partners of each node within its graph, in either direction."""
+    found = G.adjacency(_subgraph_edges(spark, sf_dir))
+    return found.select("centre", "id", F.size("linked").cast("long").alias("n_linked"), F.array_join(F.transform("linked", lambda x: x.cast("string")), ",").alias("linked"))
+
+
 @query("""WITH d AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_avg(a.embedding::DOUBLE[]) + list_avg(b.embedding::DOUBLE[]) AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY 1 - list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) AS o FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id != b.vec_id),
 e AS (SELECT src, dst, CASE WHEN s > 0 THEN s ELSE 0.2::DOUBLE * s END AS e FROM d WHERE o <= 8), x AS (SELECT src, dst, exp(e - max(e) OVER (PARTITION BY src)) AS x FROM e) SELECT src, dst, round(x / sum(x) OVER (PARTITION BY src), 6) AS weight FROM x""")
 def attention_softmax(spark, sf_dir):
