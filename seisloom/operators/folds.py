@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .framing import ordinal
+from .framing import earlier_sums, ordinal
 
 
 def keyed_fold(df: DataFrame, key: str, order: list[str], start: Callable[[], dict], step: Callable[[dict, tuple], tuple], schema: str) -> DataFrame:
@@ -85,11 +85,18 @@ def gated_floor(df: DataFrame, key: str, order: list[str], value: str, alpha: fl
     return keyed_events(rows, key, order, lambda: {"floor": 0.0, "n": 0}, step, lambda state, own: [(own, state["floor"])], f"{key} {kind}, floor double")
 
 
-def failure_runs(df: DataFrame, key: str, order: list[str], ok: Column) -> DataFrame:
-    """(key, longest, current): lengths of runs of failures; a success ends a run."""
-    own = Window.partitionBy(key).orderBy(*order)
-    marked = df.withColumn("_ok", ok.cast("int")).withColumn("_run", F.sum("_ok").over(own))
-    runs = marked.groupBy(key, "_run").agg(F.sum(1 - F.col("_ok")).alias("_n"))
+def failure_runs(df: DataFrame, key: str, order: list[str], ok: Column, bucket: Column | None = None) -> DataFrame:
+    """(key, longest, current): lengths of runs of failures; a success ends a run.
+
+    A run is known by the number of successes before it. With `bucket`, a column that never falls along `order`, those
+    are counted within (key, bucket) and moved up by the successes of earlier buckets, and a run over several buckets
+    is added up from its parts: a key with most rows has as many tasks as buckets.
+    """
+    marked = df.withColumns({"_ok": ok.cast("int"), "_bucket": F.lit(0) if bucket is None else bucket})
+    before = earlier_sums(marked.groupBy(key, "_bucket").agg(F.sum("_ok").alias("_n")), key)
+    own = Window.partitionBy(key, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    parts = marked.withColumn("_run", F.sum("_ok").over(own)).groupBy(key, "_bucket", "_run").agg(F.sum(1 - F.col("_ok")).alias("_n"))
+    runs = parts.join(before, [key, "_bucket"]).groupBy(key, (F.col("_run") + F.col("_before")).alias("_run")).agg(F.sum("_n").alias("_n"))
     return runs.groupBy(key).agg(F.max("_n").alias("longest"), F.max_by("_n", "_run").alias("current"))
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 SIZE, OVERLAP, RATE = 256, 128, 100.0
@@ -25,12 +27,12 @@ def ordinal(df: DataFrame, key: str, order: list[str], bucket: Column | None = N
         return df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long") - 1)
     dealt = df.withColumn("_bucket", bucket)
     counts = dealt.groupBy(key, "_bucket").agg(F.count("*").alias("_n"))
-    before = _earlier(counts, key, wide)
+    before = earlier_sums(counts, key, wide)
     local = dealt.withColumn("_local", F.row_number().over(Window.partitionBy(key, "_bucket").orderBy(*order)).cast("long"))
     return local.join(before, [key, "_bucket"]).withColumn(name, F.col("_before") + F.col("_local") - 1).drop("_bucket", "_local", "_before")
 
 
-def _earlier(counts: DataFrame, key: str, wide: bool) -> DataFrame:
+def earlier_sums(counts: DataFrame, key: str, wide: bool = False) -> DataFrame:
     """(key, _bucket, _before): the sum of _n over the key's earlier buckets."""
     if not wide:
         return counts.select(key, "_bucket", (F.sum("_n").over(Window.partitionBy(key).orderBy("_bucket")) - F.col("_n")).alias("_before"))
@@ -41,6 +43,25 @@ def _earlier(counts: DataFrame, key: str, wide: bool) -> DataFrame:
     return inner.join(sums, [key, "_wide"]).select(key, "_bucket", (F.col("_inner") + F.col("_below")).alias("_before"))
 
 
+#: Rows of a key that one task of `trailing` goes through, unless windows are longer.
+STRETCH = 16_384
+
+
+def trailing(df: DataFrame, key: str, order: list[str], bucket: Column, n: int, value: Callable[[WindowSpec], Column], name: str) -> DataFrame:
+    """`df` with `name`, an aggregate over the last n rows of the key up to each row, itself among them: value(window).
+
+    Ranks (`ordinal`, with its `bucket`) cut a key into stretches; the last n - 1 rows of a stretch are also given to
+    the next, so a key with most rows is shared by as many tasks as it has stretches, and each window sees the rows of
+    one plain window, in the same order.
+    """
+    long = max(STRETCH, 8 * n)
+    own = F.floor(F.col("_i") / long)
+    seen = F.when(F.col("_i") % long > long - n, F.array(own, own + 1)).otherwise(F.array(own))
+    dealt = ordinal(df, key, order, bucket, "_i").withColumn("_stretch", F.explode(seen))
+    over = Window.partitionBy(key, "_stretch").orderBy("_i").rowsBetween(-(n - 1), 0)
+    return dealt.withColumn(name, value(over)).where(own == F.col("_stretch")).drop("_i", "_stretch")
+
+
 def frames(samples: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """(ch, k, samples) for each complete frame: positions [k * step, k * step + size) of a channel's (ch, i, v)."""
     step = size - overlap

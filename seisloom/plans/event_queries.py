@@ -13,6 +13,7 @@ from ..functions import arrays as A
 from ..operators import adaptation as D
 from ..operators import alerts as L
 from ..operators import folds as W
+from ..operators import framing as P
 from ..operators import graph as G
 from ..operators import runtime as R
 from ..operators import transitions as T
@@ -40,8 +41,12 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", "user_id", us.alias("us"), "value", "event_type", F.least(F.lit(1.0), F.col("value") / 100).alias("probability"), (F.col("value") / 50).alias("magnitude"), wave.alias("wave"))
 
 
+def day():
+    return F.floor(F.col("us") / (24 * HOUR))
+
+
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).withColumn("rn", F.row_number().over(Window.partitionBy("user_id").orderBy("us", "event_id")))
+    return P.ordinal(events(spark, sf_dir), "user_id", ["us", "event_id"], day(), "rn").withColumn("rn", F.col("rn") + 1)
 
 
 EV = """ev AS (SELECT event_id, user_id, epoch_us(ts) AS us, value, event_type, least(1.0::DOUBLE, value / 100) AS probability, value / 50 AS magnitude, CASE WHEN event_type IN ('purchase', 'click') THEN 'P' WHEN event_type = 'signup' THEN 'S' WHEN event_type = 'view' THEN 'Surface' ELSE 'Unknown' END AS wave, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events)"""
@@ -139,14 +144,14 @@ def gat_predict(spark, sf_dir):
 
 @query(f"WITH {EV} SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 8) AS recent_mean FROM ev")
 def history_last_n(spark, sf_dir):
-    own = Window.partitionBy("user_id").orderBy("us", "event_id").rowsBetween(-99, 0)
-    return events(spark, sf_dir).select("event_id", F.round(F.avg("value").over(own), 8).alias("recent_mean"))  # no mean of up to 100 hundredths has a tie there
+    seen = P.trailing(events(spark, sf_dir), "user_id", ["us", "event_id"], day(), 100, lambda w: F.avg("value").over(w), "recent_mean")
+    return seen.select("event_id", F.round("recent_mean", 8).alias("recent_mean"))  # no mean of up to 100 hundredths has a tie there
 
 
 @query(f"WITH {EV} SELECT user_id, round(list_reduce(list(value ORDER BY us, event_id), lambda a, x: 0.1::DOUBLE * x + 0.9::DOUBLE * a), 6) AS ema FROM ev GROUP BY user_id")
 def ema_rate(spark, sf_dir):
     e = events(spark, sf_dir)
-    return W.smoothed(e, "user_id", ["us", "event_id"], F.col("value"), 0.1, F.floor(F.col("us") / (24 * HOUR))).withColumn("ema", r6("ema"))
+    return W.smoothed(e, "user_id", ["us", "event_id"], F.col("value"), 0.1, day()).withColumn("ema", r6("ema"))
 
 
 @query(f"WITH {EV} SELECT user_id, round(list_reduce(list(value ORDER BY us, event_id), lambda f, x: CASE WHEN x < 2 * f OR f = 0 THEN 0.1::DOUBLE * x + 0.9::DOUBLE * f ELSE f END), 6) AS floor FROM ev GROUP BY user_id")
@@ -160,14 +165,14 @@ rr AS (SELECT user_id, run, sum(bad::INT)::BIGINT AS n FROM m GROUP BY user_id,
 
 @query(f"WITH {RUNS} SELECT user_id, longest, current FROM runs")
 def failure_runs(spark, sf_dir):
-    return W.failure_runs(events(spark, sf_dir), "user_id", ["us", "event_id"], F.col("event_type") != "error")
+    return W.failure_runs(events(spark, sf_dir), "user_id", ["us", "event_id"], F.col("event_type") != "error", day())
 
 
 @query(f"WITH {RUNS}, e AS (SELECT user_id, list_reduce(list(value ORDER BY us, event_id), lambda a, x: 0.1::DOUBLE * x + 0.9::DOUBLE * a) AS ema FROM ev GROUP BY user_id) SELECT user_id, CASE WHEN user_id % 10 = 0 OR current > 1 THEN 'Failed' WHEN abs(ema - 50) / 50 > 0.5 THEN 'Degraded' ELSE 'Active' END AS status FROM runs JOIN e USING (user_id)")
 def sensor_health(spark, sf_dir):
     e = events(spark, sf_dir)
-    runs = W.failure_runs(e, "user_id", ["us", "event_id"], F.col("event_type") != "error")
-    rates = W.smoothed(e, "user_id", ["us", "event_id"], F.col("value"), 0.1)
+    runs = W.failure_runs(e, "user_id", ["us", "event_id"], F.col("event_type") != "error", day())
+    rates = W.smoothed(e, "user_id", ["us", "event_id"], F.col("value"), 0.1, day())
     registered = e.select("user_id").distinct().where("user_id % 10 != 0").withColumn("expected", F.lit(50.0))
     joined = runs.join(rates, "user_id").join(registered, "user_id", "left")
     return joined.select("user_id", W.sensor_status(F.col("current"), F.col("ema"), F.col("expected"), 1, 0.5).alias("status"))
@@ -522,8 +527,6 @@ UNION ALL SELECT user_id, rn, event_id, least(1024, held + n) - CASE WHEN got TH
 @query(f"WITH RECURSIVE {_POLLS} SELECT event_id, k, held, (k + 1) * 1280000 AS timestamp_us FROM st WHERE rn > 0")
 def poll_windows(spark, sf_dir):
     """An event is a poll of its user's sensor, which reads 64 samples; an error fails."""
-    from ..operators import framing as P
-
     polls = events(spark, sf_dir).select("event_id", "user_id", "us", (F.col("event_type") != "error").alias("ok"), F.lit(64).alias("n"))
     found = P.polled(polls, "user_id", ["us", "event_id"], F.floor(F.col("us") / (24 * HOUR)))
     return found.select("event_id", "k", "held", P.frame_time_us(F.col("k")).alias("timestamp_us"))

@@ -307,3 +307,27 @@ def test_boot_and_signed_alerts(spark, tmp_path):
 def test_feed_forward():
     out = graph.feed_forward(np.random.default_rng(1).normal(size=(5, 256)))
     assert out.shape == (5, 4) and (out >= 0).all() and (out[:, [0, 3]] <= 1).all()
+
+
+def test_hot_keys_by_stretches_and_buckets(spark, monkeypatch):
+    monkeypatch.setattr(framing, "STRETCH", 1)  # stretches of eight windows
+    random = np.random.default_rng(8)
+    rows = [("hot" if random.random() < 0.9 else "rare", int(t), float(v), bool(f)) for t, v, f in zip(np.sort(random.integers(0, 4000, 700)), random.random(700), random.random(700) < 0.3, strict=True)]
+    rows = [(k, t, n, v, f) for n, (k, t, v, f) in enumerate(rows)] + [("bad", 1, 9000, 0.5, False), ("bad", 900, 9001, 0.5, False), ("good", 1, 9002, 0.5, True)]
+    df = spark.createDataFrame(rows, "k string, t long, n long, v double, f boolean")
+    bucket = F.floor(F.col("t") / 100)
+    for n in (1, 5, 30):
+        got = {r["n"]: r["s"] for r in framing.trailing(df, "k", ["t", "n"], bucket, n, lambda w: F.array_join(F.collect_list("n").over(w), ","), "s").collect()}
+        for k in ("hot", "rare", "bad", "good"):
+            own = [r[2] for r in rows if r[0] == k]
+            assert [got[i] for i in own] == [",".join(map(str, own[max(0, j - n + 1) : j + 1])) for j in range(len(own))]
+        assert len(got) == len(rows)
+    expected = {}
+    for k, _, _, _, f in rows:
+        longest, current = expected.get(k, (0, 0))
+        current = 0 if f else current + 1
+        expected[k] = (max(longest, current), current)
+    for b in (None, bucket):
+        assert {r["k"]: (r["longest"], r["current"]) for r in folds.failure_runs(df, "k", ["t", "n"], F.col("f"), b).collect()} == expected
+    assert expected["hot"][0] > 5 and expected["bad"] == (2, 2) and expected["good"] == (0, 0)
+    assert folds.failure_runs(df.limit(0), "k", ["t", "n"], F.col("f"), bucket).count() == 0
