@@ -16,9 +16,11 @@ import json
 import struct
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import chain, filterfalse, islice
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -29,6 +31,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p
 #: Chunks remembered between batches, of at most LONG characters, some 250 bytes each: beyond MEMORY new ones, those not met since the last time go. So an encoder has at most some 500 bytes for each of them.
 MEMORY = 300_000
 LONG = 64
+#: Characters that are split and numbered at once, unless one text has more.
+PASS = 1 << 23
 #: White space other than space and line feed; the first nine are ASCII.
 _RARE = [*"\t\x0b\x0c\r\x1c\x1d\x1e\x1f\0", "\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000"]
 
@@ -151,43 +155,69 @@ class ChunkedEncoder:
     def odd(text: str) -> bool:
         return "  " in text or " \n" in text or "\n " in text or any(c in text for c in (_RARE[:9] if text.isascii() else _RARE))
 
-    def chunks(self, text: str) -> list[str]:
-        """The first chunk, then those with a space before; one that begins with a line feed has none. Of two line feeds the second may belong to the first."""
+    def parts(self, text: str) -> tuple[str, str | None]:
+        """The first chunk, and what comes after its space, if there is one. A line feed begins a chunk of its own, so it gets a space before it; of two line feeds the second may belong to the first."""
         if self.odd(text):
-            return [text]
-        return text.split(" ") if "\n\n" in text else text.replace("\n", " \n").split(" ")
-
-    def learn(self, missing: set[str]) -> dict[str, bytes]:
-        """Ids of chunks that are not the first; the shorter ones are remembered."""
-        young, old = self.young, self.old
-        known = {c: old[c] for c in missing if c in old}
-        missing = missing.difference(known)
-        bases = {c: b for c in missing if (b := c.rstrip(self.MARKS)) != c and (b.isalpha() or (b[:1] == "\n" and b[1:].isalpha()))}
-        runs = {c: c[len(b) :] for c, b in bases.items()}
-        words = {b: young.get(b) or old.get(b) for b in set(bases.values())}
-        asked = list(missing.difference(bases).union(b for b, ids in words.items() if ids is None))
+            return text, None
+        head, space, rest = (text if "\n\n" in text else text.replace("\n", " \n")).partition(" ")
+        return head, rest if space else None
+
+    def learn(self, missing: list[str]) -> dict[str, bytes]:
+        """Ids of distinct chunks that are not the first; the shorter ones are remembered."""
+        young, old, marks = self.young, self.old, self.MARKS
+        known: dict[str, bytes] = {}
+        asked: list[str] = []
+        ended: list[tuple[str, str]] = []
+        for c in missing:
+            if (ids := old.get(c)) is not None:
+                known[c] = ids
+            elif len(b := c.rstrip(marks)) < len(c) and (b.isalpha() or (b[:1] == "\n" and b[1:].isalpha())):
+                ended.append((c, b))
+            else:
+                asked.append(c)
+        words = {b: young.get(b) or old.get(b) for _, b in ended}
+        asked = list({*asked, *(b for b, ids in words.items() if ids is None)})
         fresh = dict(zip(asked, self.encode_chunks([c if c[:1] == "\n" else f" {c}" for c in asked]), strict=True))
         known.update(fresh)
-        marks = [*set(runs.values())]
-        marked = dict(zip(marks, self.encode_chunks(marks), strict=True))
-        known.update([(c, (words[b] or fresh[b]) + marked[runs[c]]) for c, b in bases.items()])
+        runs = list({c[len(b) :] for c, b in ended})
+        marked = dict(zip(runs, self.encode_chunks(runs), strict=True))
+        for c, b in ended:
+            known[c] = (words[b] or fresh[b]) + marked[c[len(b) :]]
         young.update(known if max(map(len, known), default=0) <= LONG else {c: ids for c, ids in known.items() if len(c) <= LONG})
         return known
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        at, size = 0, 0
+        for k, text in enumerate(texts):
+            size += len(text)
+            if size >= PASS or k + 1 == len(texts):
+                out += self._encode(texts[at : k + 1])
+                at, size = k + 1, 0
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        """Arrow splits the texts and numbers the distinct chunks; only these are looked up, and Arrow lays out their ids in the order of the texts."""
         if len(self.young) > self.memory:
             self.old, self.young = self.young, {}
-        parts = [self.chunks(x) for x in texts]
-        heads = list({p[0] for p in parts})
-        first = dict(zip(heads, self.encode_chunks(heads), strict=True))
-        known = self.learn(set(filterfalse(self.young.__contains__, chain.from_iterable(islice(p, 1, None) for p in parts))))
-        out = []
-        for p in parts:
-            try:
-                out.append(b"".join([first[p[0]], *map(self.young.__getitem__, islice(p, 1, None))]))
-            except KeyError:  # a long chunk
-                out.append(first[p[0]] + b"".join([self.young.get(c) or known[c] for c in p[1:]]))
-        return out
+        heads, rests = zip(*map(self.parts, texts), strict=True)
+        asked = list(set(heads))
+        first = dict(zip(asked, self.encode_chunks(asked), strict=True))
+        lists = pc.split_pattern(pa.array(rests, pa.large_string()), " ")
+        numbered = lists.flatten().dictionary_encode()
+        if not len(numbered):
+            return [first[h] for h in heads]
+        # no chunk holds a space
+        chunks = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(numbered.dictionary)], pa.int32()), numbered.dictionary), pa.scalar(" ", pa.large_string()))[0].as_py().split(" ")
+        ids = list(map(self.young.get, chunks))
+        if missing := [c for c, x in zip(chunks, ids, strict=True) if x is None]:
+            known = self.learn(missing)
+            ids = [known[c] if x is None else x for c, x in zip(chunks, ids, strict=True)]
+        laid = pa.array(ids, pa.large_binary()).take(numbered.indices)
+        ends = np.frombuffer(laid.buffers()[1], np.int64, len(laid) + 1, laid.offset * 8)
+        cuts = ends[np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())])].tolist()
+        data = memoryview(laid.buffers()[2] or b"")
+        return [first[h] + data[a:b] for h, (a, b) in zip(heads, pairwise(cuts), strict=True)]
 
 
 def coder(path: str) -> tuple[TrieBpe, ChunkedEncoder]:

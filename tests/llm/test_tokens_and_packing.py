@@ -113,3 +113,35 @@ def test_token_files_read_only_what_is_asked(tmp_path):
     path.write_bytes(data)
     with open(path, "rb") as source, pytest.raises(Exception):
         list(token_files.TokenReader(source).read())
+
+
+@pytest.mark.parametrize("size", [1 << 23, 3000])
+def test_each_distinct_chunk_is_looked_up_once(tokenizer, monkeypatch, size):
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *args):
+            Counted.asked += 1
+            return super().get(*args)
+
+        def __contains__(self, key):
+            Counted.asked += 1
+            return super().__contains__(key)
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+    monkeypatch.setattr(trie_bpe, "PASS", size)
+    random.seed(6)
+    letters = ["a", "th", "E", "é", "ß", "中", "ж", "ℵ", "ƻ", "ª", "ǅ", "한", "ا", "ñ"]
+    words = ["".join(random.choices(letters, k=random.randint(1, 6))) + random.choice(["", "", ",", "...", "'s", "9", "<|endoftext|>"]) for _ in range(300)]
+    texts = [random.choice([" ", "\n", ""]) + "".join(random.choice(words) + random.choice([" ", " ", " ", "\n"]) for _ in range(n)) for n in [1000] * 20 + [0, 1, 2, 3]] + ["", " ", "x", "x ", "\n", "\n\nx y\n\nz", "a  b", "a\tb c"]
+    encoder = library(PATH, 300_001 + size)
+    encoder.young = Counted()
+    encoder.encode(texts)
+    Counted.asked = 0
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    if size > 1 << 20:
+        assert Counted.asked < 2000  # of 20,000 words
