@@ -21,6 +21,7 @@ from ..operators import embedding as E
 from ..operators import framing as P
 from ..operators import graph as G
 from ..operators import vectors as V
+from ..storage import written
 from .processors import frame_stream
 
 #: A frame's id is k * CHANNELS + channel: time, then channel.
@@ -28,6 +29,8 @@ CHANNELS = 1_000_000
 NEAREST, HISTORY, SPAN_US = 16, 100, 60_000_000
 #: Rank and rate of the micro update.
 RANK, RATE = 4, 0.01
+#: Frames that are predicted at a time, in the order of ids.
+SLICE = 16_384
 _STATE = "station long, level string, magnitude double, at long"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -45,34 +48,50 @@ def _before(spark: SparkSession, folder: str, n: int, schema: StructType) -> Dat
     return every.where(F.col("batch") < n).drop("batch")
 
 
+def _slices(ids: DataFrame) -> list[tuple[int, int]]:
+    """The first and last id of each `SLICE` of (id), in order: one row of a slice comes to the driver."""
+    ranked = P.ordinal(ids.select("id", F.lit(0).alias("_all")), "_all", ["id"], F.floor(F.col("id") / 1024), "_i", wide=True)
+    found = ranked.groupBy(F.floor(F.col("_i") / SLICE).alias("s")).agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    return [(r["low"], r["high"]) for r in found.orderBy("s").collect()] or [(0, -1)]
+
+
+def predicted(new: DataFrame, every: DataFrame, folder: str) -> DataFrame:
+    """G.predictions() of the frames `new` (vec_id, timestamp_us, vector) among `every`, which are those and all before them, as a table below `folder`.
+
+    Slices of the new frames are searched, linked and predicted one after the other, each with the frames up to its
+    last, so that what is shuffled at a time is bounded by a slice and one copy of the vectors before it.
+    """
+    parts = []
+    for n, (low, high) in enumerate(_slices(new.select(F.col("vec_id").alias("id")))):
+        own, until = new.where(F.col("vec_id").between(low, high)), every.where(F.col("vec_id") <= high)
+        vectors = until.select("vec_id", F.col("vector").alias("embedding"))
+        near = V.nearest(own.select("vec_id", F.col("vector").alias("embedding")), vectors, NEAREST, earlier=True)
+        near = written(near.select(F.col("query_id").alias("centre"), F.col("vec_id").alias("id"), F.col("rank").alias("order")), f"{folder}/near-{n}")
+        centres, ids = own.select(F.col("vec_id").alias("centre")), until.select(F.col("vec_id").alias("id"))
+        ids = ids.where(F.col("id") >= low).unionByName(ids.where(F.col("id") < low).orderBy(F.desc("id")).limit(HISTORY - 1))
+        nodes = written(G.neighbourhood(centres, near, G.recent(ids, HISTORY).join(centres, "centre")), f"{folder}/nodes-{n}")
+        seen = until.select(F.col("vec_id").alias("id"), F.col("timestamp_us").alias("us"), "vector")
+        parts.append(G.predictions(nodes, seen, SPAN_US))
+        written(parts[-1], f"{folder}/made-{n}")
+    return new.sparkSession.read.schema(parts[0].schema).parquet(*[f"{folder}/made-{n}" for n in range(len(parts))])
+
+
 def tick(frames: DataFrame, n: int, folder: str, cooldown: L.Cooldown) -> None:
     """Batch n: frames (ch, k, samples), in tables below `folder`."""
     spark = frames.sparkSession
-    identified(frames).select("vec_id", "ch", "timestamp_us", "vector").write.mode("overwrite").parquet(f"{folder}/frames/batch={n}")
-    new = spark.read.parquet(f"{folder}/frames/batch={n}")
+    new = written(identified(frames).select("vec_id", "ch", "timestamp_us", "vector"), f"{folder}/frames/batch={n}")
     old = _before(spark, f"{folder}/frames", n, new.schema)
     every = new if old is None else old.unionByName(new)
-    ids = new.select(F.col("vec_id").alias("id"))
-    if old is not None:
-        ids = ids.unionByName(old.select(F.col("vec_id").alias("id")).orderBy(F.desc("id")).limit(HISTORY - 1))
-    centres = new.select(F.col("vec_id").alias("centre"))
-    near = V.nearest(new.select("vec_id", F.col("vector").alias("embedding")), every.select("vec_id", F.col("vector").alias("embedding")), NEAREST, earlier=True)
-    near = near.select(F.col("query_id").alias("centre"), F.col("vec_id").alias("id"), F.col("rank").alias("order"))
-    nodes = G.neighbourhood(centres, near, G.recent(ids, HISTORY).join(centres, "centre"))
-    nodes = nodes.join(every.select(F.col("vec_id").alias("id"), F.col("timestamp_us").alias("us"), "vector"), "id")
-    made = G.predictions(nodes, SPAN_US).join(new, F.col("centre") == F.col("vec_id"))
+    made = predicted(new, every, f"{folder}/predicted/batch={n}").join(new, F.col("centre") == F.col("vec_id"))
     error = D.error_signal(F.col("event_probability"), F.col("estimated_magnitude"), F.col("estimated_time_to_peak_s"), F.col("confidence"))
     micro = F.transform(error, lambda g: F.transform(F.slice("vector", 1, RANK), lambda f: g * RATE * f))
     p = made.select(F.col("ch").alias("station"), F.col("timestamp_us").alias("us"), F.col("centre").alias("id"), F.col("event_probability").alias("probability"), F.col("estimated_magnitude").alias("magnitude"), micro.alias("micro"))
-    p.write.mode("overwrite").parquet(f"{folder}/predictions/batch={n}")
-    p = spark.read.parquet(f"{folder}/predictions/batch={n}")
+    p = written(p, f"{folder}/predictions/batch={n}")
     state = spark.createDataFrame([], _STATE) if n == 0 else spark.read.schema(_STATE).parquet(f"{folder}/alerts/batch={n - 1}")
-    decided = L.resumed(p.drop("micro"), state, cooldown)
-    decided.write.mode("overwrite").parquet(f"{folder}/decided/batch={n}")
-    decided = spark.read.parquet(f"{folder}/decided/batch={n}")
+    decided = written(L.resumed(p.drop("micro"), state, cooldown), f"{folder}/decided/batch={n}")
     last = decided.groupBy("station").agg(F.max_by(F.struct("last_level", "last_magnitude", "last_at"), F.struct("us", "id")).alias("s"))
-    last.select("station", F.col("s.last_level").alias("level"), F.col("s.last_magnitude").alias("magnitude"), F.col("s.last_at").alias("at")).write.mode("overwrite").parquet(f"{folder}/alerts/batch={n}")
-    decided.where("id IS NOT NULL").select("id", "level", "kind").join(p.select("id", "micro"), "id").write.mode("overwrite").parquet(f"{folder}/decisions/batch={n}")
+    written(last.select("station", F.col("s.last_level").alias("level"), F.col("s.last_magnitude").alias("magnitude"), F.col("s.last_at").alias("at")), f"{folder}/alerts/batch={n}")
+    written(decided.where("id IS NOT NULL").select("id", "level", "kind").join(p.select("id", "micro"), "id"), f"{folder}/decisions/batch={n}")
 
 
 def run(samples: DataFrame, folder: str, cooldown: L.Cooldown | None = None) -> StreamingQuery:

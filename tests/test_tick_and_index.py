@@ -2,12 +2,14 @@
 
 import random
 import shutil
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seisloom.operators import adaptation, alerts, framing, graph_index
+from seisloom import storage
+from seisloom.operators import adaptation, alerts, framing, graph, graph_index
 from seisloom.operators import vectors as V
 from seisloom.streaming import tick
 
@@ -39,6 +41,28 @@ def test_stretches_do_not_matter(spark, tmp_path):
     assert ticked(spark, rows, [0, 100, 700, 705, 1400], tmp_path / "b", again=True) == whole  # the first stretch has no frame
 
 
+def test_slices_and_stretches_do_not_matter(spark, tmp_path, monkeypatch):
+    """Frames are predicted slice by slice, and a vector moves once for the graphs of a stretch; both leave predictions as they are, and written() leaves no shuffle file."""
+    rng, n = np.random.default_rng(8), 130
+    rows = [(int(k // 3) * tick.CHANNELS + int(k % 3), int(k // 3 + 1) * 1_280_000, v.tolist()) for k, v in enumerate(rng.standard_normal((n, 8)) / 3)]
+    frames = spark.createDataFrame(rows, "vec_id long, timestamp_us long, vector array<double>")
+
+    def told(name):
+        made = tick.predicted(frames.where(F.col("vec_id") >= rows[40][0]), frames, f"{tmp_path}/{name}")
+        return {r["centre"]: (round(r["event_probability"], 12), round(r["estimated_magnitude"], 12), r["nodes"]) for r in made.collect()}
+
+    whole = told("whole")
+    assert len(whole) == n - 40 and max(r[2] for r in whole.values()) > 100
+    monkeypatch.setattr(tick, "SLICE", 17)
+    assert told("slices") == whole and len(list(tmp_path.glob("slices/made-*"))) == 6
+    monkeypatch.setattr(graph, "STRETCH", 2)
+    assert told("stretches") == whole
+    left = lambda: {p for p in Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]).rglob("shuffle_*")}
+    before = left()
+    storage.written(spark.range(10_000).repartition(4, "id"), f"{tmp_path}/ids")
+    assert left() <= before
+
+
 @pytest.mark.parametrize("polls, windows", [(0, 0), (3, 0), (4, 1), (10, 4), (20, 9), (50, 24), (100, 49), (500, 249)])
 def test_windows_of_polls(spark, polls, windows):
     rows = spark.range(polls).select(F.lit(1).alias("ch"), "id", F.lit(True).alias("ok"), F.lit(64).alias("n"))
