@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .folds import keyed_events, keyed_fold
@@ -79,7 +79,40 @@ def resumed(predictions: DataFrame, state: DataFrame, cooldown: Cooldown, mesh:
 
 
 def confirmations(claims: DataFrame, votes: DataFrame, window_us: int, least: int = 1) -> DataFrame:
-    """(claim_id, stations, status) of claims (claim_id, us): distinct stations, whichever they are, that voted (station, us) within the window after.
+    """(claim_id, stations, status) of claims (claim_id, us): distinct stations, whichever they are, that voted (station, us) within the window after."""
+    return judged(claims, votes, window_us, least).select("claim_id", "stations", "status")
+
+
+def judged(claims: DataFrame, votes: DataFrame, window_us: int, least: int = 1) -> DataFrame:
+    """The columns of claims (claim_id, us, ...) with stations and status, see confirmations(). Rows of one claim_id count together.
+
+    A vote is its station's first after a claim at t, and in time, just where t lies from the station's vote before, and
+    after the vote's time less the window, up to the vote. So votes are stretches of time, and a claim's count is the
+    number of stretches that hold its time: a running sum of 1 where one begins and -1 where one ends. Claims and votes
+    do not meet in pairs. Stretches are shorter than the window, so sums run within buckets of it, from the number of
+    stretches that are open as a bucket begins.
+    """
+    bucket = F.floor(F.col("us") / window_us)
+    before = F.lag("us").over(Window.partitionBy("station").orderBy("us"))
+    first = votes.where(F.col("station").isNotNull() & F.col("us").isNotNull()).select("us", before.alias("_before"))
+    first = first.where("_before IS NULL OR _before < us").select("us", F.greatest(F.col("us") - (window_us - 1), "_before").alias("_begin"))
+    ends = first.select(F.explode(F.array(F.struct(F.col("_begin").alias("us"), F.lit(1).cast("long").alias("_n")), F.struct("us", F.lit(-1).cast("long").alias("_n")))).alias("_e")).select("_e.us", "_e._n")
+    started = (bucket * window_us).alias("us")
+    carried = first.where(F.col("_begin") < bucket * window_us).groupBy(started).agg(F.count("*").alias("_n"))
+    asked = claims.select("us", F.lit(0).cast("long").alias("_n"), F.struct(*claims.columns).alias("_claim"))
+    every = asked.unionByName(ends.unionByName(carried), allowMissingColumns=True).withColumn("_b", bucket)
+    found = every.withColumn("_n", F.sum("_n").over(Window.partitionBy("_b").orderBy("us"))).where("_claim IS NOT NULL")
+    n = F.when(F.col("us").isNotNull() & F.col("_claim.claim_id").isNotNull(), F.col("_n")).otherwise(F.lit(0)).alias("stations")
+    own = Window.partitionBy("claim_id")
+    found = found.select("_claim.*", n).withColumn("_again", F.col("claim_id").isNotNull() & F.coalesce(F.min("us").over(own) < F.max("us").over(own), F.lit(False)))
+    repeated = found.where("_again")
+    repeated = repeated.drop("stations").join(_met(repeated.select("claim_id", "us"), votes, window_us), "claim_id", "left").withColumn("stations", F.coalesce("stations", F.lit(0)))
+    whole = found.where("NOT _again").unionByName(repeated)
+    return whole.select(*claims.columns, "stations", F.when(F.col("stations") >= least, "Reached").otherwise("Pending").alias("status"))
+
+
+def _met(claims: DataFrame, votes: DataFrame, window_us: int) -> DataFrame:
+    """(claim_id, stations) of claims that several rows (claim_id, us) make, by pairs of them with votes.
 
     A claim looks in the bucket of its time and in the next. There, a station's first or last vote decides whether it
     voted in time, so votes come down to one row for each station and bucket before they meet claims.
@@ -88,10 +121,7 @@ def confirmations(claims: DataFrame, votes: DataFrame, window_us: int, least: in
     left = claims.select("claim_id", F.col("us").alias("_at"), bucket.alias("_own"), F.explode(F.array(bucket, bucket + 1)).alias("_b"))
     right = votes.groupBy(F.col("station").alias("_from"), bucket.alias("_b")).agg(F.min("us").alias("_first"), F.max("us").alias("_last"))
     in_time = F.when(F.col("_b") == F.col("_own"), F.col("_last") > F.col("_at")).otherwise(F.col("_first") - F.col("_at") < window_us)
-    seen = left.join(right, "_b").where(in_time)
-    counts = seen.groupBy("claim_id").agg(F.countDistinct("_from").alias("stations"))
-    n = F.coalesce("stations", F.lit(0))
-    return claims.select("claim_id").join(counts, "claim_id", "left").select("claim_id", n.alias("stations"), F.when(n >= least, "Reached").otherwise("Pending").alias("status"))
+    return left.join(right, "_b").where(in_time).groupBy("claim_id").agg(F.countDistinct("_from").alias("stations"))
 
 
 def claim_status(claim_ids: DataFrame, claims: DataFrame) -> DataFrame:
@@ -102,8 +132,13 @@ def claim_status(claim_ids: DataFrame, claims: DataFrame) -> DataFrame:
 
 def consensus_alerts(claims: DataFrame, confirmed: DataFrame, least: int = 1) -> DataFrame:
     """(claim_id, station, timestamp_us, consensus_stations, level) of claims (claim_id, station, us, level) that were reached: at their own level and time; a claim ends with the vote that reaches it."""
-    reached = confirmed.where(F.col("status") == "Reached")
-    return reached.join(claims, "claim_id").select("claim_id", "station", F.col("us").alias("timestamp_us"), (F.least("stations", F.lit(least)) + 1).alias("consensus_stations"), "level")
+    return reached(confirmed.join(claims, "claim_id"), least)
+
+
+def reached(judged: DataFrame, least: int = 1) -> DataFrame:
+    """consensus_alerts() of claims with their stations and status."""
+    made = judged.where(F.col("status") == "Reached")
+    return made.select("claim_id", "station", F.col("us").alias("timestamp_us"), (F.least("stations", F.lit(least)) + 1).alias("consensus_stations"), "level")
 
 
 def consensus(rows: DataFrame, cooldown: Cooldown, window_us: int = 10_000_000, least: int = 1) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 import json
+import random
 import struct
 
 import numpy as np
@@ -130,6 +131,45 @@ def test_claims_without_votes_and_votes_of_any_station(spark):
     assert {(r[0], r[1], r[2]) for r in alerts.confirmations(claims, votes, 100).collect()} == {(1, 2, "Reached"), (2, 0, "Pending")}
 
 
+def test_claims_and_votes_do_not_meet_in_pairs(spark):
+    """Counts of stations equal a loop, for odd rows too, and votes of a crowded window make rows in proportion."""
+    random.seed(12)
+    claims = [(k if k % 9 else k // 9 % 3, k % 4, random.randrange(-300, 900)) for k in range(120)] + [(500, 1, None), (None, 1, 40), (600, 1, 40), (600, 2, 40)]
+    votes = [(random.choice([None, *range(8)]), random.randrange(-300, 900)) for _ in range(300)] + [(3, None), (3, 44), (3, 44)]
+    rows = spark.createDataFrame(claims, "claim_id long, station long, us long")
+    said = spark.createDataFrame(votes, "station long, us long")
+    for window in (1, 2, 50, 100, 5000):
+        seen = {c: {s for i, _, t in claims if i == c and t is not None for s, us in votes if None not in (s, us) and t < us < t + window} for c, _, _ in claims if c is not None}
+        expected = [(c, len(seen.get(c, ())), "Reached" if len(seen.get(c, ())) >= 2 else "Pending") for c, _, _ in claims]
+        assert sorted(map(tuple, alerts.confirmations(rows, said, window, 2).collect()), key=repr) == sorted(expected, key=repr)
+    crowd = spark.range(2000).select("id", (F.col("id") % 500).alias("station"), F.col("id").alias("us"))
+    plan = alerts.confirmations(crowd.withColumnRenamed("id", "claim_id"), crowd, 4000)
+    noted = plan.where("claim_id >= 0")
+    assert {r["stations"] for r in noted.where("claim_id < 1500").collect()} == {500}
+    widest = max(int(str(m.value())) for m in _rows_out(noted))
+    assert widest <= 3 * 2000 + 1  # claims, and two ends of each vote
+
+
+def _rows_out(df):
+    """The metrics numOutputRows of all operators of a run of df."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    todo, out = [plan], []
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+        found = node.metrics().get("numOutputRows")
+        if found.isDefined():
+            out.append(found.get())
+    return out
+
+
 def brute_consensus(rows, cooldown_us, window_us, least):
     """Straight from the rules: levels 0 to 3, one station's state at a time."""
     out, states = [], {}
