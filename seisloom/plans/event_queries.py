@@ -305,8 +305,8 @@ def claim_confirmations(spark, sf_dir):
 
 @query(f"{_VOTED} SELECT claim_id, station, us AS timestamp_us, CAST(2 AS BIGINT) AS consensus_stations, level FROM cl JOIN vo USING (claim_id)")
 def consensus_alerts(spark, sf_dir):
-    claims = _claims(spark, sf_dir)
-    return L.consensus_alerts(claims, L.confirmations(claims, _votes(spark, sf_dir), HOUR // 6)).withColumn("consensus_stations", F.col("consensus_stations").cast("long"))
+    judged = L.judged(_claims(spark, sf_dir), _votes(spark, sf_dir), HOUR // 6)
+    return L.reached(judged).withColumn("consensus_stations", F.col("consensus_stations").cast("long"))
 
 
 @query(f"{_VOTED}, n AS (SELECT max(us) AS now FROM ev) SELECT claim_id, 'Medium' AS level, 0.0::DOUBLE AS magnitude FROM cl LEFT JOIN vo USING (claim_id), n WHERE vo.n IS NULL AND now - us >= {HOUR // 6}")
