@@ -313,9 +313,8 @@ def consensus_alerts(spark, sf_dir):
 def claim_expiry(spark, sf_dir):
     """Claims that no vote reached within the window."""
     now = events(spark, sf_dir).agg(F.max("us").alias("now"))
-    claims = _claims(spark, sf_dir)
-    waiting = L.confirmations(claims, _votes(spark, sf_dir), HOUR // 6).where("status = 'Pending'").select("claim_id")
-    return L.expired(claims.join(waiting, "claim_id").join(F.broadcast(now)), F.col("now"), HOUR // 6)
+    waiting = L.judged(_claims(spark, sf_dir), _votes(spark, sf_dir), HOUR // 6).where("status = 'Pending'")
+    return L.expired(waiting.join(F.broadcast(now)), F.col("now"), HOUR // 6)
 
 
 @query()
