@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -258,6 +260,50 @@ class Peers:
         return []
 
 
+class Roll:
+    """Counts of one station's peers as Peers.take() gives them, for rows whose times do not fall.
+
+    A peer turns stale and then lost by the passing of time alone, so peers wait in heaps for that, and a refresh only
+    moves those whose time has come: all refreshes together take as long as the rows, not each as long as its peers.
+    """
+
+    def __init__(self, peers: Peers):
+        self.after = (peers.stale_us, peers.lost_us)
+        self.known: dict[str, tuple[int, int]] = {}  # peer: last heard, number of that entry
+        self.state: dict[str, int] = {}  # 0 healthy, 1 stale, 2 lost, as of the last refresh
+        self.counts, self.waiting, self.entries = [0, 0, 0], ([], []), 0
+
+    def _heard(self, peer: str, us: int) -> None:
+        if peer in self.state:
+            self.counts[self.state[peer]] -= 1
+        self.entries += 1
+        self.known[peer], self.state[peer] = (us, self.entries), 0
+        self.counts[0] += 1
+        heapq.heappush(self.waiting[0], (us, self.entries, peer))
+        if sum(map(len, self.waiting)) > 2 * len(self.known) + 1024:  # most are entries that later ones have replaced
+            for n, heap in enumerate(self.waiting):
+                heap[:] = [x for x in heap if self.known[x[2]][1] == x[1] and self.state[x[2]] == n]
+                heapq.heapify(heap)
+
+    def take(self, op: str, peer: str, us: int) -> list[tuple[int, int, int]]:
+        if op == "add":
+            self._heard(peer, 0)
+        elif op == "seen" and peer in self.known:
+            self._heard(peer, us)
+        elif op == "refresh":
+            for n, heap in enumerate(self.waiting):
+                while heap and us - heap[0][0] > self.after[n]:
+                    entry = heapq.heappop(heap)
+                    if self.known[entry[2]][1] == entry[1]:
+                        self.state[entry[2]] = n + 1
+                        self.counts[n] -= 1
+                        self.counts[n + 1] += 1
+                        if n == 0:
+                            heapq.heappush(self.waiting[1], entry)
+            return [tuple(self.counts)]
+        return []
+
+
 def peer_rows(rows: DataFrame) -> DataFrame:
     """What a registry of peers reads of (station, us, id, op, peer): rows with a station, a time and a known op, and for all but refreshes a peer."""
     kept = rows.where(F.col("station").isNotNull() & F.col("us").isNotNull() & (F.col("op").isin("add", "seen") & F.col("peer").isNotNull() | (F.col("op") == "refresh")))
@@ -268,14 +314,14 @@ def peer_registry(rows: DataFrame, peers: Peers | None = None) -> DataFrame:
     """(station, us, id, healthy, stale, lost) of each station's peers after each refresh, from rows (station, us, id, op, peer) in the order of (us, id).
 
     See Peers and peer_rows() for what counts. Rows that repeat are taken again, and a null id is -1. A station's rows
-    stream through a task, which holds its peers only.
+    stream through a task, which holds its peers only (see Roll).
     """
     book = peers or Peers()
 
-    def step(state: dict, row: tuple) -> list:
-        return [(row.station, row.us, row.id, *n) for n in book.take(state, row.op, row.peer, row.us)]
+    def step(roll: Roll, row: tuple) -> list:
+        return [(row.station, row.us, row.id, *n) for n in roll.take(row.op, row.peer, row.us)]
 
-    return keyed_events(peer_rows(rows), "station", ["us", "id", "op", "peer"], dict, step, lambda state, own: [], PEER_COUNTS)
+    return keyed_events(peer_rows(rows), "station", ["us", "id", "op", "peer"], lambda: Roll(book), step, lambda state, own: [], PEER_COUNTS)
 
 
 PEER_COUNTS = "station long, us long, id long, healthy int, stale int, lost int"
