@@ -2,6 +2,7 @@ import hashlib
 import json
 import random
 import struct
+import time
 
 import numpy as np
 import pytest
@@ -88,6 +89,32 @@ def test_attention_sums_and_duplicates(spark):
     assert {(r["src"], r["dst"]): round(r["w"], 6) for r in got} == {(1, 2): round(1 / 3, 6), (1, 3): round(2 / 3, 6), (2, 1): 1.0}
 
 
+def test_graph_of_a_shard():
+    """Links equal those of inserts one by one; a whole shard is built and asked in seconds, with the recall of inserts with a beam."""
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(700, 6))
+    rows /= np.sqrt((rows * rows).sum(1, keepdims=True))
+    graph, draw = vectors.linked(rows), vectors.ProximityGraph()
+    assert graph.levels.tolist() == [draw.layer() for _ in rows] and len(graph.links) > 2
+    for layer, table in enumerate(graph.links):
+        at, most = np.flatnonzero(graph.levels >= layer), 16 if layer else 32
+        chosen = {n: at[at < n][np.argsort(1 - rows[at[at < n]] @ rows[n], kind="stable")[:most]].tolist() for n in at}
+        for n in at:
+            every = chosen[n] + [m for m in at if n in chosen[m]]
+            assert set(table[n][table[n] >= 0]) == set(sorted(every, key=lambda m: 1 - rows[m] @ rows[n])[:most])
+    assert [x.tolist() for x in vectors.linked(rows[:1]).search(rows[:1].astype("float32"), 3, 8)[0]] == [[0, -1, -1]]
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 64))
+    rows = centres[rng.integers(0, 40, 6144)] + 0.15 * rng.normal(size=(6144, 64))
+    rows = rows / np.sqrt((rows * rows).sum(1, keepdims=True))
+    begin = time.process_time()
+    graph = vectors.linked(rows[:4096])
+    found, _ = graph.search(rows[4096:].astype("float32"), 16, 64)
+    assert time.process_time() - begin < 12
+    exact = np.argsort(-(rows[4096:] @ rows[:4096].T), axis=1)[:, :16]
+    assert np.mean([len(set(a) & set(b)) / 16 for a, b in zip(found, exact, strict=True)]) > 0.82  # 0.79 by inserts
+
+
 def test_attention_layer_by_hand():
     x = np.random.default_rng(0).normal(size=(4, 8))
     s, t = np.array([0, 1, 1, 2]), np.array([1, 0, 2, 1])
