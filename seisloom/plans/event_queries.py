@@ -503,12 +503,12 @@ def simulated_event(spark, sf_dir):
 @query()
 def tick_stream(spark, sf_dir):
     """full_tick as a stream: the signal arrives in four stretches of time, and the stream is stopped and started again between them. Also each tick's micro update."""
-    from ..storage import fresh
+    from ..storage import fresh, stored
     from ..streaming import tick
     from .signal_queries import samples
 
     folder = fresh(spark, "tick")
-    rows = samples(spark, sf_dir).select(F.col("ch").cast("long").alias("ch"), F.col("i").cast("long").alias("i"), "v")
+    rows = stored(samples(spark, sf_dir).select(F.col("ch").cast("long").alias("ch"), F.col("i").cast("long").alias("i"), "v"), "samples")
     end = rows.agg(F.max("i")).first()[0] or 0
     stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/samples/*")
     for part in range(4):

@@ -2,12 +2,14 @@
 
 import random
 import shutil
+from datetime import datetime, timedelta
 from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from seisloom import storage
 from seisloom.operators import adaptation, alerts, framing, graph, graph_index
 from seisloom.operators import vectors as V
@@ -63,6 +65,18 @@ def test_slices_and_stretches_do_not_matter(spark, tmp_path, monkeypatch):
     assert left() <= before
 
 
+def test_stream_ranks_its_samples_once(spark, tmp_path, monkeypatch):
+    """The four stretches come from samples that were ranked once and kept; decisions are those of full_tick."""
+    start = datetime(1995, 1, 1)
+    rows = [(i, 1, ch + 1, 1, float(1 + (i * 7 + ch * 13) % 50), 1.0, start + timedelta(days=i // 20)) for ch in range(2) for i in range(128 * 6)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+    kept, real = [], storage.stored
+    monkeypatch.setattr(storage, "stored", lambda df, name="table": kept.append(name) or real(df, name))
+    told = {(r["id"], r["level"], r["kind"]) for r in __spark_entry__.queries()["tick_stream"](spark, str(tmp_path)).collect()}
+    assert kept == ["samples"] and len(told) == 10
+    assert told == {(r["id"], r["level"], r["kind"]) for r in __spark_entry__.queries()["full_tick"](spark, str(tmp_path)).collect()}
+
+
 @pytest.mark.parametrize("polls, windows", [(0, 0), (3, 0), (4, 1), (10, 4), (20, 9), (50, 24), (100, 49), (500, 249)])
 def test_windows_of_polls(spark, polls, windows):
     rows = spark.range(polls).select(F.lit(1).alias("ch"), "id", F.lit(True).alias("ok"), F.lit(64).alias("n"))
